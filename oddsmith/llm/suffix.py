@@ -398,6 +398,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A character that a span cuts through goes as a whole; a text in which nothing is left stays as an empty one.
     ``n_chars``, where there is one, follows the text.
     """
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -405,9 +406,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for value, found in zip(b.column("_text").cast(pa.binary()), b.column("_spans").to_pylist(), strict=True):
                 text = value.as_py()
                 texts.append(kept_bytes(text, merged([(s["start"], s["end"]) for s in found])).decode("utf-8", "ignore") if found else text.decode())
-            out = {c: b.column(c) for c in docs.columns} | {"text": pa.array(texts, pa.string())}
+            out = {c: b.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in out:
                 out["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return _with_spans(docs, docs.columns).mapInArrow(run, docs.schema)
+    return _with_spans(docs, names).mapInArrow(run, docs.schema)

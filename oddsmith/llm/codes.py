@@ -41,7 +41,6 @@ def _segments(rows: DataFrame) -> DataFrame:
 
 def search(rows: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """From (id, code) frames: query_id, neighbor_id, distance and rank of the k nearest other rows, ties by id."""
-    spark = rows.sparkSession
     rows, queries = rows.dropna(subset=["id", "code"]), queries.dropna(subset=["id", "code"])
     by_id = Window.partitionBy("code").orderBy("id")
     firsts = rows.distinct().withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
@@ -51,8 +50,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     active, best = asked, None
     for radius in range(BITS + 1):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(BITS), radius)]
-        masks = spark.createDataFrame([(m,) for m in masks], "mask int")
-        probes = _segments(active).join(F.broadcast(masks)).select(F.col("code").alias("q"), "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        flips = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")  # folded to one constant
+        probes = _segments(active).select(F.col("code").alias("q"), "segment", "value", F.explode(flips).alias("flip"))
+        probes = probes.select("q", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         found = probes.join(index, ["segment", "value"]).select("q", "code").distinct()
         found = found.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
         if best is not None:

@@ -113,18 +113,16 @@ def _coder(listed: list[bytes]):
             for doc, held, words in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), _texts(b), strict=True):
                 code = np.fromiter((number.get(w, -1) for w in words), np.int32, len(words))
                 miss = np.flatnonzero(code < 0)
-                if len(miss):
-                    places = np.empty(len(miss), np.int32)
-                    for j, i in enumerate(miss.tolist()):
-                        w = words[i]
-                        k = rare.get(w)
-                        if k is None:
-                            k = rare[w] = len(rare)
-                            tails.append(LISTED + tail_class(w))
-                        places[j] = k
-                    code[miss] = np.array(tails, np.int32)[places] if len(miss) > 64 else [tails[k] for k in places.tolist()]
-                else:
-                    places = np.empty(0, np.int32)
+                at = []
+                for i in miss.tolist():
+                    w = words[i]
+                    k = rare.get(w)
+                    if k is None:
+                        k = rare[w] = len(rare)
+                        tails.append(LISTED + tail_class(w))
+                    at.append(k)
+                places = np.array(at, np.int32)
+                code[miss] = [tails[k] for k in at]
                 rows.append((doc, held, np.append(code, END).astype("<i4").tobytes(), places.astype("<i4").tobytes()))
                 tokens += len(words) + 1
                 if tokens >= BLOCK_TOKENS:

@@ -2,6 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oddsmith.operators import scoring
+from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
+from oddsmith.sources import fixtures
+from oddsmith.streaming.rates import hourly_errors
+
 FLAGSHIP = "bucket_scores"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.moments(spark, sf_dir).where("primary")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(fixtures.forecasts(_primary(spark, sf_dir)))
+
+
+def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = scoring.quantile_cuts(_primary(spark, sf_dir), "win", "depth_usd")
+    return scoring.summary(scoring.with_bucket(_scored(spark, sf_dir), cuts, "win", "depth_usd"), ["win", "model", "bucket"])
+
+
+def direction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    whole = [F.col(c) for c in ("win", "model", "direction")]
+    sets = _scored(spark, sf_dir).groupingSets([whole, [*whole, F.col("band")]], *whole, F.col("band"))
+    return sets.agg(F.count("*").alias("n"), mean("brier_model"), mean("brier_market"), mean("brier_edge"))
+
+
+def trade_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda c: F.round(F.avg(c), 6)
+    rows = scoring.traded(_scored(spark, sf_dir))
+    return rows.groupBy("win", "model", "side").agg(F.count("*").alias("n"), mean("cost").alias("cost"), mean(F.col("won").cast("int")).alias("won"), mean("ret").alias("ret"))
+
+
+def murphy_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.murphy(_scored(spark, sf_dir), ["win", "model"])
+
+
+def pair_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pair_errors(_scored(spark, sf_dir), ["win"])
+
+
+def shrinkage_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.shrinkage(_scored(spark, sf_dir), ["win", "model"])
+
+
+def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.ensembles(_scored(spark, sf_dir), ["win"])
+
+
+def bootstrap_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.bootstrap_mean(_scored(spark, sf_dir), ["win", "model"], "event_id", "brier_edge")
+
+
+def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fixtures.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return scoring.latest(events, ["user_id", "event_type"], ["ts", "event_id"])
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly_errors(fixtures.table(spark, sf_dir, "events"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (bucket_scores, direction_scores, trade_returns, murphy_decomposition, pair_errors, shrinkage_fit, ensemble_scores, bootstrap_edge, latest_records)
+} | {"hourly_errors": _hourly}

@@ -161,6 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "quality"])
     model = rows.select("text", "quality", F.md5(F.col("doc_id").cast("string")).alias("at")).repartition(1).sortWithinPartitions("at")
     row = model.mapInArrow(_fit, "weights binary, bias double, scale double, offset double").first()
+    if row is None:  # no labelled rows at all
+        return np.zeros(BUCKETS, "<f4"), 0.0, 0.0, 0.0
     return np.frombuffer(row["weights"], "<f4"), row["bias"], row["scale"], row["offset"]
 
 

@@ -21,12 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Rows of token positions that one recursive query starts from, rounds it runs, and pieces that a worker remembers.
-ROWS_PER_QUERY = 800_000
+#: Rows of token positions that one recursive query starts from, most rounds it runs, rows that its rounds keep
+#: together, and pieces that a worker remembers.
+ROWS_PER_QUERY = 150_000
 ROUNDS_PER_QUERY = 64
-REMEMBERED = 400_000
+ROWS_KEPT = 2_500_000
+REMEMBERED = 120_000
 #: Characters of text that are encoded together.
-CHARS_PER_CALL = 8_000_000
+CHARS_PER_CALL = 1_000_000
 _ODD_SPACE = regex.compile(r"\s\s|^\s|\s$").search
 
 _CONTRACT = """
@@ -58,7 +60,7 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         merges = [
             ((ranks[b[:i]] << 20) + ranks[b[i:]], rank) for b, rank in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks
         ]
@@ -98,12 +100,13 @@ class Tokenizer:
             "w": w, "pos": pos, "tok": tok, "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(np.roll(tok, -1), mask=last)
         })
         while start.num_rows:
+            rounds = max(2, min(ROUNDS_PER_QUERY, ROWS_KEPT // start.num_rows))
             self.db.register("start", start)
-            self.db.execute(f"create or replace temp table state as {_CONTRACT.format(rounds=ROUNDS_PER_QUERY)}")
+            self.db.execute(f"create or replace temp table state as {_CONTRACT.format(rounds=rounds)}")
             self.db.unregister("start")
             done = self.db.sql(
                 "select w, list(tok order by pos) as ids, string_agg(bytes, '' order by pos) as text "
-                f"from state join vocab on tok = id where round < {ROUNDS_PER_QUERY} group by w"
+                f"from state join vocab on tok = id where round < {rounds} group by w"
             ).to_arrow_table().combine_chunks()
             if done.num_rows:
                 ids = done.column("ids").combine_chunks()
@@ -111,7 +114,7 @@ class Tokenizer:
                 for k, (i, text) in enumerate(zip(done.column("w").to_pylist(), done.column("text").to_pylist(), strict=True)):
                     self.ids[pieces[i]] = flat[at[k] : at[k + 1]]
                     self.bytes[pieces[i]] = text.encode("latin-1")
-            start = self.db.sql(f"select w, pos, tok, next_pos, next_tok from state where round = {ROUNDS_PER_QUERY}").to_arrow_table()
+            start = self.db.sql(f"select w, pos, tok, next_pos, next_tok from state where round = {rounds}").to_arrow_table()
 
     def _join(self, text: str) -> tuple[bytes, bytes]:
         pieces = self.split(text)

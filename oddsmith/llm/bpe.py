@@ -12,6 +12,7 @@ and ``text`` are read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 ROWS_PER_QUERY = 150_000
 ROUNDS_PER_QUERY = 64
 ROWS_KEPT = 2_500_000
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Characters of text that are encoded together.
 CHARS_PER_CALL = 1_000_000
 _ODD_SPACE = regex.compile(r"\s\s|^\s|\s$").search
@@ -41,10 +42,10 @@ with recursive rounds as (
            case when r.pos = c.pos then c.after_tok when r.next_pos = c.pos then c.merged else r.next_tok end,
            r.round + 1
     from rounds r join (
-        select best.w, best.pick & 4294967295 as pos, best.pick >> 32 as merged, best.gone, g.next_pos as after_pos, g.next_tok as after_tok
+        select best.w, cast(best.pick & 4294967295 as integer) as pos, cast(best.pick >> 32 as integer) as merged, best.gone, g.next_pos as after_pos, g.next_tok as after_tok
         from (
             select r.w, min((m.merged << 32) | r.pos) as pick, arg_min(r.next_pos, (m.merged << 32) | r.pos) as gone
-            from rounds r join merges m on (r.tok << 20) + r.next_tok = m.pair
+            from rounds r join merges m on (cast(r.tok as bigint) << 20) + r.next_tok = m.pair
             where r.round < {rounds} group by r.w
         ) best join rounds g on g.w = best.w and g.pos = best.gone
     ) c on r.w = c.w
@@ -70,7 +71,7 @@ class Tokenizer:
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)])
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.ids: dict[str, bytes] = {}
         self.bytes: dict[str, bytes] = {}
         self.runs: dict[str, tuple[bytes, bytes]] = {}
@@ -80,7 +81,16 @@ class Tokenizer:
         if len(self.ids) > REMEMBERED:
             self.ids = {p: v for p, v in self.ids.items() if p in pieces}
             self.bytes = {p: self.bytes[p] for p in self.ids}
-        new = sorted((p for p in pieces if p not in self.ids), key=len)
+        new = []
+        for p in pieces:
+            if p not in self.ids:
+                whole = p.encode()
+                rank = self.ranks.get(whole)  # a piece that is a token as it stands is not contracted
+                if rank is None:
+                    new.append(p)
+                else:
+                    self.ids[p], self.bytes[p] = rank.to_bytes(4, "little"), whole
+        new.sort(key=len)
         while new:
             rows, k = 0, len(new)
             while k and rows < ROWS_PER_QUERY:
@@ -92,8 +102,8 @@ class Tokenizer:
     def _encode(self, pieces: list[str]) -> None:
         size = np.array([len(p.encode()) for p in pieces])
         first = np.cumsum(size) - size
-        w = np.repeat(np.arange(len(pieces)), size)
-        pos = np.arange(len(w)) - np.repeat(first, size)
+        w = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        pos = (np.arange(len(w)) - np.repeat(first, size)).astype(np.int32)
         tok = self.byte[np.frombuffer("".join(pieces).encode(), np.uint8)]
         last = np.append(w[1:] != w[:-1], True)
         start = pa.table({
@@ -116,8 +126,7 @@ class Tokenizer:
                     self.bytes[pieces[i]] = text.encode("latin-1")
             start = self.db.sql(f"select w, pos, tok, next_pos, next_tok from state where round = {rounds}").to_arrow_table()
 
-    def _join(self, text: str) -> tuple[bytes, bytes]:
-        pieces = self.split(text)
+    def _join(self, pieces: list[str]) -> tuple[bytes, bytes]:
         return b"".join([self.ids[p] for p in pieces]), b"".join([self.bytes[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
@@ -128,14 +137,15 @@ class Tokenizer:
         space goes through the pattern as it is.
         """
         cut = [[t] if _ODD_SPACE(t) else t.split(" ") for t in texts]
-        new = {r for runs in cut for r in runs[1:] if r not in self.runs}
-        heads = {runs[0] for runs in cut}
-        self.learn({p for r in new for p in self.split(" " + r)} | {p for h in heads for p in self.split(h)})
-        for r in new:
-            self.runs[r] = self._join(" " + r)
-        for runs in cut:
-            known = [self._join(runs[0]), *map(self.runs.__getitem__, runs[1:])]
-            yield b"".join([k[0] for k in known]), b"".join([k[1] for k in known])
+        new = {r: self.split(" " + r) for r in {r for runs in cut for r in runs[1:]} if r not in self.runs}
+        heads = [self.split(runs[0]) for runs in cut]
+        self.learn({p for pieces in (*new.values(), *heads) for p in pieces})
+        for r, pieces in new.items():
+            self.runs[r] = self._join(pieces)
+        for head, runs in zip(heads, cut, strict=True):
+            known = [self._join(head), *map(self.runs.__getitem__, runs[1:])]
+            ids, decoded = zip(*known, strict=True)
+            yield b"".join(ids), b"".join(decoded)
         if len(self.runs) > REMEMBERED:
             self.runs.clear()
 
@@ -169,6 +179,13 @@ def _portions(texts: list[str | None]) -> Iterator[list[str]]:
 def _encoded(docs: DataFrame, path: str, pattern: str, names: list[str], types: list[pa.DataType], row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
+        gc.disable()  # nothing here makes cycles, and each pass over the remembered pieces is long
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            gc.enable()
+
+    def encoded(bpe: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [row(*x) for texts in _portions(b.column("text").to_pylist()) for x in bpe.encode(texts)]
             columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,7 @@ ROUNDS_PER_QUERY = 64
 ROWS_KEPT = 2_500_000
 REMEMBERED = 300_000
 #: Characters of text that are encoded together.
-CHARS_PER_CALL = 1_000_000
+CHARS_PER_CALL = 3_000_000
 _ODD_SPACE = regex.compile(r"\s\s|^\s|\s$").search
 
 _CONTRACT = """
@@ -72,24 +73,22 @@ class Tokenizer:
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.ids: dict[str, bytes] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.runs: dict[str, tuple[bytes, bytes]] = {}
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are new."""
-        if len(self.ids) > REMEMBERED:
-            self.ids = {p: v for p, v in self.ids.items() if p in pieces}
-            self.bytes = {p: self.bytes[p] for p in self.ids}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {p: v for p, v in self.pieces.items() if p in pieces}
         new = []
         for p in pieces:
-            if p not in self.ids:
+            if p not in self.pieces:
                 whole = p.encode()
                 rank = self.ranks.get(whole)  # a piece that is a token as it stands is not contracted
                 if rank is None:
                     new.append(p)
                 else:
-                    self.ids[p], self.bytes[p] = rank.to_bytes(4, "little"), whole
+                    self.pieces[p] = rank.to_bytes(4, "little"), whole
         new.sort(key=len)
         while new:
             rows, k = 0, len(new)
@@ -122,30 +121,42 @@ class Tokenizer:
                 ids = done.column("ids").combine_chunks()
                 flat, at = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
                 for k, (i, text) in enumerate(zip(done.column("w").to_pylist(), done.column("text").to_pylist(), strict=True)):
-                    self.ids[pieces[i]] = flat[at[k] : at[k + 1]]
-                    self.bytes[pieces[i]] = text.encode("latin-1")
+                    self.pieces[pieces[i]] = flat[at[k] : at[k + 1]], text.encode("latin-1")
             start = self.db.sql(f"select w, pos, tok, next_pos, next_tok from state where round = {rounds}").to_arrow_table()
 
     def _join(self, pieces: list[str]) -> tuple[bytes, bytes]:
-        return b"".join([self.ids[p] for p in pieces]), b"".join([self.bytes[p] for p in pieces])
+        if len(pieces) == 1:
+            return self.pieces[pieces[0]]
+        known = [self.pieces[p] for p in pieces]
+        return b"".join([k[0] for k in known]), b"".join([k[1] for k in known])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, the bytes they decode to) of each text.
 
         Every pattern of this family breaks before a lone space between two characters that are not white space, so
         texts are cut there and each distinct run is put through the pattern once.  A text with other runs of white
-        space goes through the pattern as it is.
+        space goes through the pattern as it is.  The runs' ids and bytes are gathered as Arrow arrays, where those
+        of a text lie side by side.
         """
-        cut = [[t] if _ODD_SPACE(t) else t.split(" ") for t in texts]
-        new = {r: self.split(" " + r) for r in {r for runs in cut for r in runs[1:]} if r not in self.runs}
-        heads = [self.split(runs[0]) for runs in cut]
+        whole = [_ODD_SPACE(t) is not None for t in texts]
+        heads = [self.split(t if odd else t[: t.find(" ")] if " " in t else t) for t, odd in zip(texts, whole, strict=True)]
+        cut = pc.split_pattern(pa.array(["" if odd else t for t, odd in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        first = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        runs = coded.dictionary.to_pylist()
+        at[first[:-1]] = len(runs) + np.arange(len(texts))  # a text's first run has no space before it
+        new = {r: self.split(" " + r) for r in runs if r not in self.runs}
         self.learn({p for pieces in (*new.values(), *heads) for p in pieces})
         for r, pieces in new.items():
             self.runs[r] = self._join(pieces)
-        for head, runs in zip(heads, cut, strict=True):
-            known = [self._join(head), *map(self.runs.__getitem__, runs[1:])]
-            ids, decoded = zip(*known, strict=True)
-            yield b"".join(ids), b"".join(decoded)
+        known = [*map(self.runs.__getitem__, runs), *map(self._join, heads)]
+        sides = [pa.array(side, pa.large_binary()).take(pa.array(at)) for side in zip(*known, strict=True)]
+        ends = [np.frombuffer(s.buffers()[1], np.int64)[first].tolist() for s in sides]
+        data = [memoryview(s.buffers()[2] or b"") for s in sides]
+        for k in range(len(texts)):
+            ids, decoded = (bytes(d[e[k] : e[k + 1]]) for d, e in zip(data, ends, strict=True))
+            yield ids, decoded
         if len(self.runs) > REMEMBERED:
             self.runs.clear()
 

@@ -7,6 +7,10 @@ exactly if its tally of shared positional bytes reaches four.  Candidates are ve
 A list is not expanded into pairs: a search from one member to all that it reaches yields at most one link per member,
 which joins the same members as all pairs would.  Equal fingerprints are one entry, so copies cost nothing.
 
+The corpus stage (:func:`keep_one`) is another job: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more are
+copies.  Majority bits of such texts differ in about 15 of 100, more than one bit a byte, so no radius that covers them
+guarantees a shared byte at any width; candidates come from bands of least hashes instead, and each is verified.
+
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; one with
 fewer words than a shingle has is one shingle; a null ``doc_id`` takes part, and is a component's id only if it has no
 other; repeated rows are kept; an empty table gives an empty result.
@@ -22,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import discard, store
 
@@ -30,6 +35,15 @@ SEED = 42
 RADIUS = 4
 POSITIONS = list(combinations(range(8), 8 - RADIUS))
 
+#: Near copies share 4 of 5 of their distinct shingles of so many words.
+COPY_WIDTH = 5
+COPY_SHARE = (4, 5)
+#: Least hashes are compared in bands; two texts of similarity 0.8 share none with probability (1 - 0.8^6)^50 < 3e-7.
+BANDS, BAND_ROWS = 50, 6
+_random = np.random.default_rng(SEED)
+_FACTORS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
+_TERMS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
+
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """Bit i is set if more than half of the shingles' hashes have it."""
@@ -157,11 +171,162 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One document of each group: the row with its smallest ``doc_id``, with the columns it came with."""
-    groups = near_duplicates(docs, width)
-    kept = store(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.where("_n > 1").limit(1).count():  # rows that repeat an id
-        out = out.dropDuplicates(["doc_id"])
-    return out
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``COPY_WIDTH`` words; none for a text without words."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    count = max(1, len(words) - COPY_WIDTH + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    to = ends[min(COPY_WIDTH, len(words)) - 1 :]
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:count].tolist(), to.tolist(), strict=True)), np.uint64, count))
+
+
+def _band_keys(found: np.ndarray) -> np.ndarray:
+    """One key for each band of least hashes."""
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    low = (found >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(low), 1 << 12):
+        least = np.minimum(least, (low[None, k : k + (1 << 12)] * _FACTORS[:, None] + _TERMS[:, None]).min(axis=1))
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(bands[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``_node`` (a hash of the shingles) and ``_keys`` to the rows."""
+    for b in batches:
+        nodes, keys = [], []
+        for t in b.column("text").cast(pa.binary()):
+            found = shingles(t.as_py() or b"")
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
+            keys.append(_band_keys(found).tobytes())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], [*b.schema.names, "_node", "_keys"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        nodes = b.column("_node").to_numpy(zero_copy_only=False)
+        keys = np.frombuffer(b"".join(b.column("_keys").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(nodes, BANDS))], ["key", "node"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """From rows sorted by key: the columns in runs of whole lists, with where each list starts and its size."""
+    rest = [np.empty(0, np.int64) for _ in columns]
+
+    def run(part: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate(([True], part[0][1:] != part[0][:-1])))
+        return part, first, np.diff(np.append(first, len(part[0])))
+
+    for b in batches:
+        now = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, columns, strict=True)]
+        if not len(now[0]):
+            continue
+        whole = int(np.searchsorted(now[0], now[0][-1]))
+        if whole:
+            yield run([c[:whole] for c in now])
+        rest = [c[whole:] for c in now]
+    if len(rest[0]):
+        yield run(rest)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists with more than one member."""
+    for (key, node), _, sizes in _lists(batches, ["key", "node"]):
+        many = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many])], ["key", "node"])
+
+
+def _candidates(since: int, upto: int | None):
+    """Pairs of members of a list that are not of one group yet: the pivots from ``since`` to ``upto`` with all members after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, node, root), first, sizes in _lists(batches, ["key", "node", "root"]):
+            for at, n in zip(first.tolist(), sizes.tolist(), strict=True):
+                members, roots = node[at : at + n], root[at : at + n]
+                if (roots == roots[0]).all():
+                    continue
+                for i in range(since, min(n - 1, n if upto is None else upto)):
+                    other = members[i + 1 :][roots[i + 1 :] != roots[i]]
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), members[i])), pa.array(other)], ["a", "b"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in run(batches):
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 1 << 16:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return joined
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shingles have a Jaccard similarity of ``COPY_SHARE`` at least."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both * COPY_SHARE[1] >= (len(x) + len(y) - both) * COPY_SHARE[0])
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t.as_py() or b"").tobytes() for t in b.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column("_node"), pa.array(sets, pa.binary())], ["node", "set"])
+
+
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): the rows with ``_row`` and ``_node``, and (node, root) of the nodes that have near copies.
+
+    Equal sets of shingles are one node.  Nodes that share a band are candidates; the links are those whose real Jaccard
+    similarity is high enough.  A pair is left untested only if links found before already put both in one group: first
+    each list's least member is tested with the rest, then a few more, then all.
+    """
+    spark = docs.sparkSession
+    schema = StructType([*docs.schema.fields, StructField("_row", LongType()), StructField("_node", LongType()), StructField("_keys", BinaryType())])
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_marked, schema), "marked")
+    nodes = rows.groupBy("_node").agg(F.first("_keys").alias("_keys"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = nodes.select("_node", "_keys").mapInArrow(_banded, "key long, node long")
+    lists = store(listed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "lists")
+    asked = lists.select(F.col("node").alias("_node")).distinct()
+    firsts = rows.groupBy("_node").agg(F.min("_row").alias("_row")).join(asked, "_node", "left_semi").select("_row")
+    sets = store(rows.select("_row", "_node", "text").join(firsts, "_row", "left_semi").select("_node", "text").mapInArrow(_sets, "node long, set binary"), "sets")
+    edges = roots = None
+    for since, upto in ((0, 1), (1, 8), (8, None)):
+        if roots is None:
+            placed = lists.withColumn("root", F.col("node"))
+        else:
+            placed = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        dealt = placed.repartition(n, "key").sortWithinPartitions("key", "node")
+        pairs = store(dealt.mapInArrow(_candidates(since, upto), "a long, b long").distinct(), "candidates")
+        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        found = store(sides.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges)
+    return rows, roots
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies (see :func:`copies`), with the columns it came with.
+
+    It is the first by ``doc_id`` (nulls last); of equal ids it is any.
+    """
+    rows, roots = copies(docs)
+    order = F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row",
+    )
+    least = rows.select("_node", order.alias("_order")).groupBy("_node").agg(F.min("_order").alias("_order"))
+    grouped = least.join(roots, least["_node"] == roots["node"], "left").select(F.coalesce("root", "_node").alias("_root"), "_order")
+    kept = store(grouped.groupBy("_root").agg(F.min("_order").alias("_order")).select(F.col("_order._row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

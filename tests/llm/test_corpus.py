@@ -104,6 +104,44 @@ def test_simhash_links_at_four_bits(spark):
     assert classes([(r["a"], r["b"]) for r in got]) == classes(pairs)
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_planted_copies(spark):
+    texts, shares = [], []
+    for k in range(120):
+        words = [f"d{k}w{i}" for i in range(400)]
+        copy, edits = list(words), 0
+        goal = (0.8, 0.85, 0.9, 0.95, 0.6)[k % 5]
+        while True:  # as many spread edits as the goal allows
+            more = list(copy)
+            more[7 + edits * 17] = "edit"
+            if jaccard(" ".join(words), " ".join(more)) < goal:
+                break
+            copy, edits = more, edits + 1
+        texts.append((" ".join(words), " ".join(copy)))
+        shares.append(jaccard(*texts[-1]))
+    assert min(shares) < 0.8 and all(s >= 0.8 for k, s in enumerate(shares) if k % 5 < 4)
+    rows = [(1000 * j + k, t) for k, pair in enumerate(texts) for j, t in enumerate(pair)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = {k for k, s in enumerate(shares) if s >= 0.8}
+    recall = len([k for k in near if 1000 + k not in kept]) / len(near)
+    print("recall", recall, "of", len(near))
+    assert recall == 1.0
+    assert kept == set(range(120)) | {1000 + k for k in range(120) if k not in near}
+
+
+def test_keep_one_follows_chains_and_big_groups(spark):
+    base = [f"b{i}" for i in range(300)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 300, 5)]
+    chain = [" ".join(f"c{i}" for i in range(20 * k, 20 * k + 300)) for k in range(12)]
+    rows = list(enumerate([*texts, *chain]))
+    kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [0, len(texts)]
+
+
 def test_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     known = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -320,11 +320,12 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies (see :func:`copies`), with the columns it came with.
 
-    It is the first by ``doc_id`` (nulls last); of equal ids it is any.
+    It is the first by ``doc_id`` (nulls last), then by digests of the text and of the whole row; of equal rows it is any.
     """
     rows, roots = copies(docs)
     order = F.struct(
-        F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row",
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), "_row",
     )
     least = rows.select("_node", order.alias("_order")).groupBy("_node").agg(F.min("_order").alias("_order"))
     grouped = least.join(roots, least["_node"] == roots["node"], "left").select(F.coalesce("root", "_node").alias("_root"), "_order")

@@ -142,6 +142,15 @@ def test_keep_one_follows_chains_and_big_groups(spark):
     assert sorted(kept) == [0, len(texts)]
 
 
+def test_keep_one_rows_without_an_id_of_their_own(spark):
+    other = lambda k: " ".join(f"o{k}w{i}" for i in range(60))
+    rows = [(None, other(k)) for k in range(5)] + [(7, other(5)), (7, other(6)), (3, other(7)), (4, other(7) + " end"), (4, other(8))]
+    rows += [(7, other(5)), (None, other(0)), (9, other(1))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, other(k)) for k in (0, 2, 3, 4)] + [(9, other(1)), (7, other(5)), (7, other(6)), (3, other(7)), (4, other(8))]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     known = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

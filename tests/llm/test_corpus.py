@@ -225,6 +225,20 @@ def test_mixing(spark):
     assert mixing.mix(docs).count() == sum(r["taken"] // r["size"] for r in rows)
 
 
+def test_mixing_cuts_rows_without_an_id_of_their_own(spark):
+    rows = [(None if i % 3 == 0 else i, f"t{i} " * (i % 9 + 1), ["a", "b", "c"][i // 3 % 3]) for i in range(1800)]
+    rows += [(5, "same words here", "a")] * 500 + [(None, None, "b"), (None, "alike " * 4, "d")] + [(None, "alike " * 4, "d")] * 999
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sizes(docs).collect()
+    assert len(found) == len(rows)
+    for size, target in {(r["source_size"], r["target"]) for r in found}:
+        assert abs(sum(r["taken"] for r in found if (r["source_size"], r["target"]) == (size, target)) - target) <= 5
+    assert sorted(found, key=str) == sorted(mixing.mix_sizes(docs).collect(), key=str)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in found)
+
+
 def test_classifier(spark):
     text = lambda i: "plain words make a calm sentence here " * 5 if i % 2 else "$$ buy!! NOW 999 cl1ck " * 6
     docs = spark.createDataFrame([(i, f"{text(i)} {i}") for i in range(300)], "doc_id long, text string")

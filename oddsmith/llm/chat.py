@@ -121,27 +121,51 @@ def read_turns(text: Column) -> Column:
     )
 
 
-def digests(rendered: DataFrame) -> DataFrame:
-    """What a reader of the output finds: turns, trained text and the size of all examples, per conversation.
+def written(rendered: DataFrame) -> DataFrame:
+    """Every example with its text, and the rest that no reply follows: conv_id, example, text, loss_start, loss_length, last.
 
-    ``formatted_chars`` adds up the examples; a conversation that does not end with a reply counts its whole transcript
-    once more, as the context that no reply follows.
+    A conversation that does not end with a reply has one more row, its whole transcript, with nothing to train on.
     """
-    read = rendered.select(
+    ends = F.endswith(F.col("text"), F.lit("</s>"))
+    whole = F.struct(F.length("text").cast("long").alias("start"), F.lit(0).cast("long").alias("length"))
+    parts = F.when(ends, F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.lit("</s>").alias("tail")))).otherwise(
+        F.concat(
+            F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.lit("</s>").alias("tail"))),
+            F.array(F.struct(whole["start"].alias("start"), whole["length"].alias("length"), F.lit("").alias("tail"))),
+        )
+    )
+    rows = rendered.withColumn("_parts", parts)
+    rows = rows.select("conv_id", "text", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("example", "_part"))
+    return rows.select(
         "conv_id",
-        "spans",
-        "text",
-        read_turns(F.col("text")).alias("turns"),
-        F.array_join(
-            F.transform("spans", lambda s: unescape(F.substring(F.col("text"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""
-        ).alias("loss"),
+        "example",
+        F.expr("substring(text, 1, cast(_part.start + _part.length as int) + length(_part.tail))").alias("text"),
+        F.col("_part.start").alias("loss_start"),
+        F.col("_part.length").alias("loss_length"),
+        (F.col("example") == F.col("_n") - 1).alias("last"),
     )
-    total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["start"] + s["length"] + len("</s>"))
-    return read.select(
+
+
+def digests(rendered: DataFrame) -> DataFrame:
+    """What a reader of the examples finds: turns, trained text and the size of all examples, per conversation.
+
+    Each example's text is written out and read; the turns are those of a conversation's last row, which holds them all.
+    """
+    turns = read_turns(F.col("text"))
+    told = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = unescape(F.expr("substring(text, cast(loss_start as int) + 1, cast(loss_length as int))"))
+    read = written(rendered).select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        (total + F.when(F.endswith(F.col("text"), F.lit("</s>")), F.lit(0)).otherwise(F.length("text"))).cast("long").alias("formatted_chars"),
+        "example",
+        F.length("text").cast("long").alias("chars"),
+        loss.alias("loss"),
+        F.when(F.col("last"), F.size(turns).cast("long")).alias("n_turns"),
+        F.when(F.col("last"), F.sha2(told, 256)).alias("turns_sha256"),
+    )
+    met = read.groupBy("conv_id").agg(
+        F.max("n_turns").alias("n_turns"),
+        F.max("turns_sha256").alias("turns_sha256"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("example", "loss")))["loss"], "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
     )
+    return met.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

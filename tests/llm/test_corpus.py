@@ -198,6 +198,30 @@ def test_chat_round_trip(spark):
     assert got[None]["n_turns"] == 1
 
 
+def test_chat_writes_every_example(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", ""), (1, 4, "user", "\U0001f600 e"), (2, 0, "user", "</s>"), (3, 0, "assistant", "f\nf")]
+    turns += [(4, i, ("user", "assistant")[i % 2], f"t{i}" * (i % 5)) for i in range(300)]
+    want, sizes = [], Counter()
+    for conv in (1, 2, 3, 4):
+        text, k, mine = "", 0, [t for t in turns if t[0] == conv]
+        for _, _, role, said in mine:
+            body = said.replace("</s>", "<\\/s>")
+            if role == "assistant":
+                want.append((conv, k, f"{text}<s>{body}</s>", len(text) + 3, len(body)))
+                k += 1
+            text += f"<s>{body}</s>" if role == "assistant" else f"[INST] {role}\n{body} [/INST]"
+        if mine[-1][2] != "assistant":
+            want.append((conv, k, text, len(text), 0))
+    for conv, _, text, *_ in want:
+        sizes[conv] += len(text)
+    rendered = chat.transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = [tuple(r)[:5] for r in chat.written(rendered).collect()]
+    assert sorted(got) == sorted(want)
+    replies = [w for w in want if w[2].endswith("</s>")]
+    assert sorted(tuple(r) for r in chat.expand(rendered).collect()) == sorted(replies)
+    assert {r["conv_id"]: r["formatted_chars"] for r in chat.digests(rendered).collect()} == sizes
+
+
 def test_rules_ledger(docs):
     rows = {r["doc_id"]: r for r in rules.ledger(docs).collect()}
     assert rows[0]["n_words"] == 0 and rows[12]["n_repeat_words"] == rows[12]["n_words"] == 280

@@ -53,7 +53,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
         flips = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")  # folded to one constant
         probes = _segments(active).select(F.col("code").alias("q"), "segment", "value", F.explode(flips).alias("flip"))
         probes = probes.select("q", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        found = probes.join(index, ["segment", "value"]).select("q", "code").distinct()
+        found = probes.hint("merge").join(index, ["segment", "value"]).select("q", "code").distinct()
         found = found.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
         if best is not None:
             found = found.unionByName(best.join(active.select(F.col("code").alias("q")), "q", "left_semi")).distinct()

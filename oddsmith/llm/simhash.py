@@ -40,6 +40,8 @@ COPY_WIDTH = 5
 COPY_SHARE = (4, 5)
 #: Least hashes are compared in bands; two texts of similarity 0.8 share none with probability (1 - 0.8^6)^50 < 3e-7.
 BANDS, BAND_ROWS = 50, 6
+#: Lists of more members than this are compared by blocks of so many shingles; both ways find the same groups.
+PAIRED, BLOCK = 48, 1 << 18
 _random = np.random.default_rng(SEED)
 _FACTORS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
 _TERMS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
@@ -241,7 +243,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(since: int, upto: int | None):
-    """Pairs of members of a list that are not of one group yet: the pivots from ``since`` to ``upto`` with all members after them."""
+    """Pairs of members of a list that are not of one group yet: the pivots from ``since`` to ``upto`` with all members after them.
+
+    Without ``upto``, only lists of up to ``PAIRED`` members; :func:`_blocks` has the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, node, root), first, sizes in _lists(batches, ["key", "node", "root"]):
@@ -249,6 +254,8 @@ def _candidates(since: int, upto: int | None):
                 members, roots = node[at : at + n], root[at : at + n]
                 if (roots == roots[0]).all():
                     continue
+                if upto is None and n > PAIRED:
+                    continue
                 for i in range(since, min(n - 1, n if upto is None else upto)):
                     other = members[i + 1 :][roots[i + 1 :] != roots[i]]
                     if len(other):
@@ -279,6 +286,79 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of work for lists of more than ``PAIRED`` members of several groups: every two blocks of members meet in one.
+
+    A block holds ``BLOCK`` shingles (or one member), so a unit is of bounded size however many members a list has.
+    """
+    for (key, node, root, size), first, sizes in _lists(batches, ["key", "node", "root", "size"]):
+        for at, n in zip(first.tolist(), sizes.tolist(), strict=True):
+            roots = root[at : at + n]
+            if n <= PAIRED or (roots == roots[0]).all():
+                continue
+            block = (np.cumsum(size[at : at + n]) - 1) // BLOCK
+            _, block = np.unique(block, return_inverse=True)
+            starts = np.searchsorted(block, np.arange(block[-1] + 2))
+            for i in range(block[-1] + 1):
+                for j in range(i, block[-1] + 1):
+                    unit = xxhash.xxh64_intdigest(b"%d %d %d" % (key[at], i, j)) - (1 << 63)
+                    for k in {i, j}:
+                        part = slice(at + starts[k], at + starts[k + 1])
+                        m = starts[k + 1] - starts[k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, unit)), pa.array(np.full(m, k != i)), pa.array(node[part]), pa.array(root[part])], ["unit", "second", "node", "root"])
+
+
+def _unit_links(second: np.ndarray, node: np.ndarray, root: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+    """Links between members of a unit's two blocks (or within its one), enough to join what all its links would join."""
+    size = np.array([len(x) // 8 for x in sets])
+    _, ids = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    off = np.cumsum(size) - size
+    mark = np.zeros(ids.max(initial=0) + 1, np.int32)
+    _, group = np.unique(root, return_inverse=True)
+    large = np.argmax(np.bincount(group))
+    two = second.any()
+    found = []
+    for i in np.flatnonzero(group != large).tolist():
+        if group[i] == large:
+            continue
+        other = group != group[i]
+        if two:
+            other &= second != second[i]
+        if not other.any() or not size[i]:
+            continue
+        mark[ids[off[i] : off[i] + size[i]]] = 1
+        both = np.add.reduceat(np.append(mark[ids], 0), off)
+        mark[ids[off[i] : off[i] + size[i]]] = 0
+        near = np.flatnonzero(other & (size > 0) & (both * COPY_SHARE[1] >= (size + size[i] - both) * COPY_SHARE[0]))
+        for g in np.unique(group[near]).tolist():  # one link joins a whole group
+            found.append((int(node[i]), int(node[near[group[near] == g][0]])))
+        if len(near):
+            joined = np.isin(group, group[near])
+            group[joined | (group == group[i])] = large if (group[near] == large).any() else group[i]
+    return found
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the units, from rows sorted by unit."""
+    rows: list[tuple] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        second, node, root = (np.array(c) for c in list(zip(*rows, strict=True))[1:4])
+        links = _unit_links(second, node, root, [r[4] for r in rows])
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for b in batches:
+        for r in zip(*[b.column(c).to_pylist() for c in ("unit", "second", "node", "root", "set")], strict=True):
+            if rows and r[0] != rows[-1][0]:
+                yield from out()
+                rows = []
+            rows.append(r)
+    if rows:
+        yield from out()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t.as_py() or b"").tobytes() for t in b.column("text").cast(pa.binary())]
@@ -290,7 +370,9 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Equal sets of shingles are one node.  Nodes that share a band are candidates; the links are those whose real Jaccard
     similarity is high enough.  A pair is left untested only if links found before already put both in one group: first
-    each list's least member is tested with the rest, then a few more, then all.
+    each list's least member is tested with the rest, then a few more, then all.  In that last round the lists of up to
+    ``PAIRED`` members become pairs, which meet their sets by two joins; of longer ones, blocks of members meet, so a set
+    travels once for each block instead of once for each pair.
     """
     spark = docs.sparkSession
     schema = StructType([*docs.schema.fields, StructField("_row", LongType()), StructField("_node", LongType()), StructField("_keys", BinaryType())])
@@ -313,6 +395,12 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         found = store(sides.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links")
         edges = found if edges is None else edges.unionByName(found)
+        if upto is None:
+            sized = placed.join(sets.select("node", (F.length("set") / 8).cast("long").alias("size")), "node").select("key", "node", "root", "size")
+            units = sized.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_blocks, "unit long, second boolean, node long, root long")
+            units = store(units, "units")
+            met = units.join(sets, "node").select("unit", "second", "node", "root", "set").repartition(n, "unit").sortWithinPartitions("unit", "node")
+            edges = edges.unionByName(store(met.mapInArrow(_met, "a long, b long"), "links"))
         roots = components(edges)
     return rows, roots
 

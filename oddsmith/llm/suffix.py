@@ -1,6 +1,6 @@
 """Exact removal of repeated byte strings: content-picked anchors, then hash-compared suffix sorts with verification.
 
-A string of ``LENGTH`` bytes is assigned to the anchor in it: the ``GRAM``-byte piece whose hash is least.  Equal strings have
+A string of ``length`` bytes (``LENGTH`` if not said otherwise) is assigned to the anchor in it: the ``GRAM``-byte piece whose hash is least.  Equal strings have
 equal anchors at equal places, so only stretches of text around equal anchors need comparing, and strings around
 anchors that occur once occur once.  Each text is cut into stretches (all strings of one anchor) and
 
@@ -13,7 +13,7 @@ anchors that occur once occur once.  Each text is cut into stretches (all string
    are divided into cells of neighbouring strings, whose anchor is all that a cell's strings have in common, until few
    kinds share one; a cell of one string is its own anchor.
 
-Edge cases: a null text counts as empty; texts shorter than ``LENGTH`` lose nothing; equal texts, and so repeated rows, are
+Edge cases: a null text counts as empty; texts shorter than ``length`` lose nothing; equal texts, and so repeated rows, are
 repeats of each other; a null or repeated ``doc_id`` does not matter, as spans are found per distinct text; an
 empty table gives an empty result.
 """
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import partitions, store, text_of
 
 LENGTH = 400
+#: For the pipeline: no passage of over 50 words of ordinary prose is shorter.
+PASSAGE = 240
 GRAM = 64
 KINDS_PER_TASK = 4_096
 #: Bytes of one text that are cut into stretches at a time.
@@ -82,13 +84,13 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def stretches(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor hash, anchor place, first and last start of the strings assigned to it) of a text, in parts."""
-    for at in range(0, max(0, len(data) - LENGTH + 1), _STEP):
-        part = np.frombuffer(data, np.uint8, min(len(data) - at, _STEP + LENGTH - 1), at)
+    for at in range(0, max(0, len(data) - length + 1), _STEP):
+        part = np.frombuffer(data, np.uint8, min(len(data) - at, _STEP + length - 1), at)
         grams = window_hashes(prefix_hashes(part), GRAM)
         places = np.arange(len(grams), dtype=np.uint64)
-        best = _least((grams & ~np.uint64((1 << 24) - 1)) | places, LENGTH - GRAM + 1) & np.uint64((1 << 24) - 1)
+        best = _least((grams & ~np.uint64((1 << 24) - 1)) | places, length - GRAM + 1) & np.uint64((1 << 24) - 1)
         best = best.astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
         last = np.append(first[1:], len(best)) - 1
@@ -103,29 +105,35 @@ def _digest(x: bytes) -> bytes:
 ROW = "anchor long, key binary, place long, first long, last long, seen boolean, bytes binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(length: int):
     """(anchor, kind, key, place, first, last) of every stretch."""
-    parts: list[tuple] = []
-    keys: list[bytes] = []
-    kinds: list[bytes] = []
-
-    def out() -> pa.RecordBatch:
-        anchor, place, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-        arrays = [pa.array(anchor), pa.array(kinds, pa.binary()), pa.array(keys, pa.binary()), pa.array(place), pa.array(first), pa.array(last)]
-        return pa.RecordBatch.from_arrays(arrays, ["anchor", "kind", "key", "place", "first", "last"])
-
-    for b in batches:
-        for key, value in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-            text = value.as_py()
-            for part in stretches(text):
-                parts.append(part)
-                keys += [key] * len(part[0])
-                kinds += [_digest(text[a : z + LENGTH]) for a, z in zip(part[2].tolist(), part[3].tolist(), strict=True)]
-            if len(keys) > 20_000:
-                yield out()
-                parts, keys, kinds = [], [], []
-    if keys:
-        yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        keys: list[bytes] = []
+        kinds: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            anchor, place, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
+            arrays = [pa.array(anchor), pa.array(kinds, pa.binary()), pa.array(keys, pa.binary()), pa.array(place), pa.array(first), pa.array(last)]
+            return pa.RecordBatch.from_arrays(arrays, ["anchor", "kind", "key", "place", "first", "last"])
+
+        for b in batches:
+            for key, value in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                text = value.as_py()
+                for whole in stretches(text, length):
+                    for k in range(0, len(whole[0]), 20_000):  # a run of one byte has a stretch for each
+                        part = tuple(x[k : k + 20_000] for x in whole)
+                        parts.append(part)
+                        keys += [key] * len(part[0])
+                        kinds += [_digest(text[a : z + length]) for a, z in zip(part[2].tolist(), part[3].tolist(), strict=True)]
+                        if len(keys) > 20_000:
+                            yield out()
+                            parts, keys, kinds = [], [], []
+        if keys:
+            yield out()
+
+    return run
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -134,31 +142,36 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in ROW.split(", ")])
 
 
-def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _taken(length: int):
     """The bytes of the stretches that are asked of a text."""
-    for b in batches:
-        rows: list[tuple] = []
-        for key, value, asked in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), b.column("asked").to_pylist(), strict=True):
-            text = value.as_py()
-            rows += [(a["anchor"], key, a["place"], a["first"], a["last"], a["seen"], text[a["first"] : a["last"] + LENGTH]) for a in asked]
-            if len(rows) > 5_000:
-                yield _rows(rows)
-                rows = []
-        yield _rows(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for key, value, asked in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), b.column("asked").to_pylist(), strict=True):
+                text = value.as_py()
+                for k in range(0, len(asked), 5_000):
+                    rows += [(a["anchor"], key, a["place"], a["first"], a["last"], a["seen"], text[a["first"] : a["last"] + length]) for a in asked[k : k + 5_000]]
+                    if len(rows) > 5_000:
+                        yield _rows(rows)
+                        rows = []
+            yield _rows(rows)
+
+    return run
 
 
-def _divided(cell: int):
+def _divided(cell: int, length: int):
     """Stretches by ``cell`` neighbouring strings, counted from the anchor, whose new anchor is what all strings of a cell share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, kinds = [], []
             for r in b.to_pylist():
-                origin = r["place"] - (LENGTH - GRAM)  # no string of the anchor starts before
+                origin = r["place"] - (length - GRAM)  # no string of the anchor starts before
                 for low in range(origin + (r["first"] - origin) // cell * cell, r["last"] + 1, cell):
                     first, last = max(low, r["first"]), min(low + cell - 1, r["last"])
-                    data = r["bytes"][first - r["first"] : last - r["first"] + LENGTH]
-                    core = data[max(0, low + cell - 1 - first) : low + LENGTH - first]
+                    data = r["bytes"][first - r["first"] : last - r["first"] + length]
+                    core = data[max(0, low + cell - 1 - first) : low + length - first]
                     name = _digest(b"%d %d " % (r["anchor"], low - origin) + core)
                     rows.append((int.from_bytes(name[:8], "little", signed=True), r["key"], r["place"], first, last, False, data))
                     kinds.append(_digest(data))
@@ -227,7 +240,7 @@ class Suffixes:
         return best
 
 
-def repeats(rows: list[tuple]) -> list[tuple[bytes, int, int]]:
+def repeats(rows: list[tuple], length: int = LENGTH) -> list[tuple[bytes, int, int]]:
     """(key, start, end) of the repeated bytes in the unseen ones of some rows as in ``ROW``, with whole anchors."""
     data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
     size = np.array([len(r[6]) for r in rows])
@@ -239,7 +252,7 @@ def repeats(rows: list[tuple]) -> list[tuple[bytes, int, int]]:
     mirrored = len(data) - at
     left = Suffixes(np.ascontiguousarray(data[::-1]), mirrored, len(data) - off, group).longest()
     low = np.maximum(first - place, -left)
-    high = np.minimum(last - place, right - LENGTH)
+    high = np.minimum(last - place, right - length)
     count = np.maximum(high - low + 1, 0)
     of = np.repeat(np.arange(len(rows)), count)
     shift = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -247,7 +260,7 @@ def repeats(rows: list[tuple]) -> list[tuple[bytes, int, int]]:
         return []
     prefix, inverse = prefix_hashes(data), _powers(len(data) + 1)[1]
     p = at[of] + shift
-    hashed = (prefix[p + LENGTH] - prefix[p]) * inverse[p]
+    hashed = (prefix[p + length] - prefix[p]) * inverse[p]
     hashed = _mixed(hashed + _mixed(group[of].view(np.uint64) + shift.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
     order = np.lexsort((of, hashed))
     same = hashed[order[1:]] == hashed[order[:-1]]
@@ -265,64 +278,68 @@ def repeats(rows: list[tuple]) -> list[tuple[bytes, int, int]]:
         breaks = np.flatnonzero((np.diff(wanted) != 1) | (np.diff(of[wanted]) != 0) | (np.diff(mate[wanted]) != 0)) + 1
         for run in np.split(wanted, breaks):
             i, j, s, e = int(of[run[0]]), int(mate[run[0]]), int(shift[run[0]]), int(shift[run[-1]])
-            mine, theirs = (data[at[x] + s : at[x] + e + LENGTH] for x in (i, j))
+            mine, theirs = (data[at[x] + s : at[x] + e + length] for x in (i, j))
             if np.array_equal(mine, theirs):
-                spans.append((rows[i][1], int(place[i]) + s, int(place[i]) + e + LENGTH))
+                spans.append((rows[i][1], int(place[i]) + s, int(place[i]) + e + length))
             else:  # hashes clashed: look at these strings themselves
                 for t in range(s, e + 1):
-                    here = data[at[i] + t : at[i] + t + LENGTH]
+                    here = data[at[i] + t : at[i] + t + length]
                     others = [x for x in np.flatnonzero((group == group[i]) & (low <= t) & (t <= high)) if x != i]
-                    if any(np.array_equal(here, data[at[x] + t : at[x] + t + LENGTH]) for x in others):
-                        spans.append((rows[i][1], int(place[i]) + t, int(place[i]) + t + LENGTH))
+                    if any(np.array_equal(here, data[at[x] + t : at[x] + t + length]) for x in others):
+                        spans.append((rows[i][1], int(place[i]) + t, int(place[i]) + t + length))
     return spans
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(length: int):
     """Spans of repeated bytes, from rows sorted by anchor; some whole anchors at a time."""
-    rows: list[tuple] = []
-    held = 0
 
     def out(some: list[tuple]) -> Iterator[pa.RecordBatch]:
-        spans = repeats(some) if some else []
+        spans = repeats(some, length) if some else []
         if spans:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*spans, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["key", "start", "end"])
 
-    for b in batches:
-        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if held > 1 << 20 and r[0] != rows[-1][0]:
-                yield from out(rows)
-                rows, held = [], 0
-            rows.append(r)
-            held += len(r[6])
-    yield from out(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held > 1 << 20 and r[0] != rows[-1][0]:
+                    yield from out(rows)
+                    rows, held = [], 0
+                rows.append(r)
+                held += len(r[6])
+        yield from out(rows)
+
+    return run
 
 
 def _key() -> Column:
-    return F.unhex(F.md5(text_of()))
+    """Digest of a text: 128 bits of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text_of().cast("binary"), 256), 1, 32))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(key, start, end): spans of repeated bytes of each distinct text, unmerged; ``key`` is the text's MD5 digest."""
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, start, end): spans of repeated bytes of each distinct text, unmerged; ``key`` is the text's digest."""
     spark = docs.sparkSession
     texts = docs.select(_key().alias("key"), text_of().alias("text"))
-    cut = store(texts.mapInArrow(_cut, "anchor long, kind binary, key binary, place long, first long, last long"), "stretches")
+    cut = store(texts.mapInArrow(_cut(length), "anchor long, kind binary, key binary, place long, first long, last long"), "stretches")
     anchors = cut.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
     shared = store(cut.join(anchors, "anchor"), "shared")
-    found, rows = _settle(shared)
+    found, rows = _settle(shared, length)
     ids = docs.select("doc_id", _key().alias("key")).groupBy("key").agg(F.min("doc_id").alias("_one"))
     asked = rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "first", "last", "seen", "many")).alias("asked")).join(ids, "key")
     source = docs.select("doc_id", text_of().alias("text"), _key().alias("_key"))
     joined = source.join(asked, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("_one")))
     many = rows.where("many").select("anchor").distinct()
-    taken = store(joined.select("key", "text", "asked").mapInArrow(_taken, ROW), "taken")
+    taken = store(joined.select("key", "text", "asked").mapInArrow(_taken(length), ROW), "taken")
     hot = many.limit(1).count() > 0
     compare = [taken.join(many, "anchor", "left_anti") if hot else taken]
     todo = taken.join(many, "anchor", "left_semi") if hot else None
-    cell = 256
+    cell = 1 << (length - GRAM - 1).bit_length() - 1  # no more than a stretch can have
     while todo is not None:
-        halves = store(todo.mapInArrow(_divided(cell), ROW + ", kind binary"), "cells")
+        halves = store(todo.mapInArrow(_divided(cell, length), ROW + ", kind binary"), "cells")
         cell //= 2
-        more, rest = _settle(halves, ["bytes"])
+        more, rest = _settle(halves, length, ["bytes"])
         found = found.unionByName(more)
         rest = store(rest, "kinds")
         compare.append(rest.where("not many").select(*taken.columns))
@@ -333,16 +350,16 @@ def spans(docs: DataFrame) -> DataFrame:
     for more in compare[1:]:
         rows = rows.unionByName(more)
     dealt = rows.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    return found.unionByName(dealt.mapInArrow(_compared, "key binary, start long, end long"))
+    return found.unionByName(dealt.mapInArrow(_compared(length), "key binary, start long, end long"))
 
 
-def _settle(stretched: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _settle(stretched: DataFrame, length: int, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Spans of the stretches that are equal as a whole, and one row of each kind that must still be compared."""
     at = ["key", "place", "first", "last", *(extra or [])]
     kinds = stretched.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("one"))
     kinds = store(kinds, "kinds")
     whole = stretched.select("anchor", "kind", "key", "first", "last").join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"])
-    found = whole.select("key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    found = whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     per = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds"), F.count_if(F.col("n") == 1).alias("_unseen"))
     per = per.where("_kinds > 1 and _unseen > 0").select("anchor", (F.col("_kinds") > KINDS_PER_TASK).alias("many"))
     return found, kinds.join(per, "anchor").select("anchor", "one.*", (F.col("n") > 1).alias("seen"), "many")
@@ -367,14 +384,14 @@ def kept_bytes(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents' columns, with the text (null as empty) in ``_text`` and its spans, if any, in ``_spans``."""
-    per_text = spans(docs).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], text_of().alias("_text"), _key().alias("_key"))
-    return keyed.join(per_text.hint("shuffle_hash"), F.col("_key") == F.col("key"), "left").drop("_key", "key")
+def _with_spans(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
+    """The documents' columns, as ``_given``, with the text (null as empty) in ``_text`` and its spans, if any, in ``_spans``."""
+    per_text = spans(docs, length).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_given"), text_of().alias("_text"), _key().alias("_key"))
+    return keyed.join(per_text.hint("shuffle_hash"), F.col("_key") == F.col("key"), "left").select("_given", "_text", "_spans")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the sha-256 of the kept bytes of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,13 +403,13 @@ def digests(docs: DataFrame) -> DataFrame:
                 rows.append((len(text), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("_given").field("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs, ["doc_id"]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, ["doc_id"], length).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """The documents without their repeated bytes, with the columns they came with.
 
     A character that a span cuts through goes as a whole; a text in which nothing is left stays as an empty one.
@@ -406,9 +423,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for value, found in zip(b.column("_text").cast(pa.binary()), b.column("_spans").to_pylist(), strict=True):
                 text = value.as_py()
                 texts.append(kept_bytes(text, merged([(s["start"], s["end"]) for s in found])).decode("utf-8", "ignore") if found else text.decode())
-            out = {c: b.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            out = {c: b.column("_given").field(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in out:
-                out["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(b.schema.field("n_chars").type)
+                out["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return _with_spans(docs, names).mapInArrow(run, docs.schema)
+    return _with_spans(docs, names, length).mapInArrow(run, docs.schema)

@@ -275,3 +275,30 @@ def test_classifier(spark):
 @pytest.mark.parametrize("run", [suffix.digests, brown.score, simhash.near_duplicates, rules.ledger, mixing.mix_sizes, lambda d: bpe.digests(d, RANKS, PATTERN)])
 def test_empty_table(docs, run):
     assert run(docs.limit(0)).count() == 0
+
+
+def test_copies_by_blocks_are_those_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 700)
+    random = __import__("random").Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(w if random.random() > 0.028 else f"x{k}{i}" for i, w in enumerate(base)) for k in range(60)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 5 < len(set(root)) < 55
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(root)
+
+
+def test_repeats_of_any_length_and_clashing_columns(spark, docs):
+    passage = " ".join(f"p{i}q" for i in range(60))
+    rows = [(1, "alpha " * 9 + passage + " omega", 1, "k"), (2, "beta " * 7 + passage + " end", 2, "k"), (3, passage[:200], 3, "k")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, start int, key string")
+    out = {r["doc_id"]: r for r in suffix.remove_repeats(given).collect()}
+    assert passage[20:-20] not in out[1]["text"] + out[2]["text"] and out[1]["text"].startswith("alpha ") and out[2]["text"].endswith("end")
+    assert out[3]["text"] == rows[2][1] and (out[3]["start"], out[3]["key"]) == (3, "k")
+    assert suffix.remove_repeats(docs).columns == docs.columns and suffix.remove_repeats(docs).count() == docs.count()

@@ -4,8 +4,12 @@ Token-position rows join the merge table; in every round each word's leftmost pa
 no word has a pair left.  Ordered aggregation puts a word's tokens, and the bytes they stand for, together.  Texts are
 split by the tokenizer's pattern, and every distinct piece of a partition is encoded once.
 
-Edge cases: a null text counts as empty and has no tokens; very long pieces are contracted in bounded spans of rounds, so
-their history is not kept whole; repeated rows are encoded alike; an empty table gives an empty result; only ``doc_id``
+A piece of more than ``LONG`` bytes is encoded as overlapping chunks, all in the same rounds.  Two chunks are joined at a token
+that both have at the same place, so every two neighbours of the result are neighbours in the encoding of some chunk; a
+sequence of which that holds is the encoding of the whole.  Chunks that share no token are joined at a new chunk that starts at
+a token of the first.
+
+Edge cases: a null text counts as empty and has no tokens; long pieces take time in proportion to their length; repeated rows are encoded alike; an empty table gives an empty result; only ``doc_id``
 and ``text`` are read.
 """
 
@@ -29,6 +33,8 @@ ROWS_PER_QUERY = 150_000
 ROUNDS_PER_QUERY = 64
 ROWS_KEPT = 2_500_000
 REMEMBERED = 300_000
+#: Bytes of the longest piece that is contracted as a whole, and of the chunks of longer ones (each starts halfway through the last).
+LONG, CHUNK = 1_024, 512
 #: Characters of text that are encoded together.
 CHARS_PER_CALL = 3_000_000
 _ODD_SPACE = regex.compile(r"\s\s|^\s|\s$").search
@@ -72,6 +78,8 @@ class Tokenizer:
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(b) for b in ranks]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.runs: dict[str, tuple[bytes, bytes]] = {}
@@ -80,30 +88,81 @@ class Tokenizer:
         """Encode the pieces that are new."""
         if len(self.pieces) > REMEMBERED:
             self.pieces = {p: v for p, v in self.pieces.items() if p in pieces}
-        new = []
+        new, long = [], []
         for p in pieces:
             if p not in self.pieces:
                 whole = p.encode()
                 rank = self.ranks.get(whole)  # a piece that is a token as it stands is not contracted
-                if rank is None:
-                    new.append(p)
-                else:
+                if rank is not None:
                     self.pieces[p] = rank.to_bytes(4, "little"), whole
-        new.sort(key=len)
-        while new:
-            rows, k = 0, len(new)
+                else:
+                    (long if len(whole) > LONG else new).append((p, whole))
+        found = self._contracted([whole for _, whole in new])
+        self.pieces |= {p: found[whole] for p, whole in new}
+        parts = {whole[k : k + CHUNK] for _, whole in long for k in range(0, len(whole), CHUNK // 2)}
+        chunks = {c: np.frombuffer(v[0], "<u4") for c, v in self._contracted(list(parts)).items()}
+        for p, whole in long:
+            self.pieces[p] = self._stitched(whole, chunks)
+
+    def _contracted(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Ids and decoded bytes of each piece, some rows of positions at a time."""
+        pieces = sorted(set(pieces), key=len)
+        found: dict[bytes, tuple[bytes, bytes]] = {}
+        while pieces:
+            rows, k = 0, len(pieces)
             while k and rows < ROWS_PER_QUERY:
                 k -= 1
-                rows += len(new[k])
-            self._encode(new[k:])
-            del new[k:]
+                rows += len(pieces[k])
+            self._encode(pieces[k:], found)
+            del pieces[k:]
+        return found
+
+    def _stitched(self, data: bytes, chunks: dict[bytes, np.ndarray]) -> tuple[bytes, bytes]:
+        """Ids and decoded bytes of a long piece, from those of its chunks."""
+
+        def coded(at: int) -> tuple[np.ndarray, np.ndarray]:
+            part = data[at : at + CHUNK]
+            if part not in chunks:
+                chunks[part] = np.frombuffer(self._contracted([part])[part][0], "<u4")
+            ids = chunks[part]
+            return ids, at + np.cumsum(self.size[ids]) - self.size[ids]
+
+        at, done, out = 0, 0, []
+        ids, starts = coded(0)
+        while at + CHUNK < len(data):
+            other = (at + CHUNK // 2) // (CHUNK // 2) * (CHUNK // 2)
+            next_ids, next_starts = coded(other)
+            _, i, j = np.intersect1d(starts, next_starts, return_indices=True)
+            same = (ids[i] == next_ids[j]) & (starts[i] >= done)
+            i, j = i[same], j[same]
+            if len(i):
+                k = int(np.argmin(np.abs(starts[i] - other - CHUNK // 4)))  # far from both chunks' ends
+                cut, place = int(i[k]), int(j[k])
+            else:
+                for cut in np.flatnonzero(starts > max(done, at)).tolist()[::-1]:
+                    other = int(starts[cut])
+                    next_ids, next_starts = coded(other)
+                    pair = data[int(starts[cut - 1]) : other + int(self.size[next_ids[0]])]
+                    if next_ids[0] == ids[cut] or self._contracted([pair])[pair][0] == np.array([ids[cut - 1], next_ids[0]], "<u4").tobytes():
+                        break
+                else:
+                    return self._contracted([data])[data]
+                place = 0
+            out.append(ids[np.searchsorted(starts, done) : cut])
+            ids, starts, at, done = next_ids, next_starts, other, int(next_starts[place])
+        out.append(ids[np.searchsorted(starts, done) :])
+        whole = np.concatenate(out).astype("<u4")
+        self.db.register("given", pa.table({"pos": np.arange(len(whole)), "tok": whole}))
+        text = self.db.sql("select string_agg(bytes, '' order by pos) from given join vocab on tok = id").fetchall()[0][0]
+        self.db.unregister("given")
+        return whole.tobytes(), text.encode("latin-1")
 
-    def _encode(self, pieces: list[str]) -> None:
-        size = np.array([len(p.encode()) for p in pieces])
+    def _encode(self, pieces: list[bytes], into: dict[bytes, tuple[bytes, bytes]]) -> None:
+        size = np.array([len(p) for p in pieces])
         first = np.cumsum(size) - size
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
         pos = (np.arange(len(w)) - np.repeat(first, size)).astype(np.int32)
-        tok = self.byte[np.frombuffer("".join(pieces).encode(), np.uint8)]
+        tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         last = np.append(w[1:] != w[:-1], True)
         start = pa.table({
             "w": w, "pos": pos, "tok": tok, "next_pos": pa.array(pos + 1, mask=last), "next_tok": pa.array(np.roll(tok, -1), mask=last)
@@ -121,7 +180,7 @@ class Tokenizer:
                 ids = done.column("ids").combine_chunks()
                 flat, at = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
                 for k, (i, text) in enumerate(zip(done.column("w").to_pylist(), done.column("text").to_pylist(), strict=True)):
-                    self.pieces[pieces[i]] = flat[at[k] : at[k + 1]], text.encode("latin-1")
+                    into[pieces[i]] = flat[at[k] : at[k + 1]], text.encode("latin-1")
             start = self.db.sql(f"select w, pos, tok, next_pos, next_tok from state where round = {rounds}").to_arrow_table()
 
     def _join(self, pieces: list[str]) -> tuple[bytes, bytes]:

@@ -302,3 +302,16 @@ def test_repeats_of_any_length_and_clashing_columns(spark, docs):
     assert passage[20:-20] not in out[1]["text"] + out[2]["text"] and out[1]["text"].startswith("alpha ") and out[2]["text"].endswith("end")
     assert out[3]["text"] == rows[2][1] and (out[3]["start"], out[3]["key"]) == (3, "k")
     assert suffix.remove_repeats(docs).columns == docs.columns and suffix.remove_repeats(docs).count() == docs.count()
+
+
+def test_bpe_long_pieces(spark):
+    random = __import__("random").Random(5)
+    texts = [
+        "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "b" + "a" * 9_001, "é" * 3_000 + "ab" * 4_000,
+        base64.b64encode(random.randbytes(9_000)).decode(), "".join(random.choice(["ab", "the", "ing", "é", "zz", "aaaa", "ЖД"]) for _ in range(6_000)),
+    ]
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(RANKS, "rb"))}
+    known = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for row, text in zip(sorted(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, PATTERN).collect()), texts, strict=True):
+        assert row["ids"] == b"".join(i.to_bytes(4, "little") for i in known.encode_ordinary(text))
+        assert row["decoded"] == text.encode()

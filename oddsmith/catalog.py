@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmith.operators import scoring
+from oddsmith.functions import scores
+from oddsmith.functions.scores import r6
+from oddsmith.operators import fits, gates, paths, resampling, scoring
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures
-from oddsmith.streaming.rates import hourly_errors
+from oddsmith.streaming import rates
 
 FLAGSHIP = "bucket_scores"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BY_MODEL = ["win", "model"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,54 +32,282 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored(fixtures.forecasts(_primary(spark, sf_dir)))
 
 
-def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bucketed(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     cuts = scoring.quantile_cuts(_primary(spark, sf_dir), "win", "depth_usd")
-    return scoring.summary(scoring.with_bucket(_scored(spark, sf_dir), cuts, "win", "depth_usd"), ["win", "model", "bucket"])
+    return scoring.with_bucket(_scored(spark, sf_dir) if rows is None else rows, cuts, "win", "depth_usd")
+
+
+def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.final_forecasts(fixtures.calls(fixtures.moments(spark, sf_dir)), fixtures.runs(spark))
+
+
+def _with_points(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return paths.last_prices(rows, fixtures.price_paths(spark, sf_dir))
+
+
+@query
+def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by view (windows, and A with a live book under cuts of its own), arm, model and depth bucket."""
+    cuts = scoring.quantile_cuts(scoring.with_views(_primary(spark, sf_dir)), "view", "depth_usd")
+    rows = scoring.with_arms(scoring.with_views(scoring.traded(_scored(spark, sf_dir))))
+    return scoring.summary(scoring.with_bucket(rows, cuts, "view", "depth_usd"), ["view", "arm", "model", "bucket"])
 
 
+@query
 def direction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    mean = lambda c: r6(F.avg(c)).alias(c)
     whole = [F.col(c) for c in ("win", "model", "direction")]
     sets = _scored(spark, sf_dir).groupingSets([whole, [*whole, F.col("band")]], *whole, F.col("band"))
     return sets.agg(F.count("*").alias("n"), mean("brier_model"), mean("brier_market"), mean("brier_edge"))
 
 
+@query
 def trade_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = lambda c: F.round(F.avg(c), 6)
     rows = scoring.traded(_scored(spark, sf_dir))
-    return rows.groupBy("win", "model", "side").agg(F.count("*").alias("n"), mean("cost").alias("cost"), mean(F.col("won").cast("int")).alias("won"), mean("ret").alias("ret"))
+    by = rows.groupBy("win", "model", "reason", "side")
+    return by.agg(F.count("*").alias("n"), *[r6(F.avg(F.when(F.col("side").isNotNull(), F.col(c).cast("double")))).alias(c) for c in ("cost", "won", "ret", "ret_nofee")], r6(F.avg("fee")).alias("fee"))
 
 
+@query
+def stake_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trades at larger stakes, whose fees lose less to rounding."""
+    rows, out = _scored(spark, sf_dir), None
+    for stake in (1, 10, 100, 1000):
+        part = scoring.traded(rows, stake).where("side is not null").groupBy("win").agg(F.count("*").alias("n"), r6(F.avg("ret")).alias("ret")).withColumn("stake", F.lit(stake))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
 def murphy_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.murphy(_scored(spark, sf_dir), ["win", "model"])
+    return scoring.murphy(_scored(spark, sf_dir), BY_MODEL)
+
+
+@query
+def bin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.bin_table(_scored(spark, sf_dir), BY_MODEL)
+
 
+@query
+def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.skill(_scored(spark, sf_dir), BY_MODEL)
 
+
+@query
 def pair_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pair_errors(_scored(spark, sf_dir), ["win"])
 
 
+@query
+def paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.paired(_scored(spark, sf_dir), ["win"], "m1")
+
+
+@query
+def common_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.answered_by_all(_scored(spark, sf_dir), ["win"])
+
+
+@query
 def shrinkage_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.shrinkage(_scored(spark, sf_dir), ["win", "model"])
+    return scoring.shrinkage(_scored(spark, sf_dir), BY_MODEL)
 
 
+@query
 def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ensembles(_scored(spark, sf_dir), ["win"])
 
 
+@query
+def extremizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.extremizing(_scored(spark, sf_dir), ["win"])
+
+
+@query
+def no_skill_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scoring.no_skill(_bucketed(spark, sf_dir, _primary(spark, sf_dir)))
+    return scoring.floors(scoring.traded(rows), ["win", "bucket"])
+
+
+@query
 def bootstrap_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.bootstrap_mean(_scored(spark, sf_dir), ["win", "model"], "event_id", "brier_edge")
+    return resampling.bootstrap_mean(_scored(spark, sf_dir), BY_MODEL, "event_id", "brier_edge")
+
+
+@query
+def bootstrap_news_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.bootstrap_difference(_scored(spark, sf_dir), BY_MODEL, "event_id", "brier_edge", F.col("news_available"))
+
+
+@query
+def bootstrap_depth_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.bootstrap_slope(_scored(spark, sf_dir), BY_MODEL, "event_id", "log_depth", "brier_edge")
+
+
+@query
+def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.bootstrap_bands(_bucketed(spark, sf_dir), BY_MODEL, "event_id", "brier_edge", "band")
+
+
+@query
+def bootstrap_pair_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = scoring.met_pairs(_scored(spark, sf_dir), ["win"], ["row_id", "event_id"], ["error"])
+    return resampling.bootstrap_pair_r(pairs, ["win"], "event_id", "x_error", "z_error")
+
+
+@query
+def final_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _final(spark, sf_dir).groupBy("win", "model", "mode", "status").agg(F.count("*").alias("n"), r6(F.avg("p")).alias("p"))
+
+
+@query
+def probe_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.probe_forecasts(_final(spark, sf_dir)).groupBy("win", "model", "source").agg(F.count("*").alias("n"), r6(F.avg("p")).alias("p"))
+
+
+@query
+def quarantine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gates.flags(gates.probe_forecasts(_final(spark, sf_dir)))
+    return found.groupBy("win", "model", "source", "reason").agg(F.count("*").alias("n"), F.sum("quarantined").alias("quarantined"))
+
+
+@query
+def news_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.news_value(_final(spark, sf_dir))
+
+
+@query
+def calibration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.gate(_bucketed(spark, sf_dir))
+
+
+@query
+def gated_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the forecasts in regions that passed the gate and that disagree with the price: how many prices drifted towards them."""
+    rows = _bucketed(spark, sf_dir)
+    return paths.convergence(_with_points(spark, sf_dir, gates.admitted(rows, gates.gate(rows))), ["win", "direction"])
+
+
+@query
+def path_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.coverage(_with_points(spark, sf_dir, _primary(spark, sf_dir)))
+
+
+@query
+def window_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window: rows of each kind, events and the size of the largest."""
+    kinds = {"n_primary": F.col("primary"), "n_news": F.col("news_available"), "n_sports": F.col("sports"), "n_live": F.col("live_book")}
+    kinds |= {"n_one_sided": F.col("book") == "one_sided_book", "n_degenerate": F.col("book") == "degenerate_book"}
+    per = fixtures.moments(spark, sf_dir).groupBy("win", "event_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in kinds.items()])
+    return per.groupBy("win").agg(F.count("*").alias("n_events"), F.max("n").alias("largest_event"), *[F.sum(c).alias(c) for c in ("n", *kinds)])
+
+
+@query
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = ["win", "bucket", "sports"]
+    rows = _bucketed(spark, sf_dir, _primary(spark, sf_dir)).select(*cells, "row_id")
+    return resampling.stratified_split(rows, cells, "row_id").groupBy(*cells).agg(F.count("*").alias("n"), F.count_if("drawn").alias("n_drawn"))
+
+
+@query
+def event_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = resampling.event_folds(_primary(spark, sf_dir), "event_id").groupBy("win", "fold", "event_id").agg(F.count("*").alias("n"))
+    return per.groupBy("win", "fold").agg(F.sum("n").alias("n"), F.count("*").alias("n_events"))
+
+
+@query
+def price_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, gap = F.col("q"), F.abs(F.col("p") - F.col("q"))
+    keys = [scores.price_class(q).alias("price_class"), scores.late_horizon_band(F.col("horizon_days")).alias("horizon"), scores.gap_bin(gap).alias("gap")]
+    return _scored(spark, sf_dir).groupBy("win", *keys).agg(F.count("*").alias("n"), r6(F.avg("brier_edge")).alias("brier_edge"))
+
+
+@query
+def loss_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the negative edges and of all, by direction, and the direction's share of the losses."""
+    lost = F.sum(F.least(F.col("brier_edge"), F.lit(0.0)))
+    by = _scored(spark, sf_dir).groupBy(*BY_MODEL, "direction").agg(F.count("*").alias("n"), lost.alias("_l"), F.sum("brier_edge").alias("_n"))
+    return by.select(*BY_MODEL, "direction", "n", (r6(F.col("_l")) + 0.0).alias("losses"), r6(F.col("_n")).alias("net"), (r6(F.col("_l") / F.sum("_l").over(Window.partitionBy(*BY_MODEL))) + 0.0).alias("share"))
+
+
+@query
+def imputed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier scores with failed forecasts dropped, taken as a half, or as wrong as can be."""
+    p, y = F.col("p"), F.col("y")
+    half = F.coalesce(p, F.lit(0.5)) - y
+    by = fixtures.attempts(_primary(spark, sf_dir)).groupBy(*BY_MODEL)
+    return by.agg(F.count("*").alias("n"), F.count_if(p.isNull()).alias("n_failed"), r6(F.avg((p - y) * (p - y))).alias("brier_dropped"), r6(F.avg(half * half)).alias("brier_half"), r6(F.avg(F.coalesce((p - y) * (p - y), F.lit(1.0)))).alias("brier_worst"))
+
+
+@query
+def conditional_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.attempts(_primary(spark, sf_dir)).select("win", "row_id", "model", F.col("p").isNull().cast("double").alias("f"))
+    pairs = scoring.met_pairs(rows, ["win"], ["row_id"], ["f"])
+    given = lambda v: r6(F.avg(F.when(F.col("x_f") == v, F.col("z_f"))))
+    return pairs.groupBy("win", "a", "b").agg(F.count("*").alias("n"), given(1).alias("given_failed"), given(0).alias("given_ok"))
+
+
+@query
+def depth_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scoring.rank_average(_primary(spark, sf_dir).select("win", "depth_usd", "q"), "win", "depth_usd", "rx")
+    rows = scoring.rank_average(rows, "win", "q", "ry")
+    return rows.groupBy("win").agg(F.count("*").alias("n"), r6(F.corr("depth_usd", "q")).alias("pearson"), r6(F.corr("rx", "ry")).alias("spearman"))
+
+
+@query
+def within_event_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope of p on q after taking event means off both: from one row of sums per event."""
+    p, q = F.col("p"), F.col("q")
+    per = _scored(spark, sf_dir).groupBy(*BY_MODEL, "event_id").agg(F.count("*").alias("n"), F.covar_pop(p, q).alias("c"), F.var_pop(q).alias("v"))
+    return per.groupBy(*BY_MODEL).agg(F.sum("n").alias("n"), r6(F.try_divide(F.sum(F.col("c") * F.col("n")), F.nullif(F.sum(F.col("v") * F.col("n")), F.lit(0.0)))).alias("slope"))
+
+
+@query
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most common tags of each window."""
+    tags = fixtures.moments(spark, sf_dir).select("win", F.explode("tags").alias("tag")).where("tag is not null")
+    by = tags.groupBy("win", F.lower(F.trim("tag")).alias("tag")).agg(F.count("*").alias("n"))
+    return by.withColumn("_r", F.row_number().over(Window.partitionBy("win").orderBy(F.desc("n"), "tag"))).where("_r <= 5").drop("_r")
+
+
+@query
+def rounded_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each model's forecasts on its ten commonest values of two decimals."""
+    by = _scored(spark, sf_dir).groupBy("model", F.bround("p", 2).alias("v")).agg(F.count("*").alias("n"))
+    by = by.withColumn("_r", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "v")))
+    return by.groupBy("model").agg(F.sum("n").alias("n"), r6(F.sum(F.when(F.col("_r") <= 10, F.col("n"))) / F.sum("n")).alias("share"), F.max(F.when(F.col("_r") == 1, F.col("v"))).alias("commonest"))
+
+
+@query
+def reply_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parser reads from the replies, and how many hedge or cite news."""
+    reply, body = F.col("reply"), scores.reply_body(F.col("reply"))
+    rows = fixtures.replies(_scored(spark, sf_dir)).select("win", scores.reply_probability(reply).alias("said"), F.rlike(body, F.lit(scores.HEDGE)).alias("hedge"), F.rlike(body, F.lit(scores.CITES_NEWS)).alias("cite"), F.length(F.regexp_extract(body, r"^([^\n]*)", 1)).alias("chars"))
+    rows = rows.withColumn("chars", F.when(F.col("chars") > 0, F.col("chars") - 1).otherwise(0))
+    return rows.groupBy("win").agg(F.count("*").alias("n"), F.count("said").alias("n_parsed"), r6(F.avg("said")).alias("p"), F.count_if("hedge").alias("n_hedged"), F.count_if("cite").alias("n_cite_news"), r6(F.avg("chars")).alias("body_chars"))
+
+
+@query
+def isotonic_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fits.corp(_scored(spark, sf_dir), BY_MODEL)
+
+
+@query
+def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fits.platt(_scored(spark, sf_dir).where("split = 'calibration'"), BY_MODEL)
 
 
+@query
 def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fixtures.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
-    return scoring.latest(events, ["user_id", "event_type"], ["ts", "event_id"])
+    return rates.latest_of_log(events, ["user_id", "event_type"])
 
 
-def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly_errors(fixtures.table(spark, sf_dir, "events"))
+@query
+def hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.hourly_errors(fixtures.table(spark, sf_dir, "events"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (bucket_scores, direction_scores, trade_returns, murphy_decomposition, pair_errors, shrinkage_fit, ensemble_scores, bootstrap_edge, latest_records)
-} | {"hourly_errors": _hourly}
+@query
+def sliding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.sliding_errors(fixtures.table(spark, sf_dir, "events"))

@@ -2,93 +2,302 @@
 
 from __future__ import annotations
 
-from oddsmith.sources.fixtures import ROSTER
+from oddsmith.functions import scores
+from oddsmith.operators.resampling import DRAWS, thresholds
+from oddsmith.sources.fixtures import ROSTER, RUNS, SPORTS
+
+
+def _hash(text: str, n: int = 8) -> str:
+    return f"cast(('0x' || substr(md5({text}), 1, {n})) as ubigint)"
 
 
 def _u(text: str) -> str:
-    return f"(cast(('0x' || substr(md5({text}), 1, 8)) as ubigint) / 4294967296.0::double)"
+    return f"({_hash(text)} / 4294967296.0::double)"
 
 
 def _brier(p: str, y: str = "y") -> str:
     return f"({p} - {y}) * ({p} - {y})"
 
 
+def _pick(x: str) -> str:
+    return f"round(list_sort(list({x}))[1 + floor(count({x}) * {{}})::int], 6)"
+
+
+def _ends(x: str) -> str:
+    """low and high of a column of draws."""
+    return f"{_pick(x).format('0.025::double')} as low, {_pick(x).format('0.975::double')} as high"
+
+
 _ROSTER = ", ".join(f"('{m}', {a}::double, {b}::double, {str(w).lower()})" for m, a, b, w in ROSTER)
+_RUNS = ", ".join(f"('{r}', '{s}', {v})" for r, s, v in RUNS)
 _K = "o_orderkey::varchar"
-SCORED = f"""
+_OF = "mode || '|' || model || '|' || row_id::varchar"
+_HORIZON = " ".join(f"when horizon_days >= {low}{f' and horizon_days < {high}' if high else ''} then '{n}'" for n, low, high in scores.HORIZON_BANDS)
+MOMENTS = f"""
 with base as (
-    select o_orderkey as row_id, o_custkey as event_id, case o_orderstatus when 'P' then 'A' when 'F' then 'B' else 'C' end as win,
-           o_totalprice as depth_usd, 0.02::double + 0.96::double * {_u("'q|' || " + _K)} as q, {_u("'y|' || " + _K)} as uy,
-           0.005::double + 0.04::double * {_u("'b|' || " + _K)} as half, {_u("'l|' || " + _K)} < 0.1 as is_ladder
-    from orders
-), moments as (
-    select *, case when uy < q then 1.0::double else 0.0::double end as y, q - half as bid, q + half as ask from base
-    where q between 0.05 and 0.95 and not is_ladder
-), forecasts as (
-    select m.*, model, least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * ({_u("model || '|' || row_id::varchar")} - 0.5))) as p
-    from moments m join (values {_ROSTER}) r(model, a, b, on_a) on on_a or win <> 'A'
-    where {_u("'f|' || model || '|' || row_id::varchar")} >= 0.01
-), scored as (
-    select *, {_brier('p')} as brier_model, {_brier('q')} as brier_market, {_brier('q')} - {_brier('p')} as brier_edge,
-           case when q between .05 and .25 then '.05-.25' when q <= .5 then '.25-.5' when q <= .75 then '.5-.75' else '.75-.95' end as band,
-           case when q = 0.5 or p = q then 'no lean' when (p > q) = (q > 0.5) then 'with' else 'against' end as direction
+    select o_orderkey as row_id, o_custkey as event_id, case o_orderstatus when 'P' then 'A' when 'F' then 'B' else 'C' end as win, o_orderdate as forecast_ts,
+           o_totalprice as depth_usd, [c_mktsegment, o_orderpriority] as tags, coalesce(c_mktsegment in {tuple(SPORTS)}, false) as sports,
+           0.02::double + 0.96::double * {_u("'q|' || " + _K)} as q0, 0.01::double + 0.2::double * {_u("'w|' || " + _K)} as spread,
+           {_u("'o|' || " + _K)} < 0.03 as one_sided, {_u("'x|' || " + _K)} as odd, {_u("'y|' || " + _K)} as uy, {_u("'l|' || " + _K)} < 0.1 as is_ladder,
+           {_u("'d|' || " + _K)} < 0.03 as late_dateline, {_u("'r|' || " + _K)} < 0.02 as end_date_revised,
+           case when {_u("'s|' || " + _K)} < 0.2 then 'calibration' else 'test' end as split, {_u("'n|' || " + _K)} < 0.4 as news_available,
+           40.0::double * {_u("'h|' || " + _K)} as horizon_days, {_u("'e|' || " + _K)} >= 0.05 as fees_enabled, case when {_u("'z|' || " + _K)} < 0.5 then 1.0::double end as fee_exponent
+    from orders left join customer on o_custkey = c_custkey
+), booked as (
+    select *, case win when 'C' then 'kalshi' else 'polymarket' end as venue, case win when 'A' then round_even(q0, 2) else q0 end as price_yes, case when not one_sided then q0 end as mid_yes,
+           greatest(0.0::double, q0 - spread / 2) as lo, least(1.0::double, q0 + spread / 2) as hi, case when uy < q0 then 1.0::double else 0.0::double end as y,
+           case win when 'C' then 0.07::double else 0.05::double end as fee_rate from base
+), quoted as (
+    select *, case when odd < 0.02 then hi else lo end as bid, case when one_sided then null when odd < 0.02 then lo when odd < 0.03 then least(1.0::double, lo + 0.6::double) else hi end as ask,
+           case win when 'A' then coalesce(mid_yes, price_yes) else price_yes end as q from booked
+), moments as materialized (
+    select *, coalesce(not one_sided and ask - bid <= 0.1::double + 1e-9::double, false) as live_book,
+           case when one_sided or bid is null or ask is null then 'one_sided_book' when ask <= bid or ask - bid > 0.5 then 'degenerate_book' else 'ok' end as book,
+           case {_HORIZON} end as horizon_band, q between 0.05 and 0.95 and not is_ladder and not late_dateline and not end_date_revised as "primary" from quoted
+)"""
+_BAND = "case " + " ".join(f"when q between {low} and {high} then '{n}'" for n, low, high in scores.PRICE_BANDS) + " end"
+SCORED = MOMENTS + f""", attempts as (
+    select m.*, model, case when {_u("'f|' || model || '|' || row_id::varchar")} >= 0.01 then least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * ({_u("model || '|' || row_id::varchar")} - 0.5))) end as p
+    from moments m join (values {_ROSTER}) r(model, a, b, on_a) on on_a or win <> 'A' where "primary"
+), forecasts as (select * from attempts where p is not null), scored as materialized (
+    select *, p - y as error, {_brier('p')} as brier_model, {_brier('q')} as brier_market, {_brier('q')} - {_brier('p')} as brier_edge, {_BAND} as band,
+           case when q = 0.5 or p = q then 'no lean' when (p > q) = (q > 0.5) then 'with' else 'against' end as direction, case when depth_usd > 0 then ln(depth_usd) end as log_depth
     from forecasts
 )"""
+
+
+def _traded(source: str, stake: float = 1.0) -> str:
+    return f""", sided as (
+    select *, case when book <> 'ok' then null when p > ask then 'Yes' when p < bid then 'No' end as side,
+           case when book <> 'ok' then book when p > ask or p < bid then 'traded' else 'inside_spread' end as reason from {source}
+), costed as (
+    select *, case side when 'Yes' then ask when 'No' then 1 - bid end as cost, case when side is not null then (side = 'Yes') = (y = 1) end as won from sided
+), feed as (
+    select *, case when fees_enabled then coalesce(fee_rate * cost * (1 - cost), 0.0::double) else 0.0::double end as fee from costed
+), sized as (select *, {stake}::double / nullif(cost + fee, 0) as shares from feed), traded as materialized (
+    select *, case when won then shares else 0 end / nullif(shares * cost + case venue when 'kalshi' then ceil(round_even(shares * fee * 100, 9)) / 100.0 else shares * fee end, 0) - 1 as ret,
+           case when won then 1.0::double else 0.0::double end / nullif(cost, 0) - 1 as ret_nofee from sized
+)"""
+
+
+_CUTS = """, ranked as (
+    select view, depth_usd, row_number() over (partition by view order by depth_usd) as k, count(*) over (partition by view) as n from (
+        select win as view, depth_usd from moments where "primary" union all select 'A_live', depth_usd from moments where "primary" and win = 'A' and live_book)
+), cuts as (
+    select view, i, depth_usd as cut from ranked, (select unnest([1, 2, 3, 4]) as i) where k = case when n * i // 5 = 0 then n else n * i // 5 end
+)"""
+_BUCKET = "1 + (select count(*) from cuts c where c.view = t.view and c.cut < t.depth_usd)::int as bucket"
 _MEANS = "count(*) as n, round(avg(brier_model), 6) as brier_model, round(avg(brier_market), 6) as brier_market, round(avg(brier_edge), 6) as brier_edge"
-_POISSON, _term, _upto = [], 0.36787944117144233, 0.36787944117144233
-for _k in range(1, 9):
-    _POISSON.append(f"(u >= {_upto!r})::int")
-    _term /= _k
-    _upto += _term
+_SUMMARY = """count(distinct event_id) as n_events, count(*) as n, count(*) filter (reason = 'traded') as n_traded, count(*) filter (reason = 'one_sided_book') as n_one_sided,
+    count(*) filter (reason = 'degenerate_book') as n_degenerate, count(*) filter (reason = 'traded' and fee > 0) as n_fee_charged,
+    round(avg(brier_model), 6) as brier_model, round(avg(brier_market), 6) as brier_market, round(avg(brier_edge), 6) as brier_edge, round(avg(p), 6) as mean_p, round(avg(q), 6) as mean_q,
+    round(avg(ret) filter (reason = 'traded'), 6) as ret, round(avg(ret_nofee) filter (reason = 'traded'), 6) as ret_nofee, round(avg(fee) filter (reason = 'traded'), 6) as mean_fee,
+    round(avg(won::int) filter (reason = 'traded'), 6) as win_rate"""
+_BUCKETED = SCORED + _CUTS + f", bucketed as materialized (select *, {_BUCKET} from (select *, win as view from scored) t)"
+
+
+def _weights(name: str, label: str) -> str:
+    """A table of weights by cluster (``cl``, text) and draw."""
+    block = f"md5('{label}|' || b::varchar || '|' || cl)"
+    bits = f"cast(('0x' || substr({block}, 1 + 4 * i, 4)) as integer)"
+    over = " + ".join(f"(bits >= {t})::int" for t in thresholds())
+    return f""", {name} as materialized (
+    select cl, (8 * b + i)::int as draw, {over} as w from (
+        select cl, b, i, {bits} as bits from (select distinct event_id::varchar as cl from moments), (select unnest(range({-(-DRAWS // 8)})) as b), (select unnest(range(8)) as i)) where 8 * b + i < {DRAWS}
+)"""
+
+
+_CALLS = MOMENTS + f""", each as (
+    select m.*, model, a, b, mode, k from moments m join (values {_ROSTER}) r(model, a, b, on_a) on on_a or win <> 'A',
+           (select unnest(['normal', 'memory_probe']) as mode), (select unnest([0, 1, 2]) as k)
+), calls as (
+    select *, case when late_dateline then 'excluded_by_benchmark_flag' when {_u("'f|' || model || '|' || row_id::varchar")} < 0.01 then 'failed' else 'ok' end as status,
+           {[r for r, _, _ in RUNS]}[k + 1] as run_id, {_OF} || '|' || k::varchar as call_id, forecast_ts + to_seconds(floor(90.0::double * {_u("'t|' || k::varchar || '|' || " + _OF)})) as called_at,
+           (k > 0 or {_u("'g|' || " + _OF)} >= 0.05)::int as final,
+           case when mode = 'normal' and k = 0 then {_u("model || '|' || row_id::varchar")} else {_u("'p|' || k::varchar || '|' || " + _OF)} end as noise from each
+    where (mode = 'normal' or (news_available and {_u("'pm|' || " + _OF)} < 0.8)) and (k = 0 or (k = 1 and {_u("'c|' || " + _OF)} < 0.2) or (k = 2 and {_u("'v|' || " + _OF)} < 0.1))
+), latest as materialized (
+    select c.*, started_at, case when status = 'ok' then least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * (noise - 0.5))) end as p
+    from calls c join (values {_RUNS}) r(run_id, started_at, void) using (run_id) where final = 1 and void = 0
+    qualify row_number() over (partition by model, mode, row_id order by called_at desc, started_at desc, call_id desc) = 1
+), probes as (
+    select *, 'memory_probe' as source from latest where mode = 'memory_probe' union all
+    select *, 'normal_stand_in' from latest n where mode = 'normal' and not exists (select 1 from latest p where p.mode = 'memory_probe' and p.model = n.model and p.row_id = n.row_id)
+)"""
+_FLAGGED = "abs(p - y) <= 0.1::double + 1e-9::double and abs(q - y) >= 0.3::double - 1e-9::double"
+_ECE = """, vals as (
+    select model, win, bucket, part, p, count(*) as n, sum(y) as sy from (
+        select model, win, bucket, p, y, unnest(['all', case when sports then 'sports' else 'other' end]) as part from bucketed where split = 'calibration') group by all
+), walked as (
+    select *, sum(n) over w as upto, sum(n) over (partition by model, win, bucket, part) as whole, max(p) over (partition by model, win, bucket, part) as top from vals
+    window w as (partition by model, win, bucket, part order by p)
+), edged as (select *, min(case when upto >= round_even(whole / 3, 0) and p < top then p end) over (partition by model, win, bucket, part) as e1 from walked
+), edged2 as (select *, min(case when upto >= round_even(whole * 2 / 3, 0) and p < top and p > e1 then p end) over (partition by model, win, bucket, part) as e2 from edged
+), binned as (
+    select model, win, bucket, part, 1 + coalesce((p > e1)::int, 0) + coalesce((p > e2)::int, 0) as bin, sum(n) as n, sum(p * n) as sp, sum(sy) as sy from edged2 group by all
+), eces as (
+    select model, win, bucket, part, sum(n)::bigint as n, sum(abs(sp - sy)) / sum(n) as ece, string_agg(n::bigint::varchar, '/' order by bin) as bins from binned group by all
+), gate as materialized (
+    select model, win, bucket, max(n) filter (part = 'all') as n, max(ece) filter (part = 'all') as e, max(bins) filter (part = 'all') as bins, max(ece) filter (part = 'sports') as s,
+           max(ece) filter (part = 'other') as o, case when max(n) filter (part = 'all') < 30 then 'insufficient' when max(ece) filter (part = 'all') <= 0.1::double + 1e-9::double then 'pass' else 'fail' end as verdict
+    from eces group by all
+)"""
+_PATHS = f""", paths as (
+    select l_orderkey as row_id, l_shipdate as ts, 0.02::double + 0.96::double * {_u("'pp|' || l_orderkey::varchar || '|' || l_partkey::varchar || '|' || l_suppkey::varchar || '|' || floor(l_extendedprice)::bigint::varchar")} as price,
+           {{'a': l_partkey, 'b': l_suppkey, 'c': l_extendedprice}} as tie from lineitem
+), points as (
+    select row_id, count(*) as n_points, count(*) filter (ts <= forecast_ts + interval 365 day) as n_inside,
+           arg_max(price, {{'ts': ts, 'tie': tie}}) filter (ts <= forecast_ts + interval 365 day) as last_price
+    from paths join moments using (row_id) where ts >= forecast_ts group by row_id
+)"""
+_PAIRS = """, pairs as (
+    select a.win, a.row_id, a.event_id, a.model as a, b.model as b, a.error as x, b.error as z, ((a.p >= 0.5) <> (a.y >= 0.5))::int::double as wx, ((b.p >= 0.5) <> (b.y >= 0.5))::int::double as wz,
+           (a.q >= 0.5) = (a.y >= 0.5) as right_, a.brier_model as bx, b.brier_model as bz
+    from scored a join scored b on a.row_id = b.row_id and a.model < b.model
+)"""
+_SLOPE = "(n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0)"
 
 ORACLE_SQL: dict[str, str] = {
-    "bucket_scores": SCORED
-    + f""", ranked as (
-    select win, depth_usd, row_number() over (partition by win order by depth_usd) - 1 as k, count(*) over (partition by win) as n from moments
-), cuts as (
-    select win, i, depth_usd as cut from ranked, (select unnest([1, 2, 3, 4]) as i) where k = n * i // 5
-), placed as (
-    select s.*, 1 + (select count(*) from cuts c where c.win = s.win and c.cut < s.depth_usd) as bucket from scored s
-) select win, model, bucket::int as bucket, {_MEANS} from placed group by all""",
+    "bucket_scores": SCORED + _CUTS + _traded("scored") + f""", viewed as (
+    select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded
+), armed as (select *, {_BUCKET}, unnest(case when news_available then ['all', 'news'] else ['all'] end) as arm from viewed t
+) select view, arm, model, bucket, {_SUMMARY} from armed group by all""",
     "direction_scores": SCORED + f" select win, model, direction, band, {_MEANS} from scored group by grouping sets ((win, model, direction), (win, model, direction, band))",
-    "trade_returns": SCORED
-    + """, sided as (
-    select *, case when p > ask then 'Yes' when p < bid then 'No' end as side, case when win = 'C' then 0.07::double else 0.05::double end as rate from scored
-), costed as (
-    select *, case when side = 'Yes' then ask else 1 - bid end as cost, (side = 'Yes') = (y = 1) as won from sided where side is not null
-), sized as (
-    select *, rate * cost * (1 - cost) as fee, 1.0::double / (cost + rate * cost * (1 - cost)) as shares from costed
-), paid as (
-    select *, case when won then shares else 0 end / (shares * cost + case when win = 'C' then ceil(round_even(shares * fee * 100, 9)) / 100.0 else shares * fee end) - 1 as ret from sized
-) select win, model, side, count(*) as n, round(avg(cost), 6) as cost, round(avg(won::int), 6) as won, round(avg(ret), 6) as ret from paid group by all""",
-    "murphy_decomposition": SCORED
-    + """, cells as (
+    "trade_returns": SCORED + _traded("scored") + """
+select win, model, reason, side, count(*) as n, round(avg(cost), 6) as cost, round(avg(won::int), 6) as won, round(avg(fee), 6) as fee,
+       round(avg(case when side is not null then ret end), 6) as ret, round(avg(case when side is not null then ret_nofee end), 6) as ret_nofee from traded group by all""",
+    "stake_returns": SCORED + ", stakes as (" + " union all ".join(f"select * from (with x as (select 1){_traded('scored', s)} select {s} as stake, win, count(*) as n, round(avg(ret), 6) as ret from traded where side is not null group by win)" for s in (1, 10, 100, 1000)) + ") select * from stakes",
+    "murphy_decomposition": SCORED + """, cells as (
     select win, model, least(floor(p * 10), 9) as cell, count(*) as n, sum(p) as sp, sum(y) as sy from scored group by all
 ), based as (select *, sum(sy) over (partition by win, model) / sum(n) over (partition by win, model) as base from cells)
 select win, model, sum(n)::bigint as n, round(sum(n * (sp / n - sy / n) ** 2) / sum(n), 6) as rel, round(sum(n * (sy / n - base) ** 2) / sum(n), 6) as res,
        round(any_value(base) * (1 - any_value(base)), 6) as unc from based group by win, model""",
-    "pair_errors": SCORED
-    + """, errors as (select win, row_id, model, p - y as e from scored)
-select a.win, a.model as a, b.model as b, count(*) as n, round(covar_samp(a.e, b.e) / (stddev_samp(a.e) * stddev_samp(b.e)), 6) as r,
-       round(avg((abs(a.e) > 0.5)::int * (abs(b.e) > 0.5)::int), 6) as both_wrong
-from errors a join errors b on a.row_id = b.row_id and a.model < b.model group by all having count(*) >= 10""",
-    "shrinkage_fit": SCORED
-    + """ select win, model, count(*) as n, round(regr_intercept(p, q), 6) as a, round(regr_slope(p, q), 6) as b,
+    "bin_table": SCORED + """, cells as (select win, model, least(floor(p * 10), 9)::int as cell, count(*) as n, sum(p) as sp, sum(y) as sy from scored group by all)
+select win, model, cell, n, round(sp / n, 6) as mean_p, round(sy / n, 6) as rate, round(n * (sp / n - sy / n) ** 2 / sum(n) over (partition by win, model), 6) as contribution from cells""",
+    "skill_scores": SCORED + """, each as (select win, model, count(*) as n, avg(y) as base, avg(brier_model) as m, avg(brier_market) as q from scored group by all)
+select win, model, n, round(m, 6) as brier_model, round(q, 6) as brier_market, round(base * (1 - base), 6) as brier_base, 0.25::double as brier_half,
+       round(1 - m / nullif(base * (1 - base), 0), 6) as skill, round(1 - q / nullif(base * (1 - base), 0), 6) as skill_market from each""",
+    "pair_errors": SCORED + _PAIRS + """
+select win, a, b, count(*) as n, round(covar_samp(x, z) / nullif(stddev_samp(x) * stddev_samp(z), 0), 6) as r, round(avg(wx * wz), 6) as both_wrong, round(avg(wx) * avg(wz), 6) as both_wrong_expected,
+       round(avg(wx * wz) / nullif(avg(wx) * avg(wz), 0), 6) as ratio, round(avg(wx * wz) filter (right_), 6) as both_wrong_market_right from pairs group by all having count(*) >= 10""",
+    "paired_models": SCORED + _PAIRS + """, against as (select win, case a when 'm1' then b else a end as model, case a when 'm1' then bz - bx else bx - bz end as d from pairs where a = 'm1' or b = 'm1')
+select win, model, count(*) as n, round(avg(d), 6) as difference, round(avg((d < 0)::int), 6) as better from against group by all""",
+    "common_rows": SCORED + """, per as (select win, row_id, count(*) as by_, avg(brier_model) as brier from scored group by all), roster as (select win, count(distinct model) as models from scored group by all)
+select win, count(*) as n_rows, count(*) filter (by_ = models) as n_common, any_value(models) as n_models, round(avg(brier) filter (by_ = models), 6) as brier_common from per join roster using (win) group by all""",
+    "shrinkage_fit": SCORED + """ select win, model, count(*) as n, round(regr_intercept(p, q), 6) as a, round(regr_slope(p, q), 6) as b,
     round(regr_intercept(p, q) / (1 - regr_slope(p, q)), 6) as fixed_point from scored group by all""",
-    "ensemble_scores": SCORED
-    + f""", each as (
+    "ensemble_scores": SCORED + f""", each as (
     select win, row_id, any_value(y) as y, avg(p) as mean, median(p) as median, 1 / (1 + exp(-avg(ln(p / (1 - p))))) as odds from scored group by win, row_id
 ) select win, count(*) as n, {', '.join(f'round(avg({_brier(c)}), 6) as brier_{c}' for c in ('mean', 'median', 'odds'))} from each group by win""",
-    "bootstrap_edge": SCORED
-    + f""", per as (
+    "extremizing": SCORED + """, each as (
+    select win, row_id, split, any_value(y) as y, avg(ln(p / (1 - p))) as o from (select * replace (least(greatest(p, 1e-4::double), 0.9999::double) as p) from scored) group by all
+), tried as (
+    select win, factor, avg((1 / (1 + exp(-o * factor / 100)) - y) ** 2) filter (split = 'calibration') as cal, avg((1 / (1 + exp(-o * factor / 100)) - y) ** 2) filter (split = 'test') as tst
+    from each, (select unnest(range(50, 301, 5))::int as factor) group by all
+), plain as (select win, tst as test_plain from tried where factor = 100)
+select win, factor, round(cal, 6) as calibration, round(tst, 6) as test, round(test_plain, 6) as test_plain from tried join plain using (win)
+qualify row_number() over (partition by win order by round(cal, 12), factor) = 1""",
+    "no_skill_floors": MOMENTS + _CUTS + f""", guessed as (
+    select *, unnest(list_concat([{{'s': 'always_yes', 'd': 0, 'p': 1.0::double}}, {{'s': 'always_no', 'd': 0, 'p': 0.0::double}},
+        {{'s': 'cheaper_side', 'd': 0, 'p': case when ask is null or bid is null or ask <= 1 - bid then 1.0::double else 0.0::double end}},
+        {{'s': 'market_favored', 'd': 0, 'p': case when q > 0.5 then 1.0::double when q < 0.5 then 0.0::double else 0.5::double end}}],
+        list_transform(range(200), lambda k: {{'s': 'coin_flip', 'd': k::int, 'p': case when {_u("'coin|' || k::varchar || '|' || row_id::varchar")} < 0.5 then 1.0::double else 0.0::double end}}))) as g
+    from (select *, {_BUCKET} from (select *, win as view from moments where "primary") t)
+), played as (select * exclude (g), g.s as strategy, g.d as draw, g.p as p from guessed){_traded('played')}, means as (
+    select win, bucket, strategy, draw, avg(ret) as m, count(*) as n from traded where reason = 'traded' group by all
+) select win, bucket, strategy, sum(n)::bigint as n, round(avg(m), 6) as ret, round(min(m), 6) as least, round(max(m), 6) as greatest from means group by all""",
+    "bootstrap_edge": SCORED + _weights("weights", "w") + f""", per as (
     select win, model, event_id, sum(brier_edge) as s, count(brier_edge) as c from scored group by all
+), means as (select win, model, draw, sum(w * s) / nullif(sum(w * c), 0) as m from per join weights on cl = event_id::varchar group by all
+), ends as (select win, model, {_ends('m')} from means group by all), points as (
+    select win, model, sum(c)::bigint as n, count(*) as n_clusters, round(sum(s) / sum(c), 6) as mean from per group by all
+) select p.*, case when n_clusters > 1 then low end as low, case when n_clusters > 1 then high end as high from points p join ends using (win, model)""",
+    "bootstrap_news_difference": SCORED + _weights("wa", "a") + _weights("wb", "b") + f""", per as (
+    select win, model, event_id::varchar as cl, news_available as side, sum(brier_edge) as s, count(*) as c from scored group by all
+), a as (select win, model, draw, sum(w * s) / nullif(sum(w * c), 0) as m from per join wa using (cl) where side group by all
+), b as (select win, model, draw, sum(w * s) / nullif(sum(w * c), 0) as m from per join wb using (cl) where not side group by all
+), ends as (select win, model, {_ends('(a.m - b.m)')} from a join b using (win, model, draw) group by all), points as (
+    select win, model, sum(c) filter (side)::bigint as n_a, sum(c) filter (not side)::bigint as n_b, round(sum(s) filter (side) / sum(c) filter (side) - sum(s) filter (not side) / sum(c) filter (not side), 6) as difference from per group by all
+) select * from points join ends using (win, model)""",
+    "bootstrap_depth_slope": SCORED + _weights("weights", "w") + f""", per as (
+    select win, model, event_id::varchar as cl, count(*) as n, sum(log_depth) as sx, sum(brier_edge) as sy, sum(log_depth * log_depth) as sxx, sum(log_depth * brier_edge) as sxy from scored where log_depth is not null group by all
+), drawn as (select win, model, draw, sum(w * n) as n, sum(w * sx) as sx, sum(w * sy) as sy, sum(w * sxx) as sxx, sum(w * sxy) as sxy from per join weights using (cl) group by all
+), slopes as (select win, model, {_SLOPE} as v from drawn), ends as (select win, model, {_ends('v')} from slopes group by all
+), whole as (select win, model, sum(n)::bigint as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from per group by all)
+select win, model, n, round({_SLOPE}, 6) as slope, low, high from whole join ends using (win, model)""",
+    "bootstrap_bands": _BUCKETED + _weights("weights", "w") + f""", per as (
+    select win, model, band, event_id::varchar as cl, sum(brier_edge) filter (bucket = 1) as s1, count(*) filter (bucket = 1) as c1, sum(brier_edge) filter (bucket = 5) as s5, count(*) filter (bucket = 5) as c5
+    from bucketed where bucket in (1, 5) and band is not null group by all
+), totals as (select win, model, band, sum(s1) as s1, sum(c1) as c1, sum(s5) as s5, sum(c5) as c5 from per group by all having least(sum(c1), sum(c5)) >= 30
 ), drawn as (
-    select *, {_u("'w|' || draw::varchar || '|' || event_id::varchar")} as u from per, (select unnest(range(200)) as draw)
+    select win, model, band, draw, sum(w * s1) / nullif(sum(w * c1), 0) - sum(w * s5) / nullif(sum(w * c5), 0) as gap from per semi join totals using (win, model, band) join weights using (cl) group by all
+), averaged as (select win, model, draw, avg(gap) as m from drawn group by all), ends as (select win, model, {_ends('m')} from averaged group by all
+), points as (select win, model, count(*) as n_bands, round(avg(s1 / c1 - s5 / c5), 6) as difference from totals group by all)
+select * from points join ends using (win, model)""",
+    "bootstrap_pair_r": SCORED + _PAIRS + _weights("weights", "w") + f""", per as (
+    select win, a, b, event_id::varchar as cl, count(*) as n, sum(x) as sx, sum(z) as sz, sum(x * x) as sxx, sum(z * z) as szz, sum(x * z) as sxz from pairs group by all
+), whole as (select win, a, b, 0 as draw, sum(n) as n, sum(sx) as sx, sum(sz) as sz, sum(sxx) as sxx, sum(szz) as szz, sum(sxz) as sxz from per group by all
+), drawn as (select win, a, b, draw, sum(w * n) as n, sum(w * sx) as sx, sum(w * sz) as sz, sum(w * sxx) as sxx, sum(w * szz) as szz, sum(w * sxz) as sxz from per join weights using (cl) group by all
+), points as (
+    select win, count(*) as n_pairs, round(avg(r), 6) as mean_r, round(min(r), 6) as min_r, round(max(r), 6) as max_r from (select win, (n * sxz - sx * sz) / sqrt((n * sxx - sx * sx) * (n * szz - sz * sz)) as r from whole
+    where n >= 10 and n * sxx - sx * sx > 1e-12 and n * szz - sz * sz > 1e-12) group by all
 ), means as (
-    select win, model, draw, sum(w * s) / nullif(sum(w * c), 0) as m from (select *, {' + '.join(_POISSON)} as w from drawn) group by all
-), ends as (select win, model, list_sort(list(m)) as ms from means where m is not null group by all), points as (
-    select win, model, sum(c)::bigint as n, round(sum(s) / sum(c), 6) as mean from per group by all
-) select p.*, round(ms[1 + floor(len(ms) * 0.025)::int], 6) as low, round(ms[1 + floor(len(ms) * 0.975)::int], 6) as high from points p join ends using (win, model)""",
+    select win, draw, avg((n * sxz - sx * sz) / sqrt((n * sxx - sx * sx) * (n * szz - sz * sz))) as m from drawn where n >= 10 and n * sxx - sx * sx > 1e-12 and n * szz - sz * sz > 1e-12 group by all
+), ends as (select win, {_ends('m')} from means group by all) select * from points join ends using (win)""",
+    "final_forecasts": _CALLS + " select win, model, mode, status, count(*) as n, round(avg(p), 6) as p from latest group by all",
+    "probe_forecasts": _CALLS + " select win, model, source, count(*) as n, round(avg(p), 6) as p from probes group by all",
+    "quarantine_flags": _CALLS + f""" select win, model, source, case when not abs(p - y) <= 0.1::double + 1e-9::double then 'not confidently right' when {_FLAGGED} then 'right where the market was not' else 'priced in' end as reason,
+    count(*) as n, sum(({_FLAGGED})::int)::bigint as quarantined from probes where p is not null group by all""",
+    "news_value": _CALLS + """, per as (
+    select win, model, row_id, max((p - y) ** 2) filter (mode = 'memory_probe') as wo, max((p - y) ** 2) filter (mode = 'normal') as wi from latest where news_available and p is not null group by all
+) select win, model, count(*) as n, round(avg(wo), 6) as brier_without, round(avg(wi), 6) as brier_with, round(avg(wo - wi), 6) as delta, round(avg((wi < wo)::int), 6) as helped, round(avg((wi > wo)::int), 6) as hurt
+from per where wo is not null and wi is not null group by all""",
+    "calibration_gate": _BUCKETED + _ECE + " select model, win, bucket, n, round(e, 6) as ece, bins, verdict, round(s, 6) as ece_sports, round(o, 6) as ece_other from gate",
+    "gated_convergence": _BUCKETED + _ECE + _PATHS + """
+select win, direction, count(*) as n_disagreements, count(*) filter (last_price is null) as n_dropped, count(*) filter (abs(last_price - p) <= abs(p - q) - 0.02) as n_drifted,
+       round(count(*) filter (abs(last_price - p) <= abs(p - q) - 0.02)::double / nullif(count(last_price), 0), 6) as rate
+from (select * from bucketed semi join (select * from gate where verdict = 'pass') using (model, win, bucket)) left join points using (row_id) where abs(p - q) >= 0.1 group by all""",
+    "path_coverage": MOMENTS + _PATHS + """ select win, count(*) as n, count(*) filter (coalesce(n_points, 0) > 0) as n_any, count(*) filter (coalesce(n_inside, 0) > 0) as n_inside,
+    round(avg(coalesce(n_points, 0)), 6) as points from moments left join points using (row_id) where "primary" group by all""",
+    "window_inventory": MOMENTS + """, sizes as (select win, event_id, count(*) as n from moments group by all)
+select win, count(*) as n, count(*) filter ("primary") as n_primary, count(*) filter (news_available) as n_news, count(*) filter (sports) as n_sports, count(*) filter (live_book) as n_live,
+       count(*) filter (book = 'one_sided_book') as n_one_sided, count(*) filter (book = 'degenerate_book') as n_degenerate, (select count(*) from sizes s where s.win = m.win) as n_events,
+       (select max(n) from sizes s where s.win = m.win) as largest_event from moments m group by all""",
+    "stratified_split": MOMENTS + _CUTS + f""", celled as (select *, {_BUCKET} from (select *, win as view from moments where "primary") t
+), placed as (
+    select win, bucket, sports, row_number() over (partition by win, bucket, sports order by {_hash("'split|' || row_id::varchar", 12)}, row_id) <= greatest(1, round_even(count(*) over (partition by win, bucket, sports) * 0.2::double, 0)) as drawn from celled
+) select win, bucket, sports, count(*) as n, count(*) filter (drawn) as n_drawn from placed group by all""",
+    "event_folds": MOMENTS + f""" select win, ({_hash("'fold|' || event_id::varchar")} % 5)::int as fold, count(*) as n, count(distinct event_id) as n_events from moments where "primary" group by all""",
+    "price_strata": SCORED + """ select win, case when q < 1 / 3 then 'lo' when q < 2 / 3 then 'mid' else 'hi' end as price_class,
+    case when horizon_days <= 1 then '<=1' when horizon_days <= 3 then '<=3' when horizon_days <= 7 then '<=7' when horizon_days <= 30 then '<=30' else '>30' end as horizon,
+    case when abs(p - q) >= 0.5 then '0.5+' when abs(p - q) >= 0.4 then '.4' when abs(p - q) >= 0.3 then '.3' when abs(p - q) >= 0.2 then '.2' when abs(p - q) >= 0.1 then '.1' when abs(p - q) >= 0.05 then '.05' end as gap,
+    count(*) as n, round(avg(brier_edge), 6) as brier_edge from scored group by all""",
+    "loss_shares": SCORED + """, by_ as (select win, model, direction, count(*) as n, sum(least(brier_edge, 0)) as l, sum(brier_edge) as e from scored group by all)
+select win, model, direction, n, round(l, 6) + 0.0::double as losses, round(e, 6) as net, round(l / sum(l) over (partition by win, model), 6) + 0.0::double as share from by_""",
+    "imputed_scores": SCORED + """ select win, model, count(*) as n, count(*) filter (p is null) as n_failed, round(avg((p - y) ** 2), 6) as brier_dropped,
+    round(avg((coalesce(p, 0.5) - y) ** 2), 6) as brier_half, round(avg(coalesce((p - y) ** 2, 1)), 6) as brier_worst from attempts group by all""",
+    "conditional_failures": SCORED + """, f as (select win, row_id, model, (p is null)::int::double as f from attempts)
+select a.win, a.model as a, b.model as b, count(*) as n, round(avg(b.f) filter (a.f = 1), 6) as given_failed, round(avg(b.f) filter (a.f = 0), 6) as given_ok
+from f a join f b on a.row_id = b.row_id and a.model < b.model group by all""",
+    "depth_rank_correlation": MOMENTS + """, r as (
+    select win, rank() over (partition by win order by depth_usd) + (count(*) over (partition by win, depth_usd) - 1) / 2 as rx, rank() over (partition by win order by q) + (count(*) over (partition by win, q) - 1) / 2 as ry, depth_usd, q
+    from moments where "primary"
+) select win, count(*) as n, round(corr(depth_usd, q), 6) as pearson, round(corr(rx, ry), 6) as spearman from r group by all""",
+    "within_event_slope": SCORED + """, d as (select win, model, p - avg(p) over w as dp, q - avg(q) over w as dq from scored window w as (partition by win, model, event_id))
+select win, model, count(*) as n, round(sum(dp * dq) / nullif(sum(dq * dq), 0), 6) as slope from d group by all""",
+    "tag_counts": MOMENTS + """, t as (select win, unnest(tags) as tag from moments) select * from (select win, lower(trim(tag)) as tag, count(*) as n from t where tag is not null group by all)
+qualify row_number() over (partition by win order by n desc, tag) <= 5""",
+    "rounded_concentration": SCORED + """, c as (select model, round_even(p, 2) as v, count(*) as n from scored group by all), k as (
+    select *, row_number() over (partition by model order by n desc, v) as place from c
+) select model, sum(n)::bigint as n, round(sum(n) filter (place <= 10) / sum(n), 6) as share, max(v) filter (place = 1) as commonest from k group by all""",
+    "reply_forms": SCORED + f""", r as (
+    select win, model, p, floor({_u("'form|' || model || '|' || row_id::varchar")} * 8) as form, floor({_u("'words|' || model || '|' || row_id::varchar")} * 4) as words from scored
+), told as (
+    select *, case when form = 0 then floor(p * 100)::int::varchar || '%' when form = 1 then '0' when form = 2 then '0,65' when form = 3 then '1/3' else '0.' || lpad(floor(p * 100)::int::varchar, 2, '0') end as number from r
+), parsed as (
+    select *, case when form = 0 then floor(p * 100) / 100.0::double when form in (1, 2, 3) then null else cast(number as double) end as said from told
+) select win, count(*) as n, count(said) as n_parsed, round(avg(said), 6) as p, count(*) filter (words in (0, 2)) as n_hedged, count(*) filter (words = 1) as n_cite_news, round(avg(case words when 0 then 18 when 1 then 30 when 2 then 6 else 0 end), 6) as body_chars from parsed group by all""",
     "latest_records": "select user_id, event_type, event_id, ts, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "hourly_errors": "select date_trunc('hour', ts) as hour, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_type <> 'error') as successes from events group by all",
+    "sliding_errors": "select event_id, ts, count(*) over (order by ts range between interval 3599999999 microseconds preceding and current row) as errors from events where event_type = 'error'",
 }

@@ -1,15 +1,20 @@
-"""Forecasting tables derived from the star schema: orders are market moments, lineitem their later prices."""
+"""Forecasting tables derived from the star schema: orders are market moments, customers their events, lineitem later prices."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddsmith.functions import scores
 from oddsmith.functions.scores import uniform
 
 #: model, intercept and slope of its shrinkage, and whether it forecasts window A
 ROSTER = [("m1", 0.10, 0.60, True), ("m2", 0.15, 0.50, True), ("m3", 0.05, 0.80, True), ("m4", 0.20, 0.55, True)]
 ROSTER += [("m5", 0.08, 0.75, False), ("m6", 0.12, 0.65, False), ("m7", 0.02, 0.90, False), ("m8", 0.25, 0.45, False)]
+#: Customer segments that stand for sports.
+SPORTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+#: run, when it started (ISO), whether it is void
+RUNS = [("run1", "2026-01-01", 0), ("run2", "2026-02-01", 0), ("run3", "2026-03-01", 1)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,29 +22,111 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per market moment, with its price q, outcome y, book, depth and flags."""
-    key, q = F.col("o_orderkey"), F.col("q")
-    rows = table(spark, sf_dir, "orders").select(
+    """One row per market moment: price, book, outcome, fees, tags and the columns derived from them."""
+    key = F.col("o_orderkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    rows = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = rows.select(
         key.alias("row_id"),
         F.col("o_custkey").alias("event_id"),
         F.when(F.col("o_orderstatus") == "P", "A").when(F.col("o_orderstatus") == "F", "B").otherwise("C").alias("win"),
         F.col("o_orderdate").alias("forecast_ts"),
         F.col("o_totalprice").alias("depth_usd"),
-        (F.lit(0.02) + F.lit(0.96) * uniform("q", key)).alias("q"),
+        F.array("segment", "o_orderpriority").alias("tags"),
+        F.coalesce(F.col("segment").isin(SPORTS), F.lit(False)).alias("sports"),
+        (F.lit(0.02) + F.lit(0.96) * uniform("q", key)).alias("_q"),
+        (F.lit(0.01) + F.lit(0.2) * uniform("w", key)).alias("_spread"),
+        (uniform("o", key) < 0.03).alias("one_sided"),
+        uniform("x", key).alias("_odd"),
         uniform("y", key).alias("_y"),
-        (F.lit(0.005) + F.lit(0.04) * uniform("b", key)).alias("_half"),
         (uniform("l", key) < 0.1).alias("is_ladder"),
+        (uniform("d", key) < 0.03).alias("late_dateline"),
+        (uniform("r", key) < 0.02).alias("end_date_revised"),
         F.when(uniform("s", key) < 0.2, "calibration").otherwise("test").alias("split"),
         (uniform("n", key) < 0.4).alias("news_available"),
+        (F.lit(40.0) * uniform("h", key)).alias("horizon_days"),
+        (uniform("e", key) >= 0.05).alias("fees_enabled"),
+        F.when(uniform("z", key) < 0.5, 1.0).alias("fee_exponent"),
     )
-    rows = rows.withColumns({"y": F.when(F.col("_y") < q, 1.0).otherwise(0.0), "bid": q - F.col("_half"), "ask": q + F.col("_half")})
-    return rows.withColumn("primary", q.between(0.05, 0.95) & ~F.col("is_ladder")).drop("_y", "_half")
+    q, half, odd = F.col("_q"), F.col("_spread") / 2, F.col("_odd")
+    low, high = F.greatest(F.lit(0.0), q - half), F.least(F.lit(1.0), q + half)
+    rows = rows.withColumns({
+        "venue": F.when(F.col("win") == "C", "kalshi").otherwise("polymarket"),
+        "price_yes": F.when(F.col("win") == "A", F.bround(q, 2)).otherwise(q),
+        "mid_yes": F.when(~F.col("one_sided"), q),
+        "bid": F.when(odd < 0.02, high).otherwise(low),
+        "ask": F.when(F.col("one_sided"), F.lit(None)).when(odd < 0.02, low).when(odd < 0.03, F.least(F.lit(1.0), low + 0.6)).otherwise(high),
+        "y": F.when(F.col("_y") < q, 1.0).otherwise(0.0),
+        "fee_rate": F.when(F.col("win") == "C", 0.07).otherwise(0.05),
+    })
+    rows = rows.withColumns({
+        "q": F.when(F.col("win") == "A", F.coalesce("mid_yes", "price_yes")).otherwise(F.col("price_yes")),
+        "live_book": F.coalesce(~F.col("one_sided") & (F.col("ask") - F.col("bid") <= scores.LIVE_SPREAD + scores.EPS), F.lit(False)),
+        "book": scores.book_status(F.col("bid"), F.col("ask"), F.col("one_sided")),
+        "horizon_band": scores.horizon_band(F.col("horizon_days")),
+    })
+    return rows.withColumn("primary", F.col("q").between(0.05, 0.95) & ~F.col("is_ladder") & ~F.col("late_dateline") & ~F.col("end_date_revised")).drop("_q", "_spread", "_odd", "_y")
 
 
-def forecasts(rows: DataFrame) -> DataFrame:
-    """Each moment's forecast p by each model of the roster; failed ones are left out."""
+def _models(rows: DataFrame) -> DataFrame:
     models = [F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("on_a")) for m, a, b, w in ROSTER]
-    each = rows.select("*", F.inline(F.array(*models))).where("on_a or win <> 'A'")
-    noise = F.lit(0.3) * (uniform(F.col("model"), F.col("row_id")) - 0.5)
-    p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("a") + F.col("b") * F.col("q") + noise))
-    return each.where(uniform("f", F.col("model"), F.col("row_id")) >= 0.01).withColumn("p", p).drop("a", "b", "on_a")
+    return rows.select("*", F.inline(F.array(*models))).where("on_a or win <> 'A'")
+
+
+def _p(noise: Column) -> Column:
+    return F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("a") + F.col("b") * F.col("q") + F.lit(0.3) * (noise - 0.5)))
+
+
+def attempts(rows: DataFrame) -> DataFrame:
+    """Each moment's forecast p by each model of the roster; null where it failed."""
+    each = _models(rows).withColumn("p", F.when(uniform("f", F.col("model"), F.col("row_id")) >= 0.01, _p(uniform(F.col("model"), F.col("row_id")))))
+    return each.drop("a", "b", "on_a")
+
+
+def forecasts(rows: DataFrame) -> DataFrame:
+    """The forecasts that did not fail."""
+    return attempts(rows).where("p is not null")
+
+
+def calls(rows: DataFrame) -> DataFrame:
+    """The call log: normal and memory-probe records of each model and moment, with reruns, drafts and a void run."""
+    each = _models(rows).select("*", F.explode(F.array(F.lit("normal"), F.lit("memory_probe"))).alias("mode"))
+    of = (F.col("mode"), F.col("model"), F.col("row_id"))
+    each = each.where((F.col("mode") == "normal") | (F.col("news_available") & (uniform("pm", *of) < 0.8)))
+    each = each.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    each = each.where((F.col("k") == 0) | ((F.col("k") == 1) & (uniform("c", *of) < 0.2)) | ((F.col("k") == 2) & (uniform("v", *of) < 0.1)))
+    status = F.when(F.col("late_dateline"), "excluded_by_benchmark_flag").when(uniform("f", F.col("model"), F.col("row_id")) < 0.01, "failed").otherwise("ok")
+    each = each.withColumns({
+        "status": status,
+        "run_id": F.element_at(F.array(*[F.lit(r) for r, _, _ in RUNS]), F.col("k") + 1),
+        "call_id": F.concat_ws("|", *of, F.col("k").cast("string")),
+        "called_at": F.col("forecast_ts") + F.make_dt_interval(secs=F.floor(F.lit(90.0) * uniform("t", F.col("k"), *of)).cast("decimal(18,6)")),
+        "final": ((F.col("k") > 0) | (uniform("g", *of) >= 0.05)).cast("int"),
+    })
+    noise = F.when((F.col("mode") == "normal") & (F.col("k") == 0), uniform(F.col("model"), F.col("row_id"))).otherwise(uniform("p", F.col("k"), *of))
+    return each.withColumn("p", F.when(F.col("status") == "ok", _p(noise))).drop("a", "b", "on_a", "k")
+
+
+def runs(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(s).alias("started_at"), F.lit(v).alias("void")) for r, s, v in RUNS])))
+
+
+def price_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later prices of the moments, with what orders points of one time."""
+    price = uniform("pp", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.floor("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("row_id"), F.col("l_shipdate").alias("ts"), (F.lit(0.02) + F.lit(0.96) * price).alias("price_yes"),
+        F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("tie"),
+    )
+
+
+def replies(rows: DataFrame) -> DataFrame:
+    """A reply text for each forecast: some hedge, some cite news, and the number comes in every form that a parser meets."""
+    of = (F.col("model"), F.col("row_id"))
+    form, words = F.floor(uniform("form", *of) * 8), F.floor(uniform("words", *of) * 4)
+    opening = F.when(words == 0, "It is hard to say. ").when(words == 1, "According to the news it will. ").when(words == 2, "Guess: ").otherwise("")
+    number = F.concat(F.lit("0."), F.lpad(F.floor(F.col("p") * 100).cast("string"), 2, "0"))
+    line = (
+        F.when(form == 0, F.concat(F.floor(F.col("p") * 100).cast("string"), F.lit("%"))).when(form == 1, "0").when(form == 2, "0,65").when(form == 3, "1/3").otherwise(number)
+    )
+    return rows.withColumn("reply", F.concat(opening, F.lit("\nPROBABILITY: "), line))

@@ -1,13 +1,33 @@
-"""Event rates per hour: one definition for batch and streaming frames."""
+"""Event rates and the latest records of a log: one definition for batch and streaming frames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+HOUR = 3_600_000_000
+
 
 def hourly_errors(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Successes and errors per hour; on a stream, hours close once the watermark has passed them."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     counted = rows.groupBy(F.window("ts", "1 hour").alias("_w")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") != "error").alias("successes"))
     return counted.select(F.col("_w.start").alias("hour"), "errors", "successes")
+
+
+def latest_of_log(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The last record of each key so far, by (ts, event_id); on a stream, in update mode."""
+    rest = [c for c in events.columns if c not in keys]
+    return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("_last")).select(*keys, "_last.*")
+
+
+def sliding_errors(events: DataFrame) -> DataFrame:
+    """For each error the number of errors in the hour up to it.
+
+    An event goes to its own hour and the next, so a window over one hour of events sees all it needs.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.where("event_type = 'error'").select("event_id", "ts", at.alias("_at"), F.floor(at / HOUR).alias("_own"))
+    rows = rows.select("*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_hour"))
+    near = Window.partitionBy("_hour").orderBy("_at").rangeBetween(1 - HOUR, 0)
+    return rows.withColumn("errors", F.count("*").over(near)).where("_hour = _own").select("event_id", "ts", "errors")

@@ -125,8 +125,7 @@ def extremizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def no_skill_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.no_skill(_bucketed(spark, sf_dir, _primary(spark, sf_dir)))
-    return scoring.floors(scoring.traded(rows), ["win", "bucket"])
+    return scoring.floors(_bucketed(spark, sf_dir, _primary(spark, sf_dir)), ["win", "bucket"])
 
 
 @query

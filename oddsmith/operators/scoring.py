@@ -101,18 +101,35 @@ def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def no_skill(rows: DataFrame, draws: int = 200) -> DataFrame:
-    """Each moment under each no-skill strategy: columns strategy, draw and p (1 buys Yes, 0 buys No)."""
+def no_skill(rows: DataFrame) -> DataFrame:
+    """Each moment under each strategy that draws no coin: columns strategy and p (1 buys Yes, 0 buys No)."""
     cheaper = F.when(F.col("ask").isNull() | F.col("bid").isNull() | (F.col("ask") <= 1 - F.col("bid")), 1.0).otherwise(0.0)
     favored = F.when(F.col("q") > 0.5, 1.0).when(F.col("q") < 0.5, 0.0).otherwise(0.5)
-    fixed = [F.struct(F.lit(n).alias("strategy"), F.lit(0).alias("draw"), p.alias("p")) for n, p in zip(NO_SKILL, (F.lit(1.0), F.lit(0.0), cheaper, favored), strict=False)]
-    coin = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.struct(F.lit("coin_flip").alias("strategy"), k.alias("draw"), F.when(scores.uniform("coin", k, F.col("row_id")) < 0.5, 1.0).otherwise(0.0).alias("p")))
-    return rows.select("*", F.inline(F.concat(F.array(*fixed), coin)))
+    return rows.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), p.alias("p")) for n, p in zip(NO_SKILL, (F.lit(1.0), F.lit(0.0), cheaper, favored), strict=False)])))
 
 
-def floors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean return of each strategy by key; the coin's is the mean over draws of each draw's mean, with its least and greatest draw."""
-    means = rows.where("reason = 'traded'").groupBy(*keys, "strategy", "draw").agg(F.avg("ret").alias("m"), F.count("*").alias("n"))
+def coins(row: Column, draws: int) -> Column:
+    """A text of one hexadecimal digit for each draw of a row's coin: 8 and above is Yes."""
+    return F.concat(*[F.md5(F.concat_ws("|", F.lit("coin"), F.lit(k), row.cast("string")).cast("binary")) for k in range(-(-draws // 32))])
+
+
+def floors(rows: DataFrame, keys: list[str], draws: int = 200) -> DataFrame:
+    """Mean return of each no-skill strategy by key; the coin's is the mean over draws of each draw's mean, with its least and greatest draw.
+
+    A coin only chooses between a row's two trades, so both are priced once and each draw picks one of the two returns.
+    """
+    fixed = traded(no_skill(rows)).where("reason = 'traded'").groupBy(*keys, "strategy").agg(F.avg("ret").alias("m"), F.count("*").alias("n"), F.lit(0).alias("draw"))
+    rows = rows.select(*keys, "row_id", "book", "y", "venue", "fee_rate", "fees_enabled", "fee_exponent", F.col("ask").alias("_a"), (1 - F.col("bid")).alias("_b"))
+    fee = lambda c: scores.fee_per_share(F.col("fee_rate"), F.col(c), F.col("fees_enabled"), F.col("fee_exponent"))
+    rows = rows.withColumns({"_fa": fee("_a"), "_fb": fee("_b"), "_ok": F.col("book") == "ok", "_cent": F.col("venue") == "kalshi"})
+    yes = F.when(F.col("_ok") & (F.col("_a") < 1), scores.buy_return(F.col("_a"), F.col("y") == 1, F.col("_fa"), F.col("_cent")))
+    no = F.when(F.col("_ok") & (F.col("_b") < 1), scores.buy_return(F.col("_b"), F.col("y") != 1, F.col("_fb"), F.col("_cent")))
+    both = rows.select(*keys, yes.alias("_yes"), no.alias("_no"), coins(F.col("row_id"), draws).alias("_coins"))
+    each = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))  # below it, trades are priced once
+    heads = F.substr(F.col("_coins"), F.col("draw") + 1, F.lit(1)) >= "8"
+    drawn = each.select(*keys, "draw", F.when(heads, F.col("_yes")).otherwise(F.col("_no")).alias("ret")).where("ret is not null")
+    coin = drawn.groupBy(*keys, "draw").agg(F.avg("ret").alias("m"), F.count("*").alias("n")).withColumn("strategy", F.lit("coin_flip"))
+    means = fixed.unionByName(coin)
     return means.groupBy(*keys, "strategy").agg(F.sum("n").alias("n"), r6(F.avg("m")).alias("ret"), r6(F.min("m")).alias("least"), r6(F.max("m")).alias("greatest"))
 
 

@@ -201,7 +201,7 @@ qualify row_number() over (partition by win order by round(cal, 12), factor) = 1
     select *, unnest(list_concat([{{'s': 'always_yes', 'd': 0, 'p': 1.0::double}}, {{'s': 'always_no', 'd': 0, 'p': 0.0::double}},
         {{'s': 'cheaper_side', 'd': 0, 'p': case when ask is null or bid is null or ask <= 1 - bid then 1.0::double else 0.0::double end}},
         {{'s': 'market_favored', 'd': 0, 'p': case when q > 0.5 then 1.0::double when q < 0.5 then 0.0::double else 0.5::double end}}],
-        list_transform(range(200), lambda k: {{'s': 'coin_flip', 'd': k::int, 'p': case when {_u("'coin|' || k::varchar || '|' || row_id::varchar")} < 0.5 then 1.0::double else 0.0::double end}}))) as g
+        list_transform(range(200), lambda k: {{'s': 'coin_flip', 'd': k::int, 'p': case when substr(md5('coin|' || (k // 32)::varchar || '|' || row_id::varchar), 1 + (k % 32)::int, 1) >= '8' then 1.0::double else 0.0::double end}}))) as g
     from (select *, {_BUCKET} from (select *, win as view from moments where "primary") t)
 ), played as (select * exclude (g), g.s as strategy, g.d as draw, g.p as p from guessed){_traded('played')}, means as (
     select win, bucket, strategy, draw, avg(ret) as m, count(*) as n from traded where reason = 'traded' group by all

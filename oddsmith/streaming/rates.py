@@ -10,7 +10,7 @@ HOUR = 3_600_000_000
 
 def hourly_errors(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Successes and errors per hour; on a stream, hours close once the watermark has passed them."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     counted = rows.groupBy(F.window("ts", "1 hour").alias("_w")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") != "error").alias("successes"))
     return counted.select(F.col("_w.start").alias("hour"), "errors", "successes")
 

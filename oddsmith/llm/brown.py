@@ -1,13 +1,18 @@
 """Class-based bigram model: exchange clustering puts words into classes; transitions and emissions give a text's score.
 
-p(word | word before) = p(class | class before) * p(word | class).  The most frequent training words (``LISTED``) are
-clustered: in each round every listed word of one hash group moves to the class that raises the training likelihood
-most, from exact counts over all training texts of the classes before and after it.  All other words fall into classes
-by their last letters, and the end of a text is a class of its own.  Every training word, listed or not, keeps its own
-count, and so its own emission probability.
+p(word | word before) = p(class | class before) * p(word | class).  Every training word is put into a cluster by the exchange
+criterion, the likelihood of the classes' bigrams:
+
+1. the ``LISTED`` most frequent words move in rounds, a hash group of them at a time, each to the cluster that raises the
+   likelihood most by its exact counts; after each round the likelihood is counted anew, and a round that lowered it is taken
+   back and its groups halved;
+2. then every other word, however rare, goes to the cluster that it raises the likelihood most in, against those counts.
+
+The end of a text is a class of its own.  A word that is not in the training texts belongs to the cluster with most distinct words,
+each of which keeps room for one unseen word.  Every training word keeps its own count, and so its own emission probability.
 
 Nothing that grows with the corpus is sent to the driver or broadcast: the listed words, the class of each and the class
-counts are bounded; the counts of all other words meet the texts by shuffle, one dictionary per block of texts.
+counts are bounded; counts and classes of all other words meet the texts by shuffle, one dictionary per block of texts.
 
 Edge cases: a null text counts as empty and is scored as the end alone; a null ``doc_id`` counts as the empty string
 for the split; repeated rows are rows of their own, in counts and result; with no training text every word is unseen
@@ -17,129 +22,122 @@ and N is 0; an empty table gives an empty result; only ``doc_id`` and ``text`` a
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, store
+from .common import discard, partitions, store
 
+#: Words that move in rounds; all others move once, after them.
 LISTED = 1 << 16
-CLUSTERS = 47
-TAILS = 16
-#: Clusters, then the classes of unlisted words, then the end.
-CLASSES = CLUSTERS + TAILS + 1
-END = LISTED + TAILS
+CLUSTERS = 62
+#: Clusters, then all unlisted words while listed ones move, then the end.
+CLASSES = CLUSTERS + 2
+UNLISTED, END_CLASS = CLUSTERS, CLUSTERS + 1
+#: Ids after those of the listed words.
+RARE, END = LISTED, LISTED + 1
 ROUNDS = 3
 GROUPS = 2
 SMOOTH = 0.1
 PRIOR = 50.0
 WORDS_PER_BLOCK = 1 << 10
-#: Tokens that one block of texts holds before it is written, and distinct words counted before they are passed on.
-BLOCK_TOKENS = 2_000_000
-FLUSH = 400_000
+#: Row of a word's counts: the classes after it (or before it), then itself after itself.
+WIDTH = CLASSES + 1
+#: Bytes of text that one block of texts holds.
+BLOCK_BYTES = 12_000_000
+#: With more shuffle partitions than this, tasks' counts are added up in two steps; the sums are the same.
+MANY_TASKS = 64
+SEED = 42
 
 
 def held_out(folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def tail_class(word: bytes) -> int:
-    """The class of a word that is not listed, from its last three bytes."""
-    h = 2166136261
-    for c in word[-3:]:
-        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-    return (h >> 11) % TAILS
+def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded size, with the texts lower-cased (A-Z) and null as empty."""
+    text = pc.ascii_lower(pc.fill_null(b.column("text").cast(pa.large_string()), ""))
+    b = b.set_column(b.schema.get_field_index("text"), "text", text)
+    at = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)) // BLOCK_BYTES
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else []
+    for i, j in zip(first, [*first[1:], len(at)], strict=True):
+        yield b.slice(i, j - i)
 
 
-def _texts(b: pa.RecordBatch) -> Iterator[list[bytes]]:
-    for t in b.column("text").cast(pa.binary()):
-        yield (t.as_py() or b"").lower().split()
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, each token's place among them, number of tokens of each text)."""
+    split = pc.ascii_split_whitespace(text)
+    values = split.flatten()
+    real = pc.not_equal(pc.binary_length(values), 0)
+    upto = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)).astype(np.int64)
+    counts = np.diff(np.concatenate(([0], upto[ends])))
+    coded = values.filter(real).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    for batch in batches:
+        for b in _blocks(batch):
+            words, at, _ = _words(b.column("text"))
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(np.bincount(at, minlength=len(words)))], ["word", "n"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"]
-        )
-
-    for b in batches:
-        for words in _texts(b):
-            counts.update(words)
-            if len(counts) > FLUSH:
-                yield out()
-                counts.clear()
-    yield out()
 
-
-def _coder(listed: list[bytes]):
-    """Blocks of texts as token ids; unlisted words get the id of their class, and are kept once per block."""
+def _coder(listed: list[str]):
+    """Blocks of texts as token ids; unlisted words have one id, their hashes stand beside, and each is kept once per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = {w: i for i, w in enumerate(listed)}
-        part, block = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-        rare: dict[bytes, int] = {}
-        tails: list[int] = []
-        tokens = 0
-
-        def out() -> pa.RecordBatch:
-            at = part << 32 | block
-            ids, held, codes, others = zip(*rows, strict=True) if rows else ((), (), (), ())
-            n = len(rows)
-            words = pa.array([None] * n + [list(rare)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([at] * (n + 1), pa.int64()),
-                    pa.concat_arrays([pa.array(ids, kind), pa.nulls(1, kind)]),
-                    pa.array([*held, None], pa.bool_()),
-                    pa.array([*codes, None], pa.binary()),
-                    pa.array([*others, None], pa.binary()),
-                    words,
-                ],
-                ["block", "doc_id", "held_out", "tokens", "rare", "words"],
-            )
-
-        kind = None
-        for b in batches:
-            kind = b.schema.field("doc_id").type
-            for doc, held, words in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), _texts(b), strict=True):
-                code = np.fromiter((number.get(w, -1) for w in words), np.int32, len(words))
-                miss = np.flatnonzero(code < 0)
-                at = []
-                for i in miss.tolist():
-                    w = words[i]
-                    k = rare.get(w)
-                    if k is None:
-                        k = rare[w] = len(rare)
-                        tails.append(LISTED + tail_class(w))
-                    at.append(k)
-                places = np.array(at, np.int32)
-                code[miss] = [tails[k] for k in at]
-                rows.append((doc, held, np.append(code, END).astype("<i4").tobytes(), places.astype("<i4").tobytes()))
-                tokens += len(words) + 1
-                if tokens >= BLOCK_TOKENS:
-                    yield out()
-                    rows, rare, tails, tokens, block = [], {}, [], 0, block + 1
-        if rows:
-            yield out()
+        known, part, block = pa.array(listed, pa.large_string()), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for b in _blocks(batch):
+                words, at, counts = _words(b.column("text"))
+                number = pc.fill_null(pc.index_in(words, known), RARE).to_numpy(zero_copy_only=False).astype("<i4")
+                rare = np.flatnonzero(number == RARE)
+                others = words.take(pa.array(rare)).to_pylist()
+                hashes = np.zeros(len(words), "<i8")
+                hashes[rare] = np.array([xxhash.xxh64_intdigest(w.encode(), SEED) for w in others], np.uint64).view(np.int64)
+                ids = number[at]
+                miss = ids == RARE
+                sides, ends = hashes[at[miss]], np.cumsum(counts)
+                upto = np.concatenate(([0], np.cumsum(miss)))[np.concatenate(([0], ends))]
+                last = np.array([END], "<i4").tobytes()
+                starts = ends - counts
+                tokens = [ids[i:j].tobytes() + last for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                unlisted = [sides[i:j].tobytes() for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                n, kind = b.num_rows, b.schema.field("doc_id").type
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n + 1, part << 32 | block)),
+                        pa.concat_arrays([b.column("doc_id"), pa.nulls(1, kind)]),
+                        pa.array([*b.column("held_out").to_pylist(), None], pa.bool_()),
+                        pa.array([*tokens, None], pa.binary()),
+                        pa.array([*unlisted, None], pa.binary()),
+                        pa.array([None] * n + [others], pa.list_(pa.string())),
+                    ],
+                    ["block", "doc_id", "held_out", "tokens", "rare", "words"],
+                )
+                block += 1
 
     return run
 
 
+def _row(key: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([at.astype("<u4").tobytes()]), pa.array([n.astype("<i8").tobytes()])], ["key", "at", "n"])
+
+
 def _profiles(classes: np.ndarray):
-    """Counts of the classes after and before each listed word, and of class pairs, in sparse blocks of words."""
+    """Counts of the classes after and before each listed word, of itself after itself, and of class pairs, in sparse blocks of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after = np.zeros(LISTED * CLASSES, np.int32)
-        before = np.zeros(LISTED * CLASSES, np.int32)
+        after = np.zeros(LISTED * WIDTH, np.int32)
+        before = np.zeros(LISTED * WIDTH, np.int32)
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
             codes = b.column("tokens").drop_null()
@@ -150,22 +148,18 @@ def _profiles(classes: np.ndarray):
             c, p = classes[ids], classes[prev]
             pairs += np.bincount(p * CLASSES + c, minlength=len(pairs))
             known = prev < LISTED
-            np.add.at(after, prev[known] * CLASSES + c[known], 1)
+            np.add.at(after, prev[known] * WIDTH + c[known], 1)
             known = ids < LISTED
-            np.add.at(before, ids[known] * CLASSES + p[known], 1)
+            np.add.at(before, ids[known] * WIDTH + p[known], 1)
+            np.add.at(after, ids[known & (ids == prev)] * WIDTH + CLASSES, 1)
         for side, table in ((0, after), (1, before)):
-            for k, part in enumerate(table.reshape(-1, WORDS_PER_BLOCK * CLASSES)):
+            for k, part in enumerate(table.reshape(-1, WORDS_PER_BLOCK * WIDTH)):
                 at = np.flatnonzero(part)
                 if len(at):
-                    yield row(2 * k + side, at, part[at])
+                    yield _row(2 * k + side, at, part[at])
         at = np.flatnonzero(pairs)
         if len(at):
-            yield row(-1, at, pairs[at])
-
-    def row(key: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([n.astype("<i8" if key < 0 else "<i4").tobytes()])], ["key", "at", "n"]
-        )
+            yield _row(-1, at, pairs[at])
 
     return run
 
@@ -176,57 +170,124 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for key, at, n in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
             if key not in sums:
-                sums[key] = np.zeros(CLASSES * CLASSES if key < 0 else WORDS_PER_BLOCK * CLASSES, np.int64)
-            sums[key][np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8" if key < 0 else "<i4")
+                sums[key] = np.zeros(CLASSES * CLASSES if key < 0 else WORDS_PER_BLOCK * WIDTH, np.int64)
+            sums[key][np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
     for key, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.astype("<i8").tobytes()])], ["key", "total"])
+        at = np.flatnonzero(total)
+        yield _row(key, at, total[at])
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def _best_classes(pairs: np.ndarray, classes: np.ndarray):
-    """For each listed word of the blocks, the cluster that the exchange criterion likes most.
+def likelihood(pairs: np.ndarray) -> float:
+    """What the classes' bigrams add to the log likelihood: sum of N log N over pairs less that over both margins."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
+
 
-    The criterion is Σ N(a,b) log N(a,b) - Σ N(a,.) log N(a,.) - Σ N(.,b) log N(.,b); its change is that of taking the word
-    out of its class and putting it into another.
+def gains(pairs: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, self_: float) -> np.ndarray:
+    """What :func:`likelihood` is, up to a constant, with a word of class ``own`` in each class instead.
+
+    ``after`` and ``before`` count the classes after and before the word, itself included, ``self_`` itself after itself.
     """
+    rest, out, into = pairs.copy(), pairs.sum(axis=1), pairs.sum(axis=0)
+    rest[own] -= after
+    rest[:, own] -= before
+    rest[own, own] += self_
+    out[own] -= after.sum()
+    into[own] -= before.sum()
+    after, before = after.copy(), before.copy()
+    after[own] -= self_
+    before[own] -= self_
+    left = _xlogx(rest)
+    rows, columns = _xlogx(rest + after) - left, _xlogx(rest + before[:, None]) - left
+    corner = np.diag(rest)
+    both = _xlogx(corner + after + before + self_) - np.diag(left)
+    gain = rows.sum(axis=1) - np.diag(rows) + columns.sum(axis=0) - np.diag(columns) + both
+    sums = after.sum() + self_, before.sum() + self_
+    return gain - (_xlogx(out + sums[0]) - _xlogx(out)) - (_xlogx(into + sums[1]) - _xlogx(into))
+
+
+def _best_classes(pairs: np.ndarray, classes: np.ndarray):
+    """For each listed word of the blocks, the cluster that the exchange criterion likes most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides: dict[int, dict[int, np.ndarray]] = {}
         for b in batches:
-            for key, total in zip(b.column("key").to_pylist(), b.column("total").to_pylist(), strict=True):
-                sides.setdefault(key // 2, {})[key % 2] = np.frombuffer(total, "<i8").reshape(-1, CLASSES).astype(float)
-        out = pairs.sum(axis=1)
-        into = pairs.sum(axis=0)
-        empty = np.zeros((WORDS_PER_BLOCK, CLASSES))
+            for key, at, n in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
+                table = np.zeros(WORDS_PER_BLOCK * WIDTH)
+                table[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<i8")
+                sides.setdefault(key // 2, {})[key % 2] = table.reshape(-1, WIDTH)
+        empty = np.zeros((WORDS_PER_BLOCK, WIDTH))
         words, best = [], []
         for block, side in sides.items():
             right, left = side.get(0, empty), side.get(1, empty)
             for i in np.flatnonzero(right.sum(axis=1) + left.sum(axis=1)).tolist():
-                r, lft, own = right[i], left[i], classes[block * WORDS_PER_BLOCK + i]
-                rest, rest_out, rest_in = pairs.copy(), out.copy(), into.copy()
-                rest[own] -= r
-                rest[:, own] -= lft
-                rest_out[own] -= r.sum()
-                rest_in[own] -= lft.sum()
-                rest = np.maximum(rest, 0.0)
-                gain = (_xlogx(rest + r) - _xlogx(rest)).sum(axis=1) + (_xlogx(rest + lft[:, None]) - _xlogx(rest)).sum(axis=0)
-                gain -= _xlogx(rest_out + r.sum()) - _xlogx(rest_out) + _xlogx(rest_in + lft.sum()) - _xlogx(rest_in)
-                words.append(block * WORDS_PER_BLOCK + i)
+                word = block * WORDS_PER_BLOCK + i
+                gain = gains(pairs, classes[word], right[i, :CLASSES], left[i, :CLASSES], right[i, CLASSES])
+                words.append(word)
                 best.append(int(np.argmax(gain[:CLUSTERS])))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(best, pa.int32())], ["id", "class"])
 
     return run
 
 
+def _rare_profiles(classes: np.ndarray):
+    """(hash, at, n): how often each unlisted word stands before (at < CLASSES) and after a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column("tokens").to_pylist()
+            ids = np.frombuffer(b"".join(codes), "<i4")
+            hashes = np.frombuffer(b"".join(b.column("rare").to_pylist()), "<i8")
+            if not len(hashes):
+                continue
+            at = np.flatnonzero(ids == RARE)
+            following, prior = classes[ids[at + 1]], np.where(at > 0, classes[ids[at - 1]], END_CLASS)
+            words, which = np.unique(hashes, return_inverse=True)
+            cell, n = np.unique(np.concatenate([which * (2 * CLASSES) + following, which * (2 * CLASSES) + CLASSES + prior]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words[cell // (2 * CLASSES)]), pa.array((cell % (2 * CLASSES)).astype(np.int32)), pa.array(n.astype(np.int64))], ["hash", "at", "n"])
+
+    return run
+
+
+def _rare_best(pairs: np.ndarray):
+    """(hash, class): the cluster that each unlisted word raises the likelihood most in, from rows sorted by hash."""
+    out, into = pairs.sum(axis=1)[:CLUSTERS], pairs.sum(axis=0)[:CLUSTERS]
+    cells = np.concatenate([pairs[:CLUSTERS].T, pairs[:, :CLUSTERS]])  # by at: what the word's counts are added to
+    flat = _xlogx(cells)
+
+    def best(hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        gain = np.add.reduceat(_xlogx(cells[at] + n[:, None]) - flat[at], first)
+        for side, total in ((at < CLASSES, out), (at >= CLASSES, into)):
+            m = np.add.reduceat(np.where(side, n, 0), first)[:, None]
+            gain -= _xlogx(total + m) - _xlogx(total)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[first]), pa.array(np.argmax(gain, axis=1).astype(np.int32))], ["hash", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 3
+        for b in batches:
+            now = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("hash", "at", "n"), strict=True)]
+            if not len(now[0]):
+                continue
+            whole = int(np.searchsorted(now[0], now[0][-1]))  # the last word may go on in the next batch
+            if whole:
+                yield best(*[c[:whole] for c in now])
+            rest = [c[whole:] for c in now]
+        if len(rest[0]):
+            yield best(*rest)
+
+    return run
+
+
 class Model:
-    """Listed words with counts and classes, class counts, and the table of all training words' counts."""
+    """Listed words with counts and classes, class counts, and the table of all unlisted training words' counts and classes."""
 
-    def __init__(self, listed: list[bytes], counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, types: np.ndarray, n: int, v: int, words: DataFrame):
-        self.listed, self.counts, self.classes, self.pairs, self.types = listed, counts, classes, pairs, types
-        self.n, self.v, self.words = n, v, words
+    def __init__(self, listed: list[str], counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, types: np.ndarray, n: int, v: int):
+        self.listed, self.counts, self.classes, self.pairs, self.types, self.n, self.v = listed, counts, classes, pairs, types, n, v
+        self.unseen = int(np.argmax(types[:CLUSTERS]))
 
     def tables(self) -> dict[str, np.ndarray]:
         """Log10 probabilities: transitions by class pair, emissions by id, and what an unlisted word's emission needs."""
@@ -234,15 +295,60 @@ class Model:
         prior = (total + 1) / (total.sum() + CLASSES)
         transition = (self.pairs + PRIOR * prior) / (self.pairs.sum(axis=1, keepdims=True) + PRIOR)
         under = np.log10(total + SMOOTH * (self.types + 1))
-        emission = np.full(END + 1, 0.0)
-        emission[:LISTED] = np.log10(self.counts[:LISTED] + SMOOTH) - under[self.classes[:LISTED]]
-        emission[END] = np.log10(self.counts[END] + SMOOTH) - under[self.classes[END]]
+        emission = np.log10(self.counts + SMOOTH) - under[self.classes]
         base = np.log10(self.counts + SMOOTH) - math.log10(self.n + SMOOTH * (self.v + 1))
-        return {"transition": np.log10(transition), "emission": emission, "under": under, "base": base, "known": (self.counts > 0).astype(np.int64)}
+        return {"transition": np.log10(transition), "emission": emission, "under": under, "base": base, "known": (self.counts > 0).astype(np.int64), "classes": self.classes}
+
+
+def _token_classes(tokens: bytes, rare: bytes, classes: np.ndarray, table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, classes, counts of the unlisted tokens) of a text, with what its block knows of unlisted words."""
+    ids = np.frombuffer(tokens, "<i4")
+    at = np.searchsorted(table["hash"], np.frombuffer(rare, "<i8"))
+    c = classes[ids]
+    c[ids == RARE] = table["class"][at]
+    return ids, c, table["n"][at]
+
+
+def _table(rows: pa.Table, unseen: int) -> dict[str, np.ndarray]:
+    """A block's unlisted words in order of their hashes."""
+    if not rows.num_rows:
+        return {"hash": np.empty(0, np.int64), "n": np.empty(0), "class": np.empty(0, np.int64)}
+    words = rows.column("words").combine_chunks().flatten()
+    hash_, n, c = (words.field(k) for k in ("hash", "n", "class"))
+    return {"hash": hash_.to_numpy(zero_copy_only=False), "n": n.to_numpy(zero_copy_only=False).astype(float), "class": pc.fill_null(c, unseen).to_numpy(zero_copy_only=False).astype(np.int64)}
+
+
+def cluster(spark: SparkSession, learn: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(classes, pairs, likelihoods): the listed words' exchange, round by round; a round that lowers the likelihood is taken back."""
+    groups, turn, said, best = GROUPS, 0, [], None
+    for k in range(rounds + 1):
+        sums = _class_counts(spark, learn, classes)
+        pairs = np.zeros(CLASSES * CLASSES)
+        for r in sums.where("key < 0").collect():
+            pairs[np.frombuffer(r["at"], "<u4")] += np.frombuffer(r["n"], "<i8")
+        pairs = pairs.reshape(CLASSES, CLASSES)
+        said.append(likelihood(pairs))
+        if best is None or said[-1] >= best[0]:
+            if best is not None:
+                discard(best[3])
+            best = said[-1], classes, pairs, sums
+        else:
+            discard(sums)
+            groups *= 2
+        if k < rounds:
+            classes = best[1].copy()
+            dealt = best[3].where("key >= 0").repartition(LISTED // WORDS_PER_BLOCK, F.floor(F.col("key") / 2))
+            group = (np.arange(LISTED) * 2654435761 >> 7) % groups
+            for r in dealt.mapInArrow(_best_classes(best[2], classes.copy()), "id int, class int").collect():  # one row per listed word
+                if group[r["id"]] == turn % groups:
+                    classes[r["id"]] = r["class"]
+            turn += 1
+    discard(best[3])
+    return best[1], best[2], said
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the texts coded in blocks (training and held-out ones)."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the texts coded in blocks (training and held-out ones), and each block's unlisted words with count and class."""
     spark = docs.sparkSession
     split = docs.select("doc_id", "text", held_out().alias("held_out"))
     counted = split.where(~F.col("held_out")).select("text").mapInArrow(_count, "word string, n long")
@@ -250,72 +356,74 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     texts = split.where(~F.col("held_out")).count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("n"), "word").limit(LISTED).collect()
-    listed = [r["word"].encode() for r in top]
+    listed = [r["word"] for r in top]
     counts = np.zeros(END + 1, np.int64)
     counts[: len(top)] = [r["n"] for r in top]
     counts[END] = texts
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = store(
-        split.mapInArrow(_coder(listed), f"block long, doc_id {kind}, held_out boolean, tokens binary, rare binary, words array<string>"), "coded"
-    )
-    classes = np.concatenate([np.arange(LISTED) % CLUSTERS, CLUSTERS + np.arange(TAILS), [CLASSES - 1]]).astype(np.int64)
-    learn = coded.where("not held_out").select("tokens")
-    group = (np.arange(LISTED) * 2654435761 >> 7) % GROUPS
-    for k in range(ROUNDS + 1):
-        sums = _class_counts(spark, learn, classes)
-        pairs = np.zeros(CLASSES * CLASSES)
-        for r in sums.where("key < 0").collect():
-            pairs += np.frombuffer(r["total"], "<i8")
-        pairs = pairs.reshape(CLASSES, CLASSES)
-        if k < ROUNDS:
-            dealt = sums.where("key >= 0").repartition(LISTED // WORDS_PER_BLOCK, F.floor(F.col("key") / 2))
-            for r in dealt.mapInArrow(_best_classes(pairs, classes), "id int, class int").collect():  # one row per listed word
-                if k == 0 or group[r["id"]] == k % GROUPS:
-                    classes[r["id"]] = r["class"]
-        discard(sums)
+    coded = store(split.mapInArrow(_coder(listed), f"block long, doc_id {kind}, held_out boolean, tokens binary, rare binary, words array<string>"), "coded")
+    learn = coded.where("not held_out").select("tokens", "rare")
+    start = np.concatenate([np.arange(LISTED) % CLUSTERS, [UNLISTED, END_CLASS]]).astype(np.int64)
+    classes, pairs, _ = cluster(spark, learn.select("tokens"), start)
+
+    profiles = learn.mapInArrow(_rare_profiles(classes), "hash long, at int, n long").groupBy("hash", "at").agg(F.sum("n").alias("n"))
+    dealt = profiles.repartition(partitions(spark), "hash").sortWithinPartitions("hash")
+    rare = store(dealt.mapInArrow(_rare_best(pairs), "hash long, class int"), "rare-classes")
+    asked = coded.where("words is not null").select("block", F.explode("words").alias("word"))
+    known = words.withColumn("hash", F.xxhash64("word")).join(rare, "hash", "left")
+    found = asked.join(known.select("word", "n", "class"), "word", "left").select("block", F.xxhash64("word").alias("hash"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "class")
+    tables = store(found.groupBy(F.col("block").alias("at")).agg(F.sort_array(F.collect_list(F.struct("hash", "n", "class"))).alias("words")), "block-words")
+
     types = np.bincount(classes[: len(listed)], minlength=CLASSES).astype(float)
-    types[CLASSES - 1] = 1
-    rare = words.join(F.broadcast(spark.createDataFrame([(w.decode(),) for w in listed], "word string")), "word", "left_anti")
-    for r in rare.select("word").mapInArrow(_tails, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        types[CLUSTERS + r["class"]] = r["n"]
-    return Model(listed, counts, classes, pairs, types, total + texts, distinct + (texts > 0), words), coded
+    types[END_CLASS] = 1
+    for r in rare.groupBy("class").count().collect():
+        types[r["class"]] += r["count"]
+    model = Model(listed, counts, classes, pairs, types, total + texts, distinct + (texts > 0))
+    model.pairs = _final_pairs(coded, tables, classes, model.unseen)
+    return model, coded, tables
 
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct unlisted words by class."""
-    n = np.zeros(TAILS, np.int64)
-    for b in batches:
-        n += np.bincount([tail_class(w.encode()) for w in b.column("word").to_pylist()], minlength=TAILS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAILS, dtype=np.int32)), pa.array(n)], ["class", "n"])
+def _final_pairs(coded: DataFrame, tables: DataFrame, classes: np.ndarray, unseen: int) -> np.ndarray:
+    """Class pairs of the training texts, with every word in its own class."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        table = _table(right, unseen)
+        texts = zip(left.column("tokens").to_pylist(), left.column("rare").to_pylist(), strict=True)
+        c = np.concatenate([[END_CLASS], *[_token_classes(tokens, rare, classes, table)[1] for tokens, rare in texts]])  # each text ends with an end
+        total = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(total)
+        return pa.table([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    texts = coded.where("words is null and not held_out").select("block", "tokens", "rare")
+    counted = texts.groupBy("block").cogroup(tables.groupBy("at")).applyInArrow(run, "cell int, n long")
+    pairs = np.zeros(CLASSES * CLASSES)
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row per class pair
+        pairs[r["cell"]] = r["n"]
+    return pairs.reshape(CLASSES, CLASSES)
 
 
 def _class_counts(spark: SparkSession, learn: DataFrame, classes: np.ndarray) -> DataFrame:
     parts = learn.mapInArrow(_profiles(classes), "key long, at binary, n binary")
-    return store(parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(_summed, "key long, total binary"), "profiles")
+    if partitions(spark) > MANY_TASKS:
+        parts = parts.repartition(partitions(spark), "key", F.spark_partition_id() % MANY_TASKS).mapInArrow(_summed, "key long, at binary, n binary")
+    return store(parts.repartition(partitions(spark), "key").mapInArrow(_summed, "key long, at binary, n binary"), "profiles")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    model, coded = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model.tables() | {"classes": model.classes})
-    floor, smooth = math.log10(model.n + SMOOTH * (model.v + 1)), SMOOTH
-    asked = coded.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    found = asked.join(model.words, "word", "left").select("block", "place", F.coalesce("n", F.lit(0)).alias("n"), F.col("word"))
-    # one row per block: the counts of its unlisted words, in order of their places
-    tables = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("counts")).select(F.col("block").alias("at"), F.col("counts.n").alias("counts"))
+    model, coded, tables = train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model.tables())
+    floor, smooth, unseen = math.log10(model.n + SMOOTH * (model.v + 1)), SMOOTH, model.unseen
     texts = coded.where("words is null").select("block", "doc_id", "held_out", "tokens", "rare")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        t = shared.value
-        counts = np.array(right.column("counts")[0].as_py() if right.num_rows else [], np.float64)
+        t, table = shared.value, _table(right, unseen)
         rows = []
-        for code, rare in zip(left.column("tokens").to_pylist(), left.column("rare").to_pylist(), strict=True):
-            ids, n = np.frombuffer(code, "<i4"), counts[np.frombuffer(rare, "<i4")]
-            c = t["classes"][ids]
-            prev = np.concatenate(([CLASSES - 1], c[:-1]))
-            other = (ids >= LISTED) & (ids < END)
+        for tokens, rare in zip(left.column("tokens").to_pylist(), left.column("rare").to_pylist(), strict=True):
+            ids, c, n = _token_classes(tokens, rare, t["classes"], table)
+            other = ids == RARE
             mine = np.log10(n + smooth)
-            full = t["transition"][prev, c].sum() + t["emission"][ids].sum() + mine.sum() - t["under"][c[other]].sum()
+            full = t["transition"][np.concatenate(([END_CLASS], c[:-1])), c].sum() + t["emission"][ids[~other]].sum() + mine.sum() - t["under"][c[other]].sum()
             base = t["base"][ids[~other]].sum() + mine.sum() - len(n) * floor
             rows.append((len(ids), int(t["known"][ids[~other]].sum() + (n > 0).sum()), base, full))
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]

@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
@@ -172,7 +173,103 @@ def test_brown(docs):
     got = brown.score(docs).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got} == want
-    assert all(r["score"] < 0 for r in got)
+    # the score from the model's own classes, by plain loops
+    model, _, tables = brown.train(docs)
+    of = {w.encode(): int(model.classes[i]) for i, w in enumerate(model.listed)}
+    pairs, total, types, own = Counter(), Counter(), Counter(), {}
+    for i, ws in rows:
+        if not out(i):
+            for a, b in zip(["</s>", *ws], [*ws, "</s>"], strict=True):
+                a, b = (brown.END_CLASS if x == "</s>" else of[x] for x in (a, b))
+                pairs[a, b] += 1
+                total[b] += 1
+    for w in counts:
+        types[brown.END_CLASS if w is None else of[w]] += 1
+    everything = sum(total.values())
+
+    def emitted(before, word):
+        c = brown.END_CLASS if word is None else of.get(word, model.unseen)
+        prior = (total[c] + 1) / (everything + brown.CLASSES)
+        row = sum(n for (a, _), n in pairs.items() if a == before)
+        return c, math.log10((pairs[before, c] + brown.PRIOR * prior) / (row + brown.PRIOR)) + math.log10((counts[word] + 0.1) / (total[c] + 0.1 * (types[c] + 1)))
+
+    scores = {r["doc_id"]: r["score"] for r in got}
+    for i, ws in rows:
+        before, whole = brown.END_CLASS, 0.0
+        for w in [*ws, None]:
+            before, part = emitted(before, w)
+            whole += part
+        if i is not None and sum(1 for k, _ in rows if k == i) == 1:
+            assert abs(scores[i] - whole) < 1e-6 * max(1, abs(whole))
+
+
+def class_pairs(texts, of):
+    pairs = np.zeros((brown.CLASSES, brown.CLASSES))
+    for ws in texts:
+        c = [brown.END_CLASS, *[of[w] for w in ws], brown.END_CLASS]
+        np.add.at(pairs, (c[:-1], c[1:]), 1)
+    return pairs
+
+
+def test_brown_gains_are_differences_of_the_likelihood():
+    random = np.random.default_rng(5)
+    texts = [[f"w{k}" for k in np.minimum(random.geometric(0.15, 40), 12)] for _ in range(30)]  # with words after themselves
+    of = {f"w{k}": k % 4 for k in range(1, 13)}
+    pairs = class_pairs(texts, of)
+    for w in of:
+        seen = [(a, b) for ws in texts for a, b in zip(["", *ws], [*ws, ""], strict=True)]
+        c = lambda x: of.get(x, brown.END_CLASS)
+        after, before = np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)
+        for a, b in seen:
+            after[c(b)] += a == w
+            before[c(a)] += b == w
+        gain = brown.gains(pairs, of[w], after, before, float(sum(a == b == w for a, b in seen)))
+        for k in range(6):
+            moved = brown.likelihood(class_pairs(texts, of | {w: k})) - brown.likelihood(pairs)
+            assert abs(moved - (gain[k] - gain[of[w]])) < 1e-6
+
+
+def test_brown_clusters_every_word(spark, monkeypatch):
+    monkeypatch.setattr(brown, "MANY_TASKS", 2)
+    random = __import__("random").Random(7)
+    nouns, verbs = [f"n{k}" for k in range(60)], [f"v{k}" for k in range(60)]
+    texts = [" ".join(x for _ in range(40) for x in (random.choice(nouns), random.choice(verbs))) for _ in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, texts[0] + " n0 oncea n3 onceb")], "doc_id long, text string")
+    got = brown.score(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > got["sum(base_score)"]
+    split = docs.select("doc_id", "text", brown.held_out().alias("held_out"))
+    words = sorted({w for t in texts for w in t.split()})
+    coded = split.mapInArrow(brown._coder(words[:100]), "block long, doc_id long, held_out boolean, tokens binary, rare binary, words array<string>")
+    kept = coded.where("words is null").collect()
+    by_id = {r["doc_id"]: r for r in kept}
+    for i, t in docs.collect():
+        ids = np.frombuffer(by_id[i]["tokens"], "<i4").tolist()
+        assert ids == [words.index(w) if w in words[:100] else brown.RARE for w in t.split()] + [brown.END]
+        assert [h & (2**64 - 1) for h in np.frombuffer(by_id[i]["rare"], "<i8").tolist()] == [xxhash.xxh64_intdigest(w, 42) for w in t.split() if w not in words[:100]]
+    start = np.concatenate([np.arange(brown.LISTED) % brown.CLUSTERS, [brown.UNLISTED, brown.END_CLASS]]).astype(np.int64)
+    learn = coded.where("not held_out").select("tokens", "rare")
+    classes, pairs, said = brown.cluster(spark, learn.select("tokens"), start, 4)
+    assert max(said) > said[0] and brown.likelihood(pairs) == max(said)
+    # every word that is not listed gets the class of its largest gain
+    rows = learn.mapInArrow(brown._rare_profiles(classes), "hash long, at int, n long").groupBy("hash", "at").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    best = {r["hash"]: r["class"] for r in rows.coalesce(1).sortWithinPartitions("hash").mapInArrow(brown._rare_best(pairs), "hash long, class int").collect()}
+    assert len(best) == len(words[100:]) + 2 or len(best) == len(words[100:])
+    counts = {}
+    for r in rows.collect():
+        side = counts.setdefault(r["hash"], (np.zeros(brown.CLASSES), np.zeros(brown.CLASSES)))
+        side[r["at"] // brown.CLASSES][r["at"] % brown.CLASSES] += r["n"]
+    for h, (after, before) in counts.items():
+        added = []
+        for k in range(brown.CLUSTERS):
+            more = pairs.copy()
+            more[k] += after
+            more[:, k] += before
+            # a word is no neighbour of its own here, so row and column are added apart
+            f = lambda x: x * np.log(np.maximum(x, 1.0))
+            out, into = pairs.sum(axis=1)[k], pairs.sum(axis=0)[k]
+            gain = (f(pairs[k] + after) - f(pairs[k])).sum() + (f(pairs[:, k] + before) - f(pairs[:, k])).sum()
+            added.append(gain - f(out + after.sum()) + f(out) - f(into + before.sum()) + f(into))
+        assert added[best[h]] > max(added) - 1e-6
 
 
 def test_codes(spark):

@@ -45,9 +45,11 @@ ROUNDS = 3
 GROUPS = 2
 SMOOTH = 0.1
 PRIOR = 50.0
-WORDS_PER_BLOCK = 1 << 10
 #: Row of a word's counts: the classes after it (or before it), then itself after itself.
 WIDTH = CLASSES + 1
+#: So many words' rows at once have places of 16 bits.
+WORDS_PER_BLOCK = (1 << 16) // WIDTH
+BLOCKS = -(-LISTED // WORDS_PER_BLOCK)
 #: Bytes of text that one block of texts holds.
 BLOCK_BYTES = 12_000_000
 #: With more shuffle partitions than this, tasks' counts are added up in two steps; the sums are the same.
@@ -129,15 +131,20 @@ def _coder(listed: list[str]):
 
 
 def _row(key: int, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([at.astype("<u4").tobytes()]), pa.array([n.astype("<i8").tobytes()])], ["key", "at", "n"])
+    """Counts of one block of words, or of class pairs (key below 0), whose counts need 64 bits."""
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([at.astype("<u2").tobytes()]), pa.array([n.astype(_kind(key)).tobytes()])], ["key", "at", "n"])
+
+
+def _kind(key: int) -> str:
+    return "<i8" if key < 0 else "<u4"
 
 
 def _profiles(classes: np.ndarray):
     """Counts of the classes after and before each listed word, of itself after itself, and of class pairs, in sparse blocks of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after = np.zeros(LISTED * WIDTH, np.int32)
-        before = np.zeros(LISTED * WIDTH, np.int32)
+        after = np.zeros(BLOCKS * WORDS_PER_BLOCK * WIDTH, np.int32)
+        before = np.zeros(BLOCKS * WORDS_PER_BLOCK * WIDTH, np.int32)
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
             codes = b.column("tokens").drop_null()
@@ -171,7 +178,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, at, n in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
             if key not in sums:
                 sums[key] = np.zeros(CLASSES * CLASSES if key < 0 else WORDS_PER_BLOCK * WIDTH, np.int64)
-            sums[key][np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
+            sums[key][np.frombuffer(at, "<u2")] += np.frombuffer(n, _kind(key))
     for key, total in sums.items():
         at = np.flatnonzero(total)
         yield _row(key, at, total[at])
@@ -217,7 +224,7 @@ def _best_classes(pairs: np.ndarray, classes: np.ndarray):
         for b in batches:
             for key, at, n in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("n").to_pylist(), strict=True):
                 table = np.zeros(WORDS_PER_BLOCK * WIDTH)
-                table[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<i8")
+                table[np.frombuffer(at, "<u2")] = np.frombuffer(n, _kind(key))
                 sides.setdefault(key // 2, {})[key % 2] = table.reshape(-1, WIDTH)
         empty = np.zeros((WORDS_PER_BLOCK, WIDTH))
         words, best = [], []
@@ -325,7 +332,7 @@ def cluster(spark: SparkSession, learn: DataFrame, classes: np.ndarray, rounds:
         sums = _class_counts(spark, learn, classes)
         pairs = np.zeros(CLASSES * CLASSES)
         for r in sums.where("key < 0").collect():
-            pairs[np.frombuffer(r["at"], "<u4")] += np.frombuffer(r["n"], "<i8")
+            pairs[np.frombuffer(r["at"], "<u2")] += np.frombuffer(r["n"], "<i8")
         pairs = pairs.reshape(CLASSES, CLASSES)
         said.append(likelihood(pairs))
         if best is None or said[-1] >= best[0]:
@@ -337,7 +344,7 @@ def cluster(spark: SparkSession, learn: DataFrame, classes: np.ndarray, rounds:
             groups *= 2
         if k < rounds:
             classes = best[1].copy()
-            dealt = best[3].where("key >= 0").repartition(LISTED // WORDS_PER_BLOCK, F.floor(F.col("key") / 2))
+            dealt = best[3].where("key >= 0").repartition(BLOCKS, F.floor(F.col("key") / 2))
             group = (np.arange(LISTED) * 2654435761 >> 7) % groups
             for r in dealt.mapInArrow(_best_classes(best[2], classes.copy()), "id int, class int").collect():  # one row per listed word
                 if group[r["id"]] == turn % groups:
@@ -347,8 +354,8 @@ def cluster(spark: SparkSession, learn: DataFrame, classes: np.ndarray, rounds:
     return best[1], best[2], said
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the texts coded in blocks (training and held-out ones), and each block's unlisted words with count and class."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the texts (training and held-out ones) as ids and classes of their tokens and counts of the unlisted."""
     spark = docs.sparkSession
     split = docs.select("doc_id", "text", held_out().alias("held_out"))
     counted = split.where(~F.col("held_out")).select("text").mapInArrow(_count, "word string, n long")
@@ -379,24 +386,40 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     for r in rare.groupBy("class").count().collect():
         types[r["class"]] += r["count"]
     model = Model(listed, counts, classes, pairs, types, total + texts, distinct + (texts > 0))
-    model.pairs = _final_pairs(coded, tables, classes, model.unseen)
-    return model, coded, tables
+    final = store(_classified(coded, tables, classes, model.unseen), "classified")
+    for old in (coded, tables, rare, words):
+        discard(old)
+    model.pairs = _final_pairs(final)
+    return model, final
 
 
-def _final_pairs(coded: DataFrame, tables: DataFrame, classes: np.ndarray, unseen: int) -> np.ndarray:
-    """Class pairs of the training texts, with every word in its own class."""
+def _classified(coded: DataFrame, tables: DataFrame, classes: np.ndarray, unseen: int) -> DataFrame:
+    """doc_id, held_out, tokens (ids), classes (one byte for each token) and counts (of the unlisted ones) of each text."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         table = _table(right, unseen)
-        texts = zip(left.column("tokens").to_pylist(), left.column("rare").to_pylist(), strict=True)
-        c = np.concatenate([[END_CLASS], *[_token_classes(tokens, rare, classes, table)[1] for tokens, rare in texts]])  # each text ends with an end
-        total = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+        found = [_token_classes(t, r, classes, table) for t, r in zip(left.column("tokens").to_pylist(), left.column("rare").to_pylist(), strict=True)]
+        sides = [pa.array([x.tobytes() for x in column], pa.binary()) for column in ([c.astype(np.uint8) for _, c, _ in found], [n.astype("<i8") for _, _, n in found])]
+        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("tokens"), *sides], names=["doc_id", "held_out", "tokens", "classes", "counts"])
+
+    texts = coded.where("words is null").select("block", "doc_id", "held_out", "tokens", "rare")
+    schema = f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, held_out boolean, tokens binary, classes binary, counts binary"
+    return texts.groupBy("block").cogroup(tables.groupBy("at")).applyInArrow(run, schema)
+
+
+def _final_pairs(final: DataFrame) -> np.ndarray:
+    """Class pairs of the training texts, with every word in its own class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            c = np.frombuffer(bytes([END_CLASS]) + b"".join(b.column("classes").to_pylist()), np.uint8).astype(np.int64)  # each text ends with an end
+            total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(total))
         at = np.flatnonzero(total)
-        return pa.table([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
-    texts = coded.where("words is null and not held_out").select("block", "tokens", "rare")
-    counted = texts.groupBy("block").cogroup(tables.groupBy("at")).applyInArrow(run, "cell int, n long")
     pairs = np.zeros(CLASSES * CLASSES)
+    counted = final.where("not held_out").select("classes").mapInArrow(run, "cell int, n long")
     for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row per class pair
         pairs[r["cell"]] = r["n"]
     return pairs.reshape(CLASSES, CLASSES)
@@ -411,26 +434,25 @@ def _class_counts(spark: SparkSession, learn: DataFrame, classes: np.ndarray) ->
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    model, coded, tables = train(docs)
+    model, final = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model.tables())
-    floor, smooth, unseen = math.log10(model.n + SMOOTH * (model.v + 1)), SMOOTH, model.unseen
-    texts = coded.where("words is null").select("block", "doc_id", "held_out", "tokens", "rare")
+    floor, smooth = math.log10(model.n + SMOOTH * (model.v + 1)), SMOOTH
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        t, table = shared.value, _table(right, unseen)
-        rows = []
-        for tokens, rare in zip(left.column("tokens").to_pylist(), left.column("rare").to_pylist(), strict=True):
-            ids, c, n = _token_classes(tokens, rare, t["classes"], table)
-            other = ids == RARE
-            mine = np.log10(n + smooth)
-            full = t["transition"][np.concatenate(([END_CLASS], c[:-1])), c].sum() + t["emission"][ids[~other]].sum() + mine.sum() - t["under"][c[other]].sum()
-            base = t["base"][ids[~other]].sum() + mine.sum() - len(n) * floor
-            rows.append((len(ids), int(t["known"][ids[~other]].sum() + (n > 0).sum()), base, full))
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        return pa.table([left.column("doc_id"), left.column("held_out"), *arrays], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        for b in batches:
+            rows = []
+            for tokens, classes, counts in zip(*[b.column(k).to_pylist() for k in ("tokens", "classes", "counts")], strict=True):
+                ids, c, n = np.frombuffer(tokens, "<i4"), np.frombuffer(classes, np.uint8), np.frombuffer(counts, "<i8")
+                other = ids == RARE
+                mine, listed = np.log10(n + smooth), ids[~other]
+                full = t["transition"][np.concatenate(([END_CLASS], c[:-1])), c].sum() + t["emission"][listed].sum() + mine.sum() - t["under"][c[other]].sum()
+                base = t["base"][listed].sum() + mine.sum() - len(n) * floor
+                rows.append((len(ids), int(t["known"][listed].sum() + (n > 0).sum()), base, full))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = texts.groupBy("block").cogroup(tables.groupBy("at")).applyInArrow(run, schema)
+    scored = final.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(model.n).cast("long"))

@@ -174,7 +174,7 @@ def test_brown(docs):
     assert len(got) == len(rows)
     assert {r["doc_id"]: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got} == want
     # the score from the model's own classes, by plain loops
-    model, _, tables = brown.train(docs)
+    model, _ = brown.train(docs)
     of = {w.encode(): int(model.classes[i]) for i, w in enumerate(model.listed)}
     pairs, total, types, own = Counter(), Counter(), Counter(), {}
     for i, ws in rows:

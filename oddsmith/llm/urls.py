@@ -1,8 +1,10 @@
 """URL filter: rules by host and path, and for the rest a tree of path templates judged by smoothed labelled purity.
 
-Per host, path segments that are too rare under their parent become wildcards; branches whose labels do not differ
-significantly from their siblings' are merged; a template is rejected when the share of good among its labelled URLs,
-smoothed towards its host's and that towards all hosts', is below a half.
+Per host, level by level down to each path's full depth: a segment that looks variable (numbers, long hashes), or that fewer than
+``MIN_URLS`` of the host's URLs have at that place, becomes a wildcard; below a node with fewer URLs than that nothing can
+stay literal, and the rest of the path is one wildcard ``**``.  Then, deepest level first, branches whose labels do not
+differ significantly from their siblings' are merged.  A template is rejected when the share of good among its labelled URLs
+is below a half, smoothed towards that of the same template on all hosts, that towards its host's, and that towards all URLs'.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and is judged like any other; repeated
 rows are judged alike and all kept; with no labels at all nothing is rejected; an empty table gives an empty
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, store
@@ -26,10 +28,10 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Levels of the template tree; a path's segments beyond them form one wildcard.
-DEPTH = 4
-#: A segment stays literal if it has so many URLs, and such a share of its parent's.
-MIN_URLS, MIN_SHARE = 20, 0.02
+#: A segment stays literal if so many URLs of the host have it at its place.
+MIN_URLS = 20
+#: Segments that are numbers or hold a long one, hashes, and very long ones are variable.
+VARIABLE = r"^[0-9]+(\.[A-Za-z]{1,5})?$|[0-9]{4,}|^[0-9a-fA-F-]{12,}$|.{41,}"
 #: Chi-square of one degree of freedom at 5 %.
 SIGNIFICANT = 3.84
 SMOOTH = 5.0
@@ -52,68 +54,76 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _templates(paths: DataFrame, depth: int) -> DataFrame:
-    """Add ``template``: level by level, segments that are rare under their (already generalised) parent become ``*``."""
+def _templates(paths: DataFrame) -> DataFrame:
+    """Add ``template``, by as many levels as have nodes with enough URLs."""
     rows = paths.withColumn("_segs", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    for level in range(depth):
-        rows = rows.withColumn("_seg", F.get("_segs", F.lit(level)))
-        child = rows.groupBy("host", "template", "_seg").agg(F.sum("n").alias("_n"))
-        parent = child.groupBy("host", "template").agg(F.sum("_n").alias("_all"))
-        kept = (
-            child.where(f"_seg is not null and _n >= {MIN_URLS}")
-            .join(parent, ["host", "template"])
-            .where(F.col("_n") >= MIN_SHARE * F.col("_all"))
-            .select("host", "template", "_seg", F.lit(True).alias("_literal"))
-        )
-        step = F.when(F.col("_seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("_literal"), F.col("_seg")).otherwise(F.lit("*"))))
-        rows = rows.join(kept, ["host", "template", "_seg"], "left").withColumn("template", F.concat("template", step)).drop("_literal", "_seg")
-    deeper = F.when(F.size("_segs") > depth, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", deeper)).drop("_segs")
-
-
-def _merged(stats: DataFrame, depth: int) -> DataFrame:
+    done, level = None, 0
+    while True:
+        depth = F.size("_segs")
+        nodes = rows.where(depth > level).groupBy("host", "template").agg(F.sum("n").alias("_n")).where(F.col("_n") >= MIN_URLS).select("host", "template", F.lit(True).alias("_open"))
+        rows = rows.join(nodes, ["host", "template"], "left").withColumn("_open", F.coalesce("_open", F.lit(False)) & (depth > level))
+        rows = store(rows, "url-level")
+        ended = rows.where("not _open").withColumn("template", F.concat("template", F.when(depth > level, "/**").otherwise(""))).drop("_segs", "_open")
+        done = ended if done is None else done.unionByName(ended)
+        if not rows.where("_open").limit(1).count():
+            return done
+        rows = rows.where("_open").withColumn("_seg", F.get("_segs", F.lit(level))).drop("_open")
+        plain = rows.where(~F.rlike(F.col("_seg"), F.lit(VARIABLE)))
+        kept = plain.groupBy("host", "template", "_seg").agg(F.sum("n").alias("_n")).where(F.col("_n") >= MIN_URLS).select("host", "template", "_seg", F.lit(True).alias("_literal"))
+        rows = rows.join(kept, ["host", "template", "_seg"], "left")
+        rows = rows.withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("_literal"), F.col("_seg")).otherwise(F.lit("*")))).drop("_literal", "_seg")
+        level += 1
+
+
+def _joined(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add the sums of good and bad over all rows of the same keys."""
+    sums = rows.groupBy(*keys).agg(F.sum("good").alias(f"{name}_good"), F.sum("bad").alias(f"{name}_bad"))
+    return rows.join(sums, keys)
+
+
+def _merged(stats: DataFrame) -> DataFrame:
     """From (host, template, good, bad), add ``branch``: the template after merging, deepest level first."""
     rows = stats.withColumn("_parts", F.split("template", "/"))
-    for level in range(depth, 0, -1):
-        star = F.transform("_parts", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
-        rows = rows.withColumn("_star", star)
-        own, pool = Window.partitionBy("host", "_parts"), Window.partitionBy("host", "_star")
-        rows = rows.select(
-            "*", *[F.sum(c).over(own).alias(f"_own_{c}") for c in ("good", "bad")], *[F.sum(c).over(pool).alias(f"_pool_{c}") for c in ("good", "bad")]
-        )
+    deepest = rows.agg(F.coalesce(F.max(F.size("_parts")), F.lit(1))).first()[0] - 1
+    for level in range(deepest, 0, -1):
+        # a path that ends above the level has no segment there and stays as it is
+        star = F.transform("_parts", lambda s, i: F.when((i == level) & (s != "**"), F.lit("*")).otherwise(s))
+        rows = _joined(_joined(rows.withColumn("_star", star), ["host", "_parts"], "_own"), ["host", "_star"], "_pool")
         g, b = F.col("_own_good"), F.col("_own_bad")
         rest_g, rest_b = F.col("_pool_good") - g, F.col("_pool_bad") - b
         n = F.col("_pool_good") + F.col("_pool_bad")
         cross = g * rest_b - b * rest_g
         chi2 = F.try_divide(n * cross * cross, (g + b) * (rest_g + rest_b) * F.col("_pool_good") * F.col("_pool_bad"))
-        alike = F.coalesce(chi2 < SIGNIFICANT, F.lit(True))
-        rows = rows.withColumn("_parts", F.when(alike, F.col("_star")).otherwise(F.col("_parts"))).drop(
-            "_star", "_own_good", "_own_bad", "_pool_good", "_pool_bad"
-        )
+        # without labels of its own a branch says nothing against its siblings, but is no part of them either
+        alike = F.coalesce(chi2 < SIGNIFICANT, (g + b > 0) | (n == 0))
+        rows = rows.withColumn("_parts", F.when(alike, F.col("_star")).otherwise(F.col("_parts"))).select(*stats.columns, "_parts")
+        rows = store(rows, "url-merged")
     return rows.withColumn("branch", F.array_join("_parts", "/")).drop("_parts")
 
 
-def template_tree(labelled: DataFrame, depth: int = DEPTH, smooth: float = SMOOTH) -> tuple[DataFrame, DataFrame]:
-    """From (host, path, label 1/0/null): the paths with their templates, and each template's branch and purity."""
+def template_tree(labelled: DataFrame, smooth: float = SMOOTH) -> tuple[DataFrame, DataFrame]:
+    """From (host, path, label 1/0/null): the paths with their templates, and each template's branch, purity and labels.
+
+    ``level`` says whose labels decide: the branch's, the same branch's on other hosts, the host's, or all.
+    """
     good, bad = F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))
     paths = labelled.groupBy("host", "path").agg(F.count("*").alias("n"), good.cast("double").alias("good"), bad.cast("double").alias("bad"))
-    paths = store(_templates(paths, depth), "url-templates")
-    stats = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
+    paths = store(_templates(paths), "url-templates")
+    stats = store(paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]), "url-stats")
     total = stats.agg(F.sum("good"), F.sum("bad")).first()
     everywhere = total[0] / (total[0] + total[1]) if total[0] or total[1] else 1.0
-    host, branch = Window.partitionBy("host"), Window.partitionBy("host", "branch")
-    rows = _merged(stats, depth)
-
-    def purity(of: Window, prior: Column) -> Column:
-        g, b = F.sum("good").over(of), F.sum("bad").over(of)
-        return (g + smooth * prior) / (g + b + smooth)
-
-    rows = rows.withColumn("host_purity", purity(host, F.lit(everywhere)))
-    return paths, rows.withColumn("purity", purity(branch, F.col("host_purity"))).select("host", "template", "branch", "purity")
+    rows = _joined(_joined(_joined(_merged(stats), ["host"], "_host"), ["branch"], "_shared"), ["host", "branch"], "_own")
+    prior = F.lit(everywhere)
+    for name in ("_host", "_shared", "_own"):
+        g, b = F.col(f"{name}_good"), F.col(f"{name}_bad")
+        prior = (g + smooth * prior) / (g + b + smooth)
+    has = lambda name: F.col(f"{name}_good") + F.col(f"{name}_bad") > 0
+    level = F.when(has("_own"), "template").when(has("_shared"), "template on other hosts").when(has("_host"), "host").otherwise("all")
+    return paths, rows.select("host", "template", "branch", prior.alias("purity"), level.alias("level"))
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity of every page.
+    """page_id, host, path, rule, verdict, template, purity and whose labels decide (level) of every page.
 
     ``labels`` (host, path, label) trains the templates; without it the URLs that a rule decides are the labelled ones.
     """
@@ -130,5 +140,5 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, thresh
     judged = paths.select("host", "path", "template").join(tree, ["host", "template"])
     decided = F.when(F.col("purity") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
     return parsed.join(judged, ["host", "path"]).select(
-        "page_id", "host", "path", "rule", F.coalesce("_ruled", decided).alias("verdict"), F.col("branch").alias("template"), "purity"
+        "page_id", "host", "path", "rule", F.coalesce("_ruled", decided).alias("verdict"), F.col("branch").alias("template"), "purity", "level"
     )

@@ -335,6 +335,85 @@ def test_url_rules(spark):
     assert [got[i]["verdict"] for i in (1, 2, 3, 4)] == ["allow", "block", "block", "block"]
 
 
+def plain_tree(rows, smooth=5.0):
+    """{(host, path): (branch, purity)} from (host, path, label), by plain recursion over levels."""
+    import re
+
+    at = {}
+    for host in {h for h, _, _ in rows}:
+        mine = [([x for x in p.split("/") if x], p) for h, p, _ in rows if h == host]
+
+        def descend(members, prefix, level, host=host):
+            deeper = [m for m in members if len(m[0]) > level]
+            for segs, p in members:
+                if len(segs) <= level:
+                    at[host, p] = prefix
+            if len(deeper) < urls.MIN_URLS:
+                for _, p in deeper:
+                    at[host, p] = [*prefix, "**"]
+                return
+            seen = Counter(m[0][level] for m in deeper)
+            groups = {}
+            for m in deeper:
+                x = m[0][level]
+                groups.setdefault(x if seen[x] >= urls.MIN_URLS and not re.search(urls.VARIABLE, x) else "*", []).append(m)
+            for x, group in groups.items():
+                descend(group, [*prefix, x], level + 1)
+
+        descend(mine, [""], 0)
+    now = {key: tuple(parts) for key, parts in at.items()}
+    for level in range(max(map(len, now.values())) - 1, 0, -1):
+        star = {k: tuple("*" if i == level and x != "**" else x for i, x in enumerate(v)) for k, v in now.items()}
+
+        def count(of):
+            out = {}
+            for h, p, label in rows:
+                if label is not None:
+                    out.setdefault((h, of[h, p]), [0, 0])[1 - label] += 1
+            return out
+
+        own, pool, after = count(now), count(star), {}
+        for (h, p), parts in now.items():
+            (g, b), (pg, pb) = own.get((h, parts), (0, 0)), pool.get((h, star[h, p]), (0, 0))
+            under = (g + b) * (pg + pb - g - b) * pg * pb
+            cross = g * (pb - b) - b * (pg - g)
+            alike = (pg + pb) * cross * cross / under < urls.SIGNIFICANT if under else g + b > 0 or pg + pb == 0
+            after[h, p] = star[h, p] if alike else parts
+        now = after
+    labels = [(h, "/".join(now[h, p]), y) for h, p, y in rows if y is not None]
+    share = sum(y for _, _, y in labels) / len(labels)
+    out = {}
+    for (h, p), parts in now.items():
+        branch, prior = "/".join(parts), share
+        for some in ([y for k, _, y in labels if k == h], [y for _, t, y in labels if t == branch], [y for k, t, y in labels if (k, t) == (h, branch)]):
+            prior = (sum(some) + smooth * prior) / (len(some) + smooth)
+        out[h, p] = branch, round(prior, 9)
+    return out
+
+
+def test_url_tree_equals_a_plain_one(spark):
+    rows = []
+    for k in range(100):  # a host of a hundred sections, some good and some bad
+        rows += [("big.example", f"/s{chr(97 + k // 10)}{chr(97 + k % 10)}/{i}", 1 if k % 3 else 0) for i in range(22)]
+    for end, label in (("good", 1), ("bad", 0)):  # told apart by the sixth segment only
+        rows += [("deep.example", f"/a/b/c/d/{end}/item{chr(97 + i % 26)}{chr(97 + i // 26)}/x", label) for i in range(60)]
+    rows += [("bare.example", f"/a/b/c/d/bad/{i}", None) for i in range(40)] + [("bare.example", "/rare/path", None), ("", "", None), ("deep.example", "/a", 1)]
+    got_paths, tree = urls.template_tree(spark.createDataFrame(rows, "host string, path string, label int"))
+    got = got_paths.join(tree, ["host", "template"]).collect()
+    want = plain_tree(rows)
+    assert {(r["host"], r["path"]): (r["branch"], round(r["purity"], 9)) for r in got} == want
+    purity = {(r["host"], r["path"]): r["purity"] for r in got}
+    assert purity["deep.example", "/a/b/c/d/bad/itemaa/x"] < 0.5 < purity["deep.example", "/a/b/c/d/good/itemaa/x"]
+    assert purity["big.example", "/saa/3"] < 0.5 < purity["big.example", "/sab/3"]
+
+
+def test_url_judge_edge_cases(spark):
+    pages = spark.createDataFrame([(1, None), (1, None), (2, "no url"), (3, "http://A.Example.COM/fr/x?q"), (4, "http://net.org#f")], "page_id int, url string")
+    got = sorted(tuple(r)[:5] for r in urls.judge(pages).collect())
+    assert got == sorted([(1, "", "", None, "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "a.example.com", "/fr/x", "com/fr/", "allow"), (4, "net.org", "", None, "allow")])
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), ["a", "b", None][i % 3]) for i in range(3000)], "doc_id long, text string, source string")
     rows = mixing.mix_sizes(docs).collect()

@@ -9,7 +9,7 @@ task; every whole text is scored, in parallel.
 
 Edge cases: a null text counts as empty and gets a score like any other; labels without id or value, and ids without a
 document, are left out; without labelled rows of both classes every score is the smoothed share of label 1; repeated
-rows are scored alike; an empty table gives an empty result; only ``doc_id`` and ``text`` of the documents are read.
+rows are scored alike, and of a labelled id on several texts one is learnt from, the same on every run; an empty table gives an empty result; only ``doc_id`` and ``text`` of the documents are read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +82,7 @@ class Features:
 
 
 def hash_bytes(b: bytes) -> int:
-    out = 2166136261
-    for c in b[:16]:
-        out = ((out ^ c) * 16777619) & 0xFFFFFFFF
-    return out
+    return xxhash.xxh32_intdigest(b)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int) -> tuple[np.ndarray, float]:
@@ -158,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """Weights, bias, slope and offset, from at most ``sample`` labelled rows that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out()).select("doc_id", "quality")
     some = known.orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "quality"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # of an id that stands on several texts, the one whose digest is least
+    rows = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "text")).alias("_one")).select("doc_id", "quality", "_one.text")
     model = rows.select("text", "quality", F.md5(F.col("doc_id").cast("string")).alias("at")).repartition(1).sortWithinPartitions("at")
     row = model.mapInArrow(_fit, "weights binary, bias double, scale double, offset double").first()
     if row is None:  # no labelled rows at all

@@ -491,3 +491,34 @@ def test_bpe_long_pieces(spark):
     for row, text in zip(sorted(bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, PATTERN).collect()), texts, strict=True):
         assert row["ids"] == b"".join(i.to_bytes(4, "little") for i in known.encode_ordinary(text))
         assert row["decoded"] == text.encode()
+
+
+def test_dual_coordinate_descent_finds_the_least_objective():
+    random = np.random.default_rng(9)
+    values = random.normal(size=12)
+    rows = [np.sort(random.choice(12, 5, replace=False)) for _ in range(40)]
+    y = np.where(random.random(40) < 0.5, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 1.3)
+
+    def objective(w, b):
+        return 0.5 * (w @ w + b * b) + sum(c * max(0.0, 1 - s * (w[r] @ values[r] + b)) for r, s, c in zip(rows, y, cost, strict=True))
+
+    w, b = nbsvm.dual_coordinate_descent(rows, values, y, cost, 2000)
+    least = objective(w, b)
+    for size in (1e-3, 1e-2, 0.1):
+        for _ in range(200):
+            assert objective(w + size * random.normal(size=12), b + size * random.normal()) > least - 1e-6
+
+
+def test_classifier_edge_cases(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good words here", "BAD !!! $$$", None, ""] * 20)], "doc_id long, text string")
+    one = spark.createDataFrame([(i, 1) for i in range(0, 80, 4)], "doc_id long, quality int")
+    none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, quality int")
+    for labels in (one, none):
+        got = nbsvm.score(docs, labels).collect()
+        assert len(got) == 80 and all(0 <= r["score"] <= 1 for r in got)
+    both = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80) if i % 4 < 2], "doc_id long, quality int")
+    twice = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' other') as text"))
+    first, again = (sorted(nbsvm.score(d, both).collect(), key=str) for d in (twice, twice.orderBy("text")))
+    assert first == again
+    assert nbsvm.score(docs.limit(0), both).count() == 0

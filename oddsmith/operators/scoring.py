@@ -125,8 +125,8 @@ def floors(rows: DataFrame, keys: list[str], draws: int = 200) -> DataFrame:
     yes = F.when(F.col("_ok") & (F.col("_a") < 1), scores.buy_return(F.col("_a"), F.col("y") == 1, F.col("_fa"), F.col("_cent")))
     no = F.when(F.col("_ok") & (F.col("_b") < 1), scores.buy_return(F.col("_b"), F.col("y") != 1, F.col("_fb"), F.col("_cent")))
     both = rows.select(*keys, yes.alias("_yes"), no.alias("_no"), coins(F.col("row_id"), draws).alias("_coins"))
-    each = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))  # below it, trades are priced once
-    heads = F.substr(F.col("_coins"), F.col("draw") + 1, F.lit(1)) >= "8"
+    each = both.select(*keys, "_yes", "_no", F.posexplode(F.split("_coins", "")).alias("draw", "_coin")).where(F.col("draw") < draws)  # below it, trades are priced once
+    heads = F.col("_coin") >= "8"
     drawn = each.select(*keys, "draw", F.when(heads, F.col("_yes")).otherwise(F.col("_no")).alias("ret")).where("ret is not null")
     coin = drawn.groupBy(*keys, "draw").agg(F.avg("ret").alias("m"), F.count("*").alias("n")).withColumn("strategy", F.lit("coin_flip"))
     means = fixed.unionByName(coin)

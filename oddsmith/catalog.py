@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import fits, gates, paths, resampling, scoring
+from oddsmith.operators import fits, gates, paths, resampling, runs, scoring
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
-from oddsmith.sources import fixtures
+from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
 
 FLAGSHIP = "bucket_scores"
@@ -45,6 +45,10 @@ def _with_points(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame
     return paths.last_prices(rows, fixtures.price_paths(spark, sf_dir))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlog.parse(fixtures.log_lines(fixtures.calls(fixtures.moments(spark, sf_dir))))
+
+
 @query
 def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by view (windows, and A with a live book under cuts of its own), arm, model and depth bucket."""
@@ -310,3 +314,39 @@ def hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sliding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.sliding_errors(fixtures.table(spark, sf_dir, "events"))
+
+
+@query
+def saturation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fixtures.table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
+    return rates.saturation(rates.hourly_errors(events))
+
+
+@query
+def merged_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.merged_pauses(fixtures.table(spark, sf_dir, "events"), "user_id")
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summary(_records(spark, sf_dir), ["run_id", "model", "mode"])
+
+
+@query
+def call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.error_histogram(_records(spark, sf_dir), ["run_id"])
+
+
+@query
+def parse_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.warning_histogram(_records(spark, sf_dir), ["run_id", "model"])
+
+
+@query
+def run_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.guard(_records(spark, sf_dir), fixtures.manifests(spark))
+
+
+@query
+def run_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.recount(_records(spark, sf_dir), fixtures.manifests(spark))

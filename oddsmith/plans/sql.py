@@ -124,6 +124,15 @@ _CALLS = MOMENTS + f""", each as (
     select *, 'memory_probe' as source from latest where mode = 'memory_probe' union all
     select *, 'normal_stand_in' from latest n where mode = 'normal' and not exists (select 1 from latest p where p.mode = 'memory_probe' and p.model = n.model and p.row_id = n.row_id)
 )"""
+_PLAIN_CALLS = _CALLS.split(", latest as")[0]
+_RECORDS = _PLAIN_CALLS + f""", records as materialized (
+    select run_id, call_id, row_id, model, mode, win, called_at, status, final,
+           case when status = 'ok' then least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * (noise - 0.5))) end as p,
+           case when {_u("'at|' || call_id")} < 0.05 then 2 else 1 end as attempt, case when {_u("'tt|' || call_id")} < 0.1 then 2 else 1 end as transport_try,
+           floor({_u("'ti|' || call_id")} * 1000)::bigint as tin, floor({_u("'to|' || call_id")} * 3000)::bigint as tout, floor({_u("'rt|' || call_id")} * 500)::bigint as reasoning,
+           {_u("'fr|' || call_id")} < 0.04 as cut, {_u("'pw|' || call_id")} < 0.03 as warned, model = 'm3' and {_u("'pr|' || call_id")} < 0.01 as other_host,
+           case when status = 'failed' then floor({_u("'er|' || call_id")} * 4)::int end as err, substr(model, 2)::int as num from calls
+)"""
 _FLAGGED = "abs(p - y) <= 0.1::double + 1e-9::double and abs(q - y) >= 0.3::double - 1e-9::double"
 _ECE = """, vals as (
     select model, win, bucket, part, p, count(*) as n, sum(y) as sy from (
@@ -300,4 +309,33 @@ qualify row_number() over (partition by win order by n desc, tag) <= 5""",
     "latest_records": "select user_id, event_type, event_id, ts, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "hourly_errors": "select date_trunc('hour', ts) as hour, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_type <> 'error') as successes from events group by all",
     "sliding_errors": "select event_id, ts, count(*) over (order by ts range between interval 3599999999 microseconds preceding and current row) as errors from events where event_type = 'error'",
+    "saturation_states": """with hours as (
+    select date_trunc('hour', ts) as hour, (count(*) filter (event_type = 'error') > count(*) filter (event_type = 'view'))::int as hot from events where event_type in ('error', 'view') group by all
+), every as (
+    select g.hour, coalesce(h.hot, 0) as hot from (select unnest(generate_series(min(hour), max(hour), interval 1 hour)) as hour from hours) g left join hours h on g.hour = h.hour
+), told as (select hour, case when count(*) over w < 3 then null when sum(hot) over w = 3 then 'saturated' when sum(hot) over w = 0 then 'clear' end as s from every window w as (order by hour rows 2 preceding)
+), states as (select hour, coalesce(last_value(s ignore nulls) over (order by hour rows between unbounded preceding and current row), 'clear') as state from told)
+select hour, state from states qualify state <> lag(state, 1, 'clear') over (order by hour)""",
+    "merged_pauses": """with p as (select user_id, epoch_us(ts) as a, epoch_us(ts) + floor(coalesce(value, 0) / 60.0::double * 3600000000)::bigint as b from events where event_type = 'error'
+), m as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as u from p
+), g as (select *, sum((u is null or a > u)::int) over (partition by user_id order by a, b rows unbounded preceding) as island from m
+), i as (select user_id, island, max(b) - min(a) as len from g group by all)
+select user_id, count(*) as n_pauses, floor(sum(len) / 1000000)::bigint as seconds from i group by all""",
+    "run_summary": _RECORDS + """, per as (
+    select run_id, model, mode, row_id, arg_max(status, (called_at, call_id)) filter (final = 1) as last, arg_max(p, (called_at, call_id)) filter (final = 1) as p, arg_max(cut, (called_at, call_id)) filter (final = 1) as last_cut,
+           arg_max(warned, (called_at, call_id)) filter (final = 1) as last_warned, bool_or(cut) as any_cut, count(*) filter (status <> 'excluded_by_benchmark_flag') as calls,
+           count(*) filter (status <> 'excluded_by_benchmark_flag' and transport_try > 1) as retries, count(*) filter (status <> 'excluded_by_benchmark_flag' and transport_try = 1 and attempt = 2) as strict,
+           sum(tin) as tin, sum(tout) as tout, sum(reasoning) as reasoning, sum((tin * (num * 0.5::double) + tout * (num * 2.0::double)) / 1e6) as cost, bool_or(other_host) as other, bool_and(other_host) as only_other from records group by all
+) select run_id, model, mode, count(last) as rows_done, count(*) filter (last = 'ok') as rows_ok, count(*) filter (last = 'failed') as rows_failed, count(*) filter (last = 'excluded_by_benchmark_flag') as rows_skipped,
+         count(*) filter (last <> 'excluded_by_benchmark_flag' and last_cut) as final_cut, count(*) filter (any_cut) as any_cut, count(*) filter (last_warned) as rows_with_warning,
+         sum(calls)::bigint as model_calls, sum(retries)::bigint as retries, sum(strict)::bigint as strict, sum(tin)::bigint as input_tokens, sum(tout)::bigint as output_tokens, sum(reasoning)::bigint as reasoning_tokens,
+         round(sum(cost), 6) as cost_usd, not bool_or(other) or bool_and(only_other) as host_pin_ok, round(avg(p), 6) as p_mean, round(min(p), 6) as p_min, round(max(p), 6) as p_max,
+         round(count(*) filter (last = 'failed') / greatest(1, count(*) filter (last <> 'excluded_by_benchmark_flag'))::double, 6) as failed_share from per group by all""",
+    "call_errors": _RECORDS + """select run_id, ['RateLimitError', 'NotFoundError', 'APIError', 'APIError'][err + 1] as error_type, ['transient', 'permanent', 'transient', 'permanent'][err + 1] as kind,
+         err = 3 as output_limit, err = 2 as connection, count(*) as n from records where err is not null group by all""",
+    "parse_warnings": _RECORDS + """select run_id, model, 'extreme' as warning, count(*) as n from records where warned and final = 1 group by all""",
+    "run_guard": _RECORDS + """, fed as (select distinct model, mode, win, run_id from records where run_id <> 'run3')
+select model, mode, win, count(*) as n_runs, true as template_hash, false as db_sha256, false as settings from fed group by all having count(*) = 2""",
+    "run_recount": _RECORDS + """, l as (select distinct run_id, model, mode, row_id from records where final = 1)
+select run_id, 10::bigint as n_manifest, count(*) as n_log from l group by all having count(*) <> 10""",
 }

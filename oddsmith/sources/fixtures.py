@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddsmith.functions import calls as calls_of
 from oddsmith.functions import scores
 from oddsmith.functions.scores import uniform
 
@@ -16,6 +17,11 @@ SPORTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 #: run, when it started (ISO), whether it is void
 RUNS = [("run1", "2026-01-01", 0), ("run2", "2026-02-01", 0), ("run3", "2026-03-01", 1)]
 
+#: type, status and message of the errors of failed calls
+ERRORS = [("RateLimitError", 429, "model is temporarily rate-limited upstream"), ("NotFoundError", 404, "no such model"), ("APIError", None, "Read timeout"), ("APIError", 400, "could not finish the message because max_tokens was reached")]
+#: run, template hash, temperature
+MANIFESTS = [("run1", "t1", 0.5), ("run2", "t2", 0.5), ("run3", "t1", 0.5)]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -130,3 +136,24 @@ def replies(rows: DataFrame) -> DataFrame:
         F.when(form == 0, F.concat(F.floor(F.col("p") * 100).cast("string"), F.lit("%"))).when(form == 1, "0").when(form == 2, "0,65").when(form == 3, "1/3").otherwise(number)
     )
     return rows.withColumn("reply", F.concat(opening, F.lit("\nPROBABILITY: "), line))
+
+
+def log_lines(rows: DataFrame) -> DataFrame:
+    """(value): the call log as JSON lines, with tokens, retries, errors and warnings."""
+    u = lambda label: uniform(label, F.col("call_id"))
+    failed, k = F.col("status") == "failed", F.floor(u("er") * len(ERRORS)).cast("int") + 1
+    pick = lambda i: F.when(failed, F.element_at(F.array(*[F.lit(e[i]) for e in ERRORS]), k))
+    number = F.substring("model", 2, 9).cast("int")
+    tokens = {"input_tokens": F.floor(u("ti") * 1000), "output_tokens": F.floor(u("to") * 3000)}
+    fields = {**{c: F.col(c) for c in ("run_id", "call_id", "row_id", "model", "mode", "win", "called_at", "status", "final")}, "parsed_probability": F.col("p"), **tokens}
+    fields |= {"attempt": F.when(u("at") < 0.05, 2).otherwise(1), "transport_try": F.when(u("tt") < 0.1, 2).otherwise(1), "finish_reason": F.when(u("fr") < 0.04, "length").otherwise("stop")}
+    fields |= {"cost_usd": calls_of.cost(*tokens.values(), number * 0.5, number * 2.0), "error_type": pick(0), "error_status": pick(1), "error": pick(2)}
+    fields |= {"provider": F.when((F.col("model") == "m3") & (u("pr") < 0.01), "host2").otherwise("host1"), "parse_warning": F.when(u("pw") < 0.03, F.array(F.lit("extreme"))).otherwise(F.array().cast("array<string>"))}
+    fields |= {"adapter_raw": F.struct(F.floor(u("rt") * 500).alias("reasoning_tokens_used"))}
+    return rows.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
+
+
+def manifests(spark: SparkSession) -> DataFrame:
+    """Manifests of the runs with their JSON text."""
+    rows = [(r, bool(v), t, "d", 10, f'{{"settings": {{"temperature": {x}, "extra_body": {{"reasoning": {{"max_tokens": 1024}}}}}}}}') for (r, _, v), (_, t, x) in zip(RUNS, MANIFESTS, strict=True)]
+    return spark.createDataFrame(rows, "run_id string, void boolean, template_hash string, db_sha256 string, rows_done bigint, manifest string")

@@ -31,3 +31,30 @@ def sliding_errors(events: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_hour"))
     near = Window.partitionBy("_hour").orderBy("_at").rangeBetween(1 - HOUR, 0)
     return rows.withColumn("errors", F.count("*").over(near)).where("_hour = _own").select("event_id", "ts", "errors")
+
+
+def saturation(rates: DataFrame, slots: int = 3) -> DataFrame:
+    """(hour, state): when errors outnumber successes in each of ``slots`` hours on end, and when that has ended for as many.
+
+    Takes hourly rates, one row an hour, so its windows grow with time and not with events; hours without events count as quiet.
+    """
+    span = rates.agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    every = span.select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("hour")).join(rates, "hour", "left")
+    whole, last = Window.orderBy("hour"), Window.orderBy("hour").rowsBetween(1 - slots, 0)
+    over = F.coalesce(F.col("errors") > F.col("successes"), F.lit(False)).cast("int")
+    signal = F.when(F.count("*").over(last) < slots, None).when(F.sum("_over").over(last) == slots, "saturated").when(F.sum("_over").over(last) == 0, "clear")
+    rows = every.withColumn("_over", over).withColumn("_signal", signal)
+    rows = rows.withColumn("state", F.coalesce(F.last("_signal", ignorenulls=True).over(whole), F.lit("clear")))
+    return rows.withColumn("_before", F.lag("state", 1, "clear").over(whole)).where("state <> _before").select("hour", "state")
+
+
+def merged_pauses(events: DataFrame, key: str, minutes: float = 60.0) -> DataFrame:
+    """(key, n_pauses, seconds): each error pauses its key for ``value / minutes`` hours; pauses that meet are one."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.where("event_type = 'error'").select(key, start.alias("_a"), (start + F.floor(F.coalesce("value", F.lit(0.0)) / minutes * HOUR)).alias("_b"))
+    before = Window.partitionBy(key).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_until", F.max("_b").over(before))
+    # what a pause adds is what lies after all pauses before it
+    opens = F.col("_until").isNull() | (F.col("_a") > F.col("_until"))
+    added = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce("_until", F.col("_a"))))
+    return rows.groupBy(key).agg(F.count_if(opens).alias("n_pauses"), F.floor(F.sum(added) / 1000000).alias("seconds"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import fits, gates, paths, resampling, runs, scoring
+from oddsmith.operators import fits, gates, paths, resampling, runs, scoring, stacking
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -350,3 +350,30 @@ def run_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.recount(_records(spark, sf_dir), fixtures.manifests(spark))
+
+
+@query
+def stacked_ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacking.stack(_scored(spark, sf_dir))
+
+
+@query
+def recalibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacking.recalibrated(_scored(spark, sf_dir), BY_MODEL)
+
+
+@query
+def covariate_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of the error on price, depth, horizon, news and sports together."""
+    rows = _scored(spark, sf_dir).withColumn("forecast", F.concat_ws("|", "win", "model"))
+    return stacking.slopes(rows, "forecast", "error", ["q", "log_depth", "horizon_days", "news_available", "sports"])
+
+
+@query
+def shrinkage_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacking.shrinkage_null(_scored(spark, sf_dir))
+
+
+@query
+def news_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacking.news_placebo(_final(spark, sf_dir))

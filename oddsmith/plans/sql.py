@@ -325,7 +325,7 @@ select user_id, count(*) as n_pauses, floor(sum(len) / 1000000)::bigint as secon
     select run_id, model, mode, row_id, arg_max(status, (called_at, call_id)) filter (final = 1) as last, arg_max(p, (called_at, call_id)) filter (final = 1) as p, arg_max(cut, (called_at, call_id)) filter (final = 1) as last_cut,
            arg_max(warned, (called_at, call_id)) filter (final = 1) as last_warned, bool_or(cut) as any_cut, count(*) filter (status <> 'excluded_by_benchmark_flag') as calls,
            count(*) filter (status <> 'excluded_by_benchmark_flag' and transport_try > 1) as retries, count(*) filter (status <> 'excluded_by_benchmark_flag' and transport_try = 1 and attempt = 2) as strict,
-           sum(tin) as tin, sum(tout) as tout, sum(reasoning) as reasoning, sum((tin * (num * 0.5::double) + tout * (num * 2.0::double)) / 1e6) as cost, bool_or(other_host) as other, bool_and(other_host) as only_other from records group by all
+           sum(tin) as tin, sum(tout) as tout, sum(reasoning) as reasoning, sum((tin * (num * 1.0::double) + tout * (num * 4.0::double)) / 1e6) as cost, bool_or(other_host) as other, bool_and(other_host) as only_other from records group by all
 ) select run_id, model, mode, count(last) as rows_done, count(*) filter (last = 'ok') as rows_ok, count(*) filter (last = 'failed') as rows_failed, count(*) filter (last = 'excluded_by_benchmark_flag') as rows_skipped,
          count(*) filter (last <> 'excluded_by_benchmark_flag' and last_cut) as final_cut, count(*) filter (any_cut) as any_cut, count(*) filter (last_warned) as rows_with_warning,
          sum(calls)::bigint as model_calls, sum(retries)::bigint as retries, sum(strict)::bigint as strict, sum(tin)::bigint as input_tokens, sum(tout)::bigint as output_tokens, sum(reasoning)::bigint as reasoning_tokens,
@@ -338,4 +338,17 @@ select user_id, count(*) as n_pauses, floor(sum(len) / 1000000)::bigint as secon
 select model, mode, win, count(*) as n_runs, true as template_hash, false as db_sha256, false as settings from fed group by all having count(*) = 2""",
     "run_recount": _RECORDS + """, l as (select distinct run_id, model, mode, row_id from records where final = 1)
 select run_id, 10::bigint as n_manifest, count(*) as n_log from l group by all having count(*) <> 10""",
+    "news_placebo": _CALLS + """, both_modes as (
+    select win, model, row_id, max(p) filter (mode = 'memory_probe') as p0, max(p) filter (mode = 'normal') as p1, first(q) as q, first(y) as y from latest where news_available group by win, model, row_id
+), moved as (select *, abs(p1 - p0) as d from both_modes where abs(p1 - p0) >= 0.02::double
+), blocks as materialized (select *, b, md5('coin|' || b::varchar || '|' || model || '|' || row_id::varchar) as h from moved, (select unnest([0, 1]) as b)
+), drawn as (
+    select win, y, q, p0, draw, case when draw < 0 then p1 else least(1.0::double, greatest(0.0::double, p0 + case when (('0x' || substr(h, 1 + (draw % 128) // 4, 1))::int >> (3 - draw % 4)::int) & 1 = 1 then d else -d end)) end as p
+    from blocks, (select unnest(range(-1, 200)) as draw) where greatest(draw, 0) // 128 = b
+), diffs as (
+    select win, draw, count(*) filter (t) as nt, count(*) filter (not t) as na, avg(gain) filter (t) - avg(gain) filter (not t) as diff from (
+        select win, draw, abs(p - q) < abs(p0 - q) as t, (p0 - y) * (p0 - y) - (p - y) * (p - y) as gain from drawn) group by all
+) select win, max(nt) filter (draw < 0) as n_toward, max(na) filter (draw < 0) as n_away, round(max(diff) filter (draw < 0), 6) as difference, round(avg(diff) filter (draw >= 0), 6) as placebo,
+         round(list_sort(list(diff) filter (draw >= 0))[1 + floor(count(diff) filter (draw >= 0) * 0.025::double)::int], 6) as low,
+         round(list_sort(list(diff) filter (draw >= 0))[1 + floor(count(diff) filter (draw >= 0) * 0.975::double)::int], 6) as high from diffs group by win""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, chat, codes, mixing, nbsvm, rules, simhash, suffix, urls
+from . import audit, bpe, brown, chat, codes, divergence, mixing, nbsvm, rules, simhash, suffix, urls
 from .common import read_table
 
 #: The rank file and pattern of the tokenizer; both are parameters of the operator.
@@ -63,6 +63,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_url_filter, op3_suffix_dedup, op4_code_search, op5_brown_lm, op6_simhash_dedup,
-        op7_quality_rules, op8_byte_bpe, op9_quality_classifier, op10_source_mixing, pipeline,
+        op7_quality_rules, op8_byte_bpe, op9_quality_classifier, op10_source_mixing,
+        op12_filter_audit, op13_source_divergence, pipeline,
     )
 }
 
@@ -182,9 +191,88 @@ select doc_id, size, source_size, target, cast(size * (epochs + coalesce(key <=
 from keyed k left join cuts c on k.source is not distinct from c.source
 """
 
+_AUDIT_SQL = f"""
+with measured as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, {_WORDS} as words from documents
+), marks as (
+    select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels where doc_id is not null group by doc_id
+), judged as (
+    select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {{
+        'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+        'C': 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(text),
+        'D': length(translate(text, '#$%&*|', '')) < length(text),
+        'E': coalesce(doc_id > min(doc_id) over (partition by text), false)}} as fails
+    from measured left join marks using (doc_id)
+), counted as (
+    select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from judged group by part, fails
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), orders as (
+    select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps as (
+    select filter_order, cast(k as integer) as step, filter_order[k] as x, filter_order[:k - 1] as earlier from orders, (select unnest(range(1, 6)) as k)
+), held as (
+    select part, x, n, good, toxic, fails, case x when 'A' then fails['A'] when 'B' then fails['B'] when 'C' then fails['C'] when 'D' then fails['D'] else fails['E'] end as failing,
+           concat(case when fails['A'] then 'A' else '' end, case when fails['B'] then 'B' else '' end, case when fails['C'] then 'C' else '' end,
+                  case when fails['D'] then 'D' else '' end, case when fails['E'] then 'E' else '' end) as failed
+    from counted, letters
+), rows_ as (
+    select part, filter_order, step, s.x,
+           sum(case when translate(failed, earlier || s.x, '') = failed then n else 0 end) as kept,
+           sum(case when failing and translate(failed, earlier, '') = failed then n else 0 end) as removed,
+           sum(case when failing and translate(failed, earlier, '') <> failed then n else 0 end) as redundant,
+           sum(case when failed = s.x then n else 0 end) as unique_fails,
+           sum(case when failing and translate(failed, earlier, '') = failed then good else 0 end) as good_lost,
+           sum(case when failing and translate(failed, earlier, '') = failed then toxic else 0 end) as toxic_lost
+    from steps s join held h on h.x = s.x group by part, filter_order, step, s.x
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, x) as bigint) as shapley
+from rows_
+"""
+
+_DIVERGENCE_SQL = r"""
+with docs as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents
+), said as (
+    select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from docs
+), kept as (
+    select lang, term, count(*) as n from said group by lang, term having count(distinct r) >= 10
+), counts as (
+    select lang, source, term, count(*) as n from said semi join kept using (lang, term) group by lang, source, term
+), langs as (
+    select lang, count(*) as kinds, sum(n) as total from kept group by lang
+), occurring as (
+    select distinct lang, source from docs
+), sizes as (
+    select lang, source, coalesce(sum(n), 0) as total from occurring left join counts using (lang, source) group by lang, source
+), every as (
+    select o.lang, o.source, k.term, coalesce(c.n, 0) as n,
+           1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (s.total + 2 * l.kinds)::hugeint as p, 1 + (1000000000::hugeint * (k.n + 2)) // (l.total + 2 * l.kinds)::hugeint as q
+    from occurring o join kept k using (lang) join langs l using (lang) join sizes s on s.lang = o.lang and s.source = o.source
+    left join counts c on c.lang = o.lang and c.source = o.source and c.term = k.term
+), far as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+    from every a join every b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), pairs as (
+    select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+    from occurring a join occurring b on a.lang = b.lang and a.source <> b.source left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+), found as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from every where n > 0 and p > q
+), ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _CHAT_SQL,
     "op4_code_search": _CODES_SQL,
     "op7_quality_rules": _RULES_SQL,
     "op10_source_mixing": _MIX_SQL,
+    "op12_filter_audit": _AUDIT_SQL,
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }

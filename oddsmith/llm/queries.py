@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, brown, chat, codes, divergence, mixing, nbsvm, rules, simhash, suffix, urls
+from . import audit, bpe, brown, chat, codes, divergence, mixing, nbsvm, pii, rules, simhash, suffix, urls
 from .common import read_table
 
 #: The rank file and pattern of the tokenizer; both are parameters of the operator.
@@ -63,6 +63,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -82,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting, op2_url_filter, op3_suffix_dedup, op4_code_search, op5_brown_lm, op6_simhash_dedup,
         op7_quality_rules, op8_byte_bpe, op9_quality_classifier, op10_source_mixing,
-        op12_filter_audit, op13_source_divergence, pipeline,
+        op11_pii, op12_filter_audit, op13_source_divergence, pipeline,
     )
 }
 

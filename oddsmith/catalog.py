@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmith.functions import scores
+from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
 from oddsmith.operators import fits, gates, paths, resampling, runs, scoring, stacking
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
@@ -281,13 +281,40 @@ def rounded_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("model").agg(F.sum("n").alias("n"), r6(F.sum(F.when(F.col("_r") <= 10, F.col("n"))) / F.sum("n")).alias("share"), F.max(F.when(F.col("_r") == 1, F.col("v"))).alias("commonest"))
 
 
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.replies(_scored(spark, sf_dir)).withColumn("body", replies.body(F.col("reply")))
+    return rows.withColumns(replies.classes(F.col("body")))
+
+
 @query
 def reply_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a parser reads from the replies, and how many hedge or cite news."""
-    reply, body = F.col("reply"), scores.reply_body(F.col("reply"))
-    rows = fixtures.replies(_scored(spark, sf_dir)).select("win", scores.reply_probability(reply).alias("said"), F.rlike(body, F.lit(scores.HEDGE)).alias("hedge"), F.rlike(body, F.lit(scores.CITES_NEWS)).alias("cite"), F.length(F.regexp_extract(body, r"^([^\n]*)", 1)).alias("chars"))
-    rows = rows.withColumn("chars", F.when(F.col("chars") > 0, F.col("chars") - 1).otherwise(0))
-    return rows.groupBy("win").agg(F.count("*").alias("n"), F.count("said").alias("n_parsed"), r6(F.avg("said")).alias("p"), F.count_if("hedge").alias("n_hedged"), F.count_if("cite").alias("n_cite_news"), r6(F.avg("chars")).alias("body_chars"))
+    """What a strict and a lenient parser read from the replies, and the warnings of each."""
+    rows = fixtures.replies(_scored(spark, sf_dir)).select("win", "model", "reply")
+    both = [F.struct(F.lit(name).alias("reading"), replies.parse(F.col("reply"), name == "lenient").alias("said")) for name in ("strict", "lenient")]
+    said = rows.select("win", F.inline(F.array(*both)))
+    warned = lambda w: F.count_if(F.array_contains("said.warnings", w)).alias(f"n_{w}")
+    return said.groupBy("win", "reading").agg(
+        F.count("*").alias("n"), F.count("said.probability").alias("n_parsed"), r6(F.avg("said.probability")).alias("p"), F.count_if("said.bare_integer").alias("n_bare"),
+        *[warned(w) for w in ("rejected_number_form", "percent_form", "bare_integer", "extreme")],
+    )
+
+
+@query
+def reply_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many replies do what, and how long they are."""
+    by = _replies(spark, sf_dir).groupBy("win", "news_available")
+    return by.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in (*replies.CLASSES, "bare")], *[r6(F.avg(c)).alias(c) for c in ("body_chars", "body_words")])
+
+
+@query
+def reply_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier edge of replies that hedge, or cite news they had, less that of the others: inside each model, then over models."""
+    rows, out = _replies(spark, sf_dir).where("reply is not null"), None
+    for name in ("hedge", "cites_news"):
+        part = resampling.bootstrap_classes(rows if name == "hedge" else rows.where("news_available"), ["win"], "model", "event_id", "brier_edge", F.col(name) == 1)
+        part = part.withColumn("class", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query

@@ -1,4 +1,4 @@
-"""Column functions of a scored forecast: bands, direction, book, trade, fees, return, text classes."""
+"""Column functions of a scored forecast: bands, direction, book, trade, fees, return."""
 
 from __future__ import annotations
 
@@ -110,25 +110,3 @@ def logit(p: Column, clip: float = 1e-4) -> Column:
 
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
-
-
-#: Patterns of replies.
-PROBABILITY = r"(?i)PROBABILITY\s*[:=]\s*([0-9]*\.?[0-9]+)(\s*%)?(.?)"
-PROBABILITY_LINE = r"(?im)PROBABILITY\s*:\s*[0-9.]+\s*%?\s*$"
-HEDGE = r"(?i)\b(uncertain(ty)?|unclear|hard to (say|know|judge|assess|estimate)|limited (information|data)|guess(work)?|speculative)\b"
-CITES_NEWS = r"(?i)\b(according to (the )?(news|articles?|reports?)|(the )?(news|articles?|reports?) (say|says|state|states|note|notes))\b"
-
-
-def reply_probability(text: Column) -> Column:
-    """The last ``PROBABILITY: x`` of a reply; null for forms such as 0,65 or 1/3, bare 0 or 1, and values outside [0, 1]."""
-    last = F.element_at(F.regexp_extract_all(text, F.lit(PROBABILITY), F.lit(0)), -1)
-    number, percent, follow = (F.regexp_extract(last, PROBABILITY, k) for k in (1, 2, 3))
-    value = number.cast("double")
-    p = F.when((percent != "") | (value > 1), value / 100).otherwise(value)
-    bad = (percent == "") & (follow != "") & F.rlike(follow, F.lit("[,/eE0-9]"))
-    return F.when(bad | ((percent == "") & number.isin("0", "1")) | ~p.between(0, 1), F.lit(None)).otherwise(p)
-
-
-def reply_body(text: Column) -> Column:
-    """What stands before the last probability line."""
-    return F.regexp_replace(text, r"(?is)PROBABILITY\s*:\s*[0-9.]+\s*%?\s*$", "")

@@ -12,9 +12,14 @@ from oddsmith.operators.scoring import latest
 BINS, MIN_ROWS, ECE_MAX = 3, 30, 0.10
 
 
-def final_forecasts(calls: DataFrame, runs: DataFrame) -> DataFrame:
-    """The latest final record of each model, mode and row over runs that are not void; later runs and call ids break ties."""
-    live = calls.where("final = 1").join(F.broadcast(runs.where("void = 0").limit(10_000)), "run_id")
+def final_forecasts(calls: DataFrame, runs: DataFrame, models: list[str] | None = None, windows: list[str] | None = None) -> DataFrame:
+    """The latest final record of each model, mode and row over runs that are not void; later runs and call ids break ties.
+
+    Only given models and windows are read where they are named.  The join of the runs is left to their size.
+    """
+    for column, wanted in (("model", models), ("win", windows)):
+        calls = calls if wanted is None else calls.where(F.col(column).isin(wanted))
+    live = calls.where("final = 1").join(runs.where("void = 0"), "run_id")
     return latest(live, ["model", "mode", "row_id"], ["called_at", "started_at", "call_id"])
 
 

@@ -129,6 +129,23 @@ def bootstrap_bands(rows: DataFrame, keys: list[str], cluster: str, value: str,
     return point.join(ends(drawn.groupBy(*keys, "draw").agg(F.avg(gap).alias("_gap")), keys, F.col("_gap")), keys)
 
 
+def bootstrap_classes(rows: DataFrame, keys: list[str], inside: str, cluster: str, value: str, side: Column, least: int = 30, draws: int = DRAWS) -> DataFrame:
+    """Mean where ``side`` holds less the mean where not, inside each value of ``inside`` with ``least`` rows on both sides, averaged.
+
+    All are resampled together; in a draw, those with enough rows in that draw count.  Draws without any have no value.
+    """
+    each = [*keys, inside]
+    rows = rows.where(F.col(value).isNotNull() & side.isNotNull())
+    of = lambda s, x: F.sum(F.when(side if s else ~side, x).otherwise(0.0))
+    per = rows.groupBy(*each, cluster).agg(*[of(s, x).alias(f"{n}{int(s)}") for s in (True, False) for n, x in (("s", F.col(value)), ("c", F.lit(1.0)))])
+    sums = ["s1", "c1", "s0", "c0"]
+    gap = F.when(F.least("c1", "c0") >= least, F.try_divide("s1", "c1") - F.try_divide("s0", "c0"))
+    whole = per.groupBy(*each).agg(*[F.sum(c).alias(c) for c in sums])
+    point = whole.groupBy(*keys).agg(F.sum("c1").cast("long").alias("n_with"), F.sum("c0").cast("long").alias("n_without"), F.count(gap).alias("n_groups"), r6(F.avg(gap)).alias("difference"))
+    drawn = resample(per, each, cluster, sums, draws).groupBy(*keys, "draw").agg(F.avg(gap).alias("_gap")).where("_gap is not null")
+    return point.join(ends(drawn, keys, F.col("_gap")), keys, "left")
+
+
 def bootstrap_pair_r(pairs: DataFrame, keys: list[str], cluster: str, x: str, z: str, least: int = 10, draws: int = DRAWS) -> DataFrame:
     """Mean over pairs (a, b) of the correlation of x and z, with a 95 % interval; pairs of under ``least`` rows are left out."""
     a, b = F.col(x), F.col(z)

@@ -224,9 +224,9 @@ def ensembles(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(F.count("*").alias("n"), *[r6(F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))).alias(f"brier_{c}") for c in ("mean", "median", "odds")])
 
 
-def extremizing(rows: DataFrame, keys: list[str], factors: tuple[int, int, int] = (50, 300, 5)) -> DataFrame:
+def extremizing(rows: DataFrame, keys: list[str], factors: tuple[int, int, int] = (50, 300, 5), clip: float = 0.01) -> DataFrame:
     """The factor (in hundredths, from a grid) on the mean log odds that calibrates best, ties to the smaller, and its test score."""
-    each = rows.groupBy(*keys, "row_id", "split").agg(F.first("y").alias("y"), F.avg(scores.logit(F.col("p"))).alias("o"))
+    each = rows.groupBy(*keys, "row_id", "split").agg(F.first("y").alias("y"), F.avg(scores.logit(F.col("p"), clip)).alias("o"))
     grid = F.sequence(*map(F.lit, factors))
     tried = each.select("*", F.explode(grid).alias("factor")).withColumn("d", scores.sigmoid(F.col("o") * F.col("factor") / 100) - F.col("y"))
     by = tried.groupBy(*keys, "factor").agg(*[F.avg(F.when(F.col("split") == s, F.col("d") * F.col("d"))).alias(s) for s in ("calibration", "test")])

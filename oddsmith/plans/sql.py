@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oddsmith.functions import scores
+from oddsmith.functions import replies, scores
 from oddsmith.operators.resampling import DRAWS, thresholds
-from oddsmith.sources.fixtures import ROSTER, RUNS, SPORTS
+from oddsmith.sources.fixtures import LINES, OPENINGS, ROSTER, RUNS, SPORTS
 
 
 def _hash(text: str, n: int = 8) -> str:
@@ -166,6 +166,29 @@ _PAIRS = """, pairs as (
 )"""
 _SLOPE = "(n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0)"
 
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _chosen(label: str, values: list[str]) -> str:
+    return f"[{', '.join(map(_text, values))}][1 + floor({_u(f"'{label}|' || model || '|' || row_id::varchar")} * {len(values)})::int]"
+
+
+_REPLIES = SCORED + rf""", replied as (
+    select *, case when {_u("'said|' || model || '|' || row_id::varchar")} >= 0.02 then {_chosen('words', OPENINGS)} ||
+        replace(replace({_chosen('form', LINES)}, '{{n}}', '0.' || lpad(floor(p * 100)::int::varchar, 2, '0')), '{{c}}', floor(p * 100)::int::varchar) end as reply from scored
+), parsed as (
+    select *, case when regexp_matches(reply, {_text(rf"(?is)^.*{replies.STATED}(.?)")}) then regexp_extract_all(reply, {_text(rf"(?is)^.*{replies.STATED}(.?)")}, 1) || regexp_extract_all(reply, {_text(rf"(?is)^.*{replies.STATED}(.?)")}, 2)
+           || regexp_extract_all(reply, {_text(rf"(?is)^.*{replies.STATED}(.?)")}, 3) end as stated,
+           case when regexp_matches(reply, {_text(replies.BARE)}) then [regexp_extract(reply, {_text(replies.BARE)}, 1), regexp_extract(reply, {_text(replies.BARE)}, 2)] end as alone,
+           case when regexp_matches(coalesce(reply, ''), {_text(rf"(?ism)\A(.*){replies.LAST_LINE}")}) then regexp_extract(reply, {_text(rf"(?ism)\A(.*){replies.LAST_LINE}")}, 1) else coalesce(reply, '') end as body from replied
+), classed as materialized (
+    select *, length(inner_) as body_chars, case when inner_ = '' then 0 else len(string_split_regex(inner_, '\s+')) end as body_words, (length(inner_) < {replies.SHORTEST_BODY})::int as bare,
+           {', '.join(f"regexp_matches(body, {_text('(?i)' + x)})::int as {name}" for name, x in replies.CLASSES.items())}
+    from (select *, regexp_replace(body, '^\s+|\s+$', '', 'g') as inner_ from parsed)
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "bucket_scores": SCORED + _CUTS + _traded("scored") + f""", viewed as (
     select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded
@@ -199,7 +222,7 @@ select win, count(*) as n_rows, count(*) filter (by_ = models) as n_common, any_
     select win, row_id, any_value(y) as y, avg(p) as mean, median(p) as median, 1 / (1 + exp(-avg(ln(p / (1 - p))))) as odds from scored group by win, row_id
 ) select win, count(*) as n, {', '.join(f'round(avg({_brier(c)}), 6) as brier_{c}' for c in ('mean', 'median', 'odds'))} from each group by win""",
     "extremizing": SCORED + """, each as (
-    select win, row_id, split, any_value(y) as y, avg(ln(p / (1 - p))) as o from (select * replace (least(greatest(p, 1e-4::double), 0.9999::double) as p) from scored) group by all
+    select win, row_id, split, any_value(y) as y, avg(ln(p / (1 - p))) as o from (select * replace (least(greatest(p, 0.01::double), 0.99::double) as p) from scored) group by all
 ), tried as (
     select win, factor, avg((1 / (1 + exp(-o * factor / 100)) - y) ** 2) filter (split = 'calibration') as cal, avg((1 / (1 + exp(-o * factor / 100)) - y) ** 2) filter (split = 'test') as tst
     from each, (select unnest(range(50, 301, 5))::int as factor) group by all
@@ -299,13 +322,32 @@ qualify row_number() over (partition by win order by n desc, tag) <= 5""",
     "rounded_concentration": SCORED + """, c as (select model, round_even(p, 2) as v, count(*) as n from scored group by all), k as (
     select *, row_number() over (partition by model order by n desc, v) as place from c
 ) select model, sum(n)::bigint as n, round(sum(n) filter (place <= 10) / sum(n), 6) as share, max(v) filter (place = 1) as commonest from k group by all""",
-    "reply_forms": SCORED + f""", r as (
-    select win, model, p, floor({_u("'form|' || model || '|' || row_id::varchar")} * 8) as form, floor({_u("'words|' || model || '|' || row_id::varchar")} * 4) as words from scored
-), told as (
-    select *, case when form = 0 then floor(p * 100)::int::varchar || '%' when form = 1 then '0' when form = 2 then '0,65' when form = 3 then '1/3' else '0.' || lpad(floor(p * 100)::int::varchar, 2, '0') end as number from r
-), parsed as (
-    select *, case when form = 0 then floor(p * 100) / 100.0::double when form in (1, 2, 3) then null else cast(number as double) end as said from told
-) select win, count(*) as n, count(said) as n_parsed, round(avg(said), 6) as p, count(*) filter (words in (0, 2)) as n_hedged, count(*) filter (words = 1) as n_cite_news, round(avg(case words when 0 then 18 when 1 then 30 when 2 then 6 else 0 end), 6) as body_chars from parsed group by all""",
+    "reply_forms": _REPLIES + """, readings as (
+    select win, 'strict' as reading, stated[1] as num, stated[2] as pct, stated[3] as follow from parsed union all
+    select win, 'lenient', coalesce(stated, alone)[1], coalesce(stated, alone)[2], coalesce(stated[3], '') from parsed
+), valued as (
+    select *, coalesce(pct, '') = '' and coalesce(regexp_matches(follow, '[,/eE0-9]'), false) and num is not null as spoiled, pct <> '' or num::double > 1 as hundred,
+           case when pct <> '' or num::double > 1 then num::double / 100 else num::double end as v from readings
+), judged as (
+    select *, not spoiled and v between 0 and 1 as good, coalesce(not spoiled and v between 0 and 1 and coalesce(pct, '') = '' and num in ('0', '1'), false) as whole from valued
+), said as (select *, case when good and (reading = 'lenient' or not whole) then v end as p from judged)
+select win, reading, count(*) as n, count(p) as n_parsed, round(avg(p), 6) as p, count(*) filter (whole) as n_bare, count(*) filter (spoiled) as n_rejected_number_form, count(*) filter (hundred and not spoiled) as n_percent_form,
+       count(*) filter (whole and reading = 'lenient') as n_bare_integer, count(*) filter (p < 0.01::double or p > 0.99::double) as n_extreme from said group by all""",
+    "reply_classes": _REPLIES + f""" select win, news_available, count(*) as n, {', '.join(f'sum({c})::bigint as {c}' for c in (*replies.CLASSES, 'bare'))},
+    round(avg(body_chars), 6) as body_chars, round(avg(body_words), 6) as body_words from classed group by all""",
+    "reply_effects": _REPLIES + _weights("weights", "w") + """, sides as (
+    select 'hedge' as class, win, model, event_id, brier_edge as v, hedge = 1 as side from classed where reply is not null union all
+    select 'cites_news', win, model, event_id, brier_edge, cites_news = 1 from classed where reply is not null and news_available
+), per as (
+    select class, win, model, event_id::varchar as cl, coalesce(sum(v) filter (side), 0) as s1, count(*) filter (side) as c1, coalesce(sum(v) filter (not side), 0) as s0, count(*) filter (not side) as c0 from sides group by all
+), point as (
+    select class, win, sum(c1)::bigint as n_with, sum(c0)::bigint as n_without, count(*) filter (least(c1, c0) >= 30) as n_groups, round(avg(s1 / c1 - s0 / c0) filter (least(c1, c0) >= 30), 6) as difference
+    from (select class, win, model, sum(s1) as s1, sum(c1) as c1, sum(s0) as s0, sum(c0) as c0 from per group by all) group by all
+), drawn as (
+    select class, win, draw, avg(s1 / c1 - s0 / c0) filter (least(c1, c0) >= 30) as gap from (
+        select class, win, model, draw, sum(w * s1) as s1, sum(w * c1) as c1, sum(w * s0) as s0, sum(w * c0) as c0 from per join weights using (cl) group by all) group by all
+), bounds as (select class, win, """ + _ends("gap") + """ from drawn where gap is not null group by all)
+select class, win, n_with, n_without, n_groups, difference, low, high from point left join bounds using (class, win)""",
     "latest_records": "select user_id, event_type, event_id, ts, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "hourly_errors": "select date_trunc('hour', ts) as hour, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_type <> 'error') as successes from events group by all",
     "sliding_errors": "select event_id, ts, count(*) over (order by ts range between interval 3599999999 microseconds preceding and current row) as errors from events where event_type = 'error'",

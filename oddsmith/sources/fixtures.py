@@ -126,16 +126,25 @@ def price_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Openings of replies, and lines that state the forecast: ``{n}`` is a number of two decimals, ``{c}`` its hundredths.
+OPENINGS = [
+    "", "It is hard to say. ", "According to the news it will.\n", "Guess: ", "Difficult to say: no relevant news is available.\n", "The base rate is typically 30%.\n\n",
+    "Bookmakers' odds are -150 for the favorite.\n", "As I recall, the match has already started. ", "It is impossible to know; I can't give a probability.\n", "In 2024 they won 12 games.\n",
+    "News coverage suggests so.\nPROBABILITY: 0.3\nOn reflection:\n", "  Without more data this is highly speculative.  \n", "The provided articles show it: $5 was priced in.\n", "Fine",
+]
+LINES = [
+    "PROBABILITY: {n}", "PROBABILITY: {n}", "\nPROBABILITY: {c}%", "PROBABILITY: 0", "PROBABILITY: 0,65", "PROBABILITY: 1/3", "PROBABILITY: **{n}**", "\nProbability = {n}", "PROBABILITY: {n}\nthanks", "{n}", "",
+    "probability: 1e-3", "PROBABILITY: {c}", "PROBABILITY: 150%", "PROBABILITY: .005", "PROBABILITY:{n} %  \n",
+]
+
+
 def replies(rows: DataFrame) -> DataFrame:
-    """A reply text for each forecast: some hedge, some cite news, and the number comes in every form that a parser meets."""
+    """A reply text for each forecast, now and then none: openings of every kind, and the number in every form that a parser meets."""
     of = (F.col("model"), F.col("row_id"))
-    form, words = F.floor(uniform("form", *of) * 8), F.floor(uniform("words", *of) * 4)
-    opening = F.when(words == 0, "It is hard to say. ").when(words == 1, "According to the news it will. ").when(words == 2, "Guess: ").otherwise("")
-    number = F.concat(F.lit("0."), F.lpad(F.floor(F.col("p") * 100).cast("string"), 2, "0"))
-    line = (
-        F.when(form == 0, F.concat(F.floor(F.col("p") * 100).cast("string"), F.lit("%"))).when(form == 1, "0").when(form == 2, "0,65").when(form == 3, "1/3").otherwise(number)
-    )
-    return rows.withColumn("reply", F.concat(opening, F.lit("\nPROBABILITY: "), line))
+    pick = lambda label, texts: F.element_at(F.array(*map(F.lit, texts)), F.floor(uniform(label, *of) * len(texts)).cast("int") + 1)
+    hundredths = F.floor(F.col("p") * 100).cast("string")
+    line = F.replace(F.replace(pick("form", LINES), F.lit("{n}"), F.concat(F.lit("0."), F.lpad(hundredths, 2, "0"))), F.lit("{c}"), hundredths)
+    return rows.withColumn("reply", F.when(uniform("said", *of) >= 0.02, F.concat(pick("words", OPENINGS), line)))
 
 
 def log_lines(rows: DataFrame) -> DataFrame:

@@ -69,6 +69,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def set_aside(df: DataFrame, used: list[str]) -> DataFrame:
+    """The frame with columns that are only carried along named by place, so that none clashes; ``toDF`` names them back."""
+    return df.toDF(*[c if c in used else f"_{i}" for i, c in enumerate(df.columns)])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, store, word_count
+from .common import prefix_sums, set_aside, store, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -121,5 +121,6 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns it came with."""
     _, cuts = plan(docs)
-    taken = _with_cuts(docs.withColumn("_digest", text_digest()), cuts).where("_copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    held = set_aside(docs, ["doc_id", "text", "source"])
+    taken = _with_cuts(held.withColumn("_digest", text_digest()), cuts).where("_copies > 0")
+    return taken.select(*held.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy").toDF(*docs.columns)

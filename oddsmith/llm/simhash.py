@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import discard, store
+from .common import discard, set_aside, store
 
 WIDTH = 4
 SEED = 42
@@ -410,12 +410,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     It is the first by ``doc_id`` (nulls last), then by digests of the text and of the whole row; of equal rows it is any.
     """
+    named = docs.columns
+    docs = set_aside(docs, ["doc_id", "text"])
     rows, roots = copies(docs)
     order = F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), "_row",
+        F.xxhash64(*docs.columns).alias("rest"), "_row",
     )
     least = rows.select("_node", order.alias("_order")).groupBy("_node").agg(F.min("_order").alias("_order"))
     grouped = least.join(roots, least["_node"] == roots["node"], "left").select(F.coalesce("root", "_node").alias("_root"), "_order")
     kept = store(grouped.groupBy("_root").agg(F.min("_order").alias("_order")).select(F.col("_order._row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).toDF(*named)

@@ -37,7 +37,7 @@ COUNTS = ("removed", "good_lost", "toxic_lost")
 def measure(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One stored row per document: part, what the filters look at, and the marks of its labels.
 
-    The least doc_id of each text is found by an aggregate on its SHA-256, which combines before the shuffle, and joined
+    The least doc_id of each repeated text is found by an aggregate on its SHA-256, which combines before the shuffle, and joined
     back; a text that very many documents share is a skewed key of a sort-merge join, which Spark splits.
     """
     text, words = text_of(), F.col("_words")
@@ -50,10 +50,11 @@ def measure(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("_digest"),
     ).select("*", F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
     rows = store(rows.drop("_words"), "audit-measured")
-    first = rows.groupBy("_digest").agg(F.min("doc_id").alias("_first"))
+    first = rows.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = store(first, "audit-first")  # so that the join's inputs are plain shuffles
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
     marks = marks.agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
-    rows = rows.join(first, "_digest").withColumn("copied", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
+    rows = rows.join(first, "_digest", "left").withColumn("copied", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
     rows = rows.join(marks, rows["doc_id"] == marks["_id"], "left")
     known = [F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]
     return store(rows.select("part", "n_words", "n_distinct", "n_chars", "n_upper", "n_symbols", "copied", *known), "audit-rows")

@@ -44,6 +44,8 @@ _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: A term: letters, digits and all that is not ASCII.
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: The same over UTF-8: the bytes of terms in lower case, all others spaces.
+_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _SPANS = "array<struct<kind: string, start: int, end: int>>"
@@ -133,6 +135,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
             yield x.as_py()
 
 
+def terms_of(text: str) -> set[bytes]:
+    """The terms of a text, in UTF-8."""
+    return set(text.encode().translate(_TERMS).split())
+
+
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(entity, term, before, after, n): documents by entity, term and neighbours; a null term counts the entity's documents."""
     held: Counter = Counter()
@@ -169,10 +176,10 @@ class _Maybe(dict):
         super().__init__()
         self.bits = bits
 
-    def __missing__(self, term: str) -> bool:
+    def __missing__(self, term: bytes) -> bool:
         if len(self) >= HELD:
             self.clear()
-        h = xxhash.xxh64_intdigest(term.encode(), 42) % BITS
+        h = xxhash.xxh64_intdigest(term, 42) % BITS
         self[term] = said = bool(self.bits[h >> 3] >> (h & 7) & 1)
         return said
 
@@ -180,13 +187,17 @@ class _Maybe(dict):
 def _counter(bits: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, maybe = Counter(), _Maybe(bits)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+                held.clear()
+
         for text in _texts(batches):
-            held.update(t for t in set(TERM.findall(text.translate(_LOWER))) if maybe[t])
+            held.update(t for t in terms_of(text) if maybe[t])
             if len(held) >= HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["term", "n"])
-                held.clear()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+                yield from out()
+        yield from out()
 
     return run
 
@@ -216,9 +227,10 @@ def _locator(bits: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             base, places = [], []
             for text in _texts([b]):
                 spans = patterns(text)
+                wanted = {t.decode() for t in terms_of(text) if maybe[t]}
                 free = _outside(spans)
-                terms = ((m.group().translate(_LOWER), m.start(), m.end()) for m in TERM.finditer(text))
-                places.append([t for t in terms if maybe[t[0]] and free(*t[1:])])
+                terms = ((m.group().translate(_LOWER), m.start(), m.end()) for m in TERM.finditer(text)) if wanted else ()
+                places.append([t for t in terms if t[0] in wanted and free(*t[1:])])
                 base.append(spans)
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(base, _ARROW_SPANS), pa.array(places, _ARROW_TERMS)], ["doc", "base", "places"])
 

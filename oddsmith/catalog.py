@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import fits, gates, paths, resampling, runs, scoring, stacking
+from oddsmith.operators import fits, gates, paths, permutation, resampling, runs, scoring, stacking
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -196,6 +196,29 @@ def path_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.coverage(_with_points(spark, sf_dir, _primary(spark, sf_dir)))
 
 
+@query
+def disagreement_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What prices did after forecasts that disagree with them, by whether the market closed within the window."""
+    return paths.moves(paths.disagreements(_with_points(spark, sf_dir, _scored(spark, sf_dir))), [*BY_MODEL, "settled"])
+
+
+@query
+def bootstrap_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled means of those moves with intervals."""
+    found = paths.disagreements(_with_points(spark, sf_dir, _scored(spark, sf_dir)))
+    each = found.select("win", "settled", "event_id", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in paths.MEASURES])))
+    return resampling.bootstrap_mean(each, ["win", "settled", "measure"], "event_id", "v")
+
+
+@query
+def convergence_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convergence beyond chance: forecasts dealt anew among all rated rows (``rule``), and among those that disagree only."""
+    rated = _with_points(spark, sf_dir, _scored(spark, sf_dir)).where("last_price is not null")
+    apart = permutation.disagrees(F.col("p"), F.col("q"))
+    pools = rated.withColumn("pool", F.explode(F.when(apart, F.array(F.lit("rule"), F.lit("disagreements"))).otherwise(F.array(F.lit("rule")))))
+    return permutation.excess(pools, [*BY_MODEL, "pool"], "row_id", "event_id")
+
+
 @query
 def window_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per window: rows of each kind, events and the size of the largest."""

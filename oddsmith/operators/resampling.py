@@ -51,8 +51,9 @@ def resample(per: DataFrame, keys: list[str], cluster: str, sums: list[str], dra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
-        known, w = None, None
+        known, w, types = None, None, []
         for b in batches:
+            types = [b.schema.field(k).type for k in keys]
             values = np.stack([np.nan_to_num(b.column(s).cast(pa.float64()).to_numpy(zero_copy_only=False)) for s in sums], axis=1)
             names = b.column("_cluster").to_pylist()
             for i, key in enumerate(zip(*[b.column(k).to_pylist() for k in keys], strict=True)):
@@ -62,7 +63,7 @@ def resample(per: DataFrame, keys: list[str], cluster: str, sums: list[str], dra
                     totals[key] = np.zeros((draws, len(sums)))
                 totals[key] += w[:, None] * values[i]
         for key, total in totals.items():
-            columns = [pa.array([v] * draws) for v in key]
+            columns = [pa.array([v] * draws, kind) for v, kind in zip(key, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(draws, dtype=np.int32)), *[pa.array(np.ascontiguousarray(total[:, j])) for j in range(len(sums))]], [*keys, "draw", *sums])
 
     named = per.select(*keys, F.col(cluster).cast("string").alias("_cluster"), *sums).repartition("_cluster").sortWithinPartitions("_cluster")

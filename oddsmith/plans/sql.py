@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oddsmith.functions import replies, scores
 from oddsmith.operators.resampling import DRAWS, thresholds
+from oddsmith.operators.paths import MEASURES, MOVES
 from oddsmith.sources.fixtures import LINES, OPENINGS, ROSTER, RUNS, SPORTS
 
 
@@ -41,7 +42,8 @@ with base as (
            {_u("'o|' || " + _K)} < 0.03 as one_sided, {_u("'x|' || " + _K)} as odd, {_u("'y|' || " + _K)} as uy, {_u("'l|' || " + _K)} < 0.1 as is_ladder,
            {_u("'d|' || " + _K)} < 0.03 as late_dateline, {_u("'r|' || " + _K)} < 0.02 as end_date_revised,
            case when {_u("'s|' || " + _K)} < 0.2 then 'calibration' else 'test' end as split, {_u("'n|' || " + _K)} < 0.4 as news_available,
-           40.0::double * {_u("'h|' || " + _K)} as horizon_days, {_u("'e|' || " + _K)} >= 0.05 as fees_enabled, case when {_u("'z|' || " + _K)} < 0.5 then 1.0::double end as fee_exponent
+           40.0::double * {_u("'h|' || " + _K)} as horizon_days, {_u("'e|' || " + _K)} >= 0.05 as fees_enabled, case when {_u("'z|' || " + _K)} < 0.5 then 1.0::double end as fee_exponent,
+           case when {_u("'ct|' || " + _K)} >= 0.1 then o_orderdate + to_seconds(floor(40.0::double * {_u("'h|' || " + _K)} * 86400)) end as closes_at
     from orders left join customer on o_custkey = c_custkey
 ), booked as (
     select *, case win when 'C' then 'kalshi' else 'polymarket' end as venue, case win when 'A' then round_even(q0, 2) else q0 end as price_yes, case when not one_sided then q0 end as mid_yes,
@@ -151,13 +153,20 @@ _ECE = """, vals as (
            max(ece) filter (part = 'other') as o, case when max(n) filter (part = 'all') < 30 then 'insufficient' when max(ece) filter (part = 'all') <= 0.1::double + 1e-9::double then 'pass' else 'fail' end as verdict
     from eces group by all
 )"""
+_LINE = "l_orderkey::varchar || '|' || l_partkey::varchar || '|' || l_suppkey::varchar || '|' || floor(l_extendedprice)::bigint::varchar"
 _PATHS = f""", paths as (
-    select l_orderkey as row_id, l_shipdate as ts, 0.02::double + 0.96::double * {_u("'pp|' || l_orderkey::varchar || '|' || l_partkey::varchar || '|' || l_suppkey::varchar || '|' || floor(l_extendedprice)::bigint::varchar")} as price,
-           {{'a': l_partkey, 'b': l_suppkey, 'c': l_extendedprice}} as tie from lineitem
+    select l_orderkey as row_id, o_orderdate + to_seconds(floor({_u("'pt|' || " + _LINE)} * 864000) - 86400) as ts, 0.02::double + 0.96::double * {_u("'pp|' || " + _LINE)} as price,
+           {{'a': l_partkey, 'b': l_suppkey, 'c': l_extendedprice}} as tie from lineitem join orders on l_orderkey = o_orderkey
 ), points as (
-    select row_id, count(*) as n_points, count(*) filter (ts <= forecast_ts + interval 365 day) as n_inside,
-           arg_max(price, {{'ts': ts, 'tie': tie}}) filter (ts <= forecast_ts + interval 365 day) as last_price
-    from paths join moments using (row_id) where ts >= forecast_ts group by row_id
+    select row_id, count(*) as n_points, count(*) filter (ts <= ends_at) as n_inside, arg_max(price, {{'ts': ts, 'tie': tie}}) filter (ts <= ends_at) as last_price
+    from paths join (select *, least(forecast_ts + interval 72 hour, coalesce(closes_at, forecast_ts + interval 72 hour)) as ends_at from moments) using (row_id) where ts >= forecast_ts group by row_id
+), disagreeing as (
+    select *, (abs(last_price - p) <= abs(q - p) - 0.02::double)::int as toward_model, (abs(last_price - y) <= abs(q - y) - 0.02::double)::int as toward_outcome, ((p - q) * (y - q) > 0)::int as on_outcome_side,
+           (abs(p - q) >= (abs(y - q) + 0.02::double) / 2)::int as halfway, ((p - q) * (y - q) > 0 and abs(p - q) >= (abs(y - q) + 0.02::double) / 2)::int as right_and_halfway,
+           (last_price <= 0.01::double or last_price >= 1 - 0.01::double)::int as last_at_extreme, ((p - q) * (0.5 - q) > 0)::int as side_of_half,
+           (last_price - q) * sign(p - q) as move_to_model, (last_price - q) * sign(y - q) as move_to_outcome, (last_price - q) * sign(0.5 - q) as move_to_half,
+           coalesce(closes_at <= forecast_ts + interval 72 hour, false)::int as settled
+    from scored join points using (row_id) where abs(p - q) >= 0.1::double and last_price is not null
 )"""
 _PAIRS = """, pairs as (
     select a.win, a.row_id, a.event_id, a.model as a, b.model as b, a.error as x, b.error as z, ((a.p >= 0.5) <> (a.y >= 0.5))::int::double as wx, ((b.p >= 0.5) <> (b.y >= 0.5))::int::double as wz,
@@ -289,8 +298,16 @@ from per where wo is not null and wi is not null group by all""",
 select win, direction, count(*) as n_disagreements, count(*) filter (last_price is null) as n_dropped, count(*) filter (abs(last_price - p) <= abs(p - q) - 0.02) as n_drifted,
        round(count(*) filter (abs(last_price - p) <= abs(p - q) - 0.02)::double / nullif(count(last_price), 0), 6) as rate
 from (select * from bucketed semi join (select * from gate where verdict = 'pass') using (model, win, bucket)) left join points using (row_id) where abs(p - q) >= 0.1 group by all""",
-    "path_coverage": MOMENTS + _PATHS + """ select win, count(*) as n, count(*) filter (coalesce(n_points, 0) > 0) as n_any, count(*) filter (coalesce(n_inside, 0) > 0) as n_inside,
-    round(avg(coalesce(n_points, 0)), 6) as points from moments left join points using (row_id) where "primary" group by all""",
+    "path_coverage": SCORED + _PATHS + """ select win, count(*) as n, count(*) filter (coalesce(n_points, 0) > 0) as n_any, count(*) filter (coalesce(n_inside, 0) > 0) as n_inside,
+    count(*) filter (coalesce(n_inside, 0) = 0) as n_dropped, round(avg(coalesce(n_points, 0)), 6) as points from moments left join points using (row_id) where "primary" group by all""",
+    "disagreement_moves": SCORED + _PATHS + f""" select win, model, settled, count(*) as n, count(distinct event_id) as n_events, {', '.join(f'round(avg({c}), 6) as {c}' for c in MOVES)} from disagreeing group by all""",
+    "bootstrap_moves": SCORED + _PATHS + _weights("weights", "w") + f""", each as (
+    select win, settled, event_id::varchar as cl, unnest([{', '.join(f"{{'measure': '{c}', 'v': {c}::double}}" for c in MEASURES)}], recursive := true) from disagreeing
+), per as (select win, settled, measure, cl, sum(v) as s, count(*)::double as c from each group by all
+), point as (select win, settled, measure, sum(c)::bigint as n, count(*) as n_clusters, round(sum(s) / sum(c), 6) as mean from per group by all
+), drawn as (select win, settled, measure, draw, sum(w * s) / nullif(sum(w * c), 0) as v from per join weights using (cl) group by all
+), bounds as (select win, settled, measure, {_ends('v')} from drawn where v is not null group by all)
+select win, settled, measure, n, n_clusters, mean, case when n_clusters > 1 then low end as low, case when n_clusters > 1 then high end as high from point join bounds using (win, settled, measure)""",
     "window_inventory": MOMENTS + """, sizes as (select win, event_id, count(*) as n from moments group by all)
 select win, count(*) as n, count(*) filter ("primary") as n_primary, count(*) filter (news_available) as n_news, count(*) filter (sports) as n_sports, count(*) filter (live_book) as n_live,
        count(*) filter (book = 'one_sided_book') as n_one_sided, count(*) filter (book = 'degenerate_book') as n_degenerate, (select count(*) from sizes s where s.win = m.win) as n_events,

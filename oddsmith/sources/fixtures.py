@@ -54,6 +54,8 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (uniform("e", key) >= 0.05).alias("fees_enabled"),
         F.when(uniform("z", key) < 0.5, 1.0).alias("fee_exponent"),
     )
+    open_for = F.floor(F.col("horizon_days") * 86400).cast("decimal(18,6)")
+    rows = rows.withColumn("closes_at", F.when(uniform("ct", F.col("row_id")) >= 0.1, F.col("forecast_ts") + F.make_dt_interval(secs=open_for)))
     q, half, odd = F.col("_q"), F.col("_spread") / 2, F.col("_odd")
     low, high = F.greatest(F.lit(0.0), q - half), F.least(F.lit(1.0), q + half)
     rows = rows.withColumns({
@@ -118,10 +120,13 @@ def runs(spark: SparkSession) -> DataFrame:
 
 
 def price_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later prices of the moments, with what orders points of one time."""
-    price = uniform("pp", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.floor("l_extendedprice"))
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("row_id"), F.col("l_shipdate").alias("ts"), (F.lit(0.02) + F.lit(0.96) * price).alias("price_yes"),
+    """Prices of the moments from a day before the forecast to nine days after it, with what orders points of one time."""
+    of = ("l_orderkey", "l_partkey", "l_suppkey", F.floor("l_extendedprice"))
+    u = lambda label: uniform(label, *[F.col(c) if isinstance(c, str) else c for c in of])
+    points = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    after = F.floor(u("pt") * 864_000) - 86_400
+    return points.select(
+        F.col("l_orderkey").alias("row_id"), (F.col("o_orderdate") + F.make_dt_interval(secs=after.cast("decimal(18,6)"))).alias("ts"), (F.lit(0.02) + F.lit(0.96) * u("pp")).alias("price_yes"),
         F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("tie"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import fits, gates, paths, permutation, resampling, runs, scoring, stacking
+from oddsmith.operators import fits, gates, paths, permutation, resampling, runs, scoring, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -424,6 +424,18 @@ def shrinkage_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacking.shrinkage_null(_scored(spark, sf_dir))
 
 
+@query
+def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How models agree beyond price, covariates and events, and how often they are wrong together beyond the market, with intervals."""
+    return surfaces.agreements(_scored(spark, sf_dir))
+
+
+@query
+def surface_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What forecasters show that share a fitted surface and nothing else, under three designs."""
+    return surfaces.null(_scored(spark, sf_dir))
+
+
 @query
 def news_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacking.news_placebo(_final(spark, sf_dir))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import fits, gates, paths, permutation, resampling, runs, scoring, stacking, surfaces
+from oddsmith.operators import fits, gates, paths, permutation, resampling, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -235,6 +235,33 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.stratified_split(rows, cells, "row_id").groupBy(*cells).agg(F.count("*").alias("n"), F.count_if("drawn").alias("n_drawn"))
 
 
+def _in_play(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed(spark, sf_dir, fixtures.moments(spark, sf_dir).where("not late_dateline"))
+
+
+@query
+def event_grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of whole events, filled towards a fifth of their rows."""
+    cells = ["win", "bucket", "sports"]
+    events = splits.greedy_fill(splits.majority_cells(_in_play(spark, sf_dir), cells, "event_id"), cells, "event_id")
+    drawn = F.col("drawn")
+    return events.groupBy(*cells, "target").agg(F.sum("size").alias("n"), F.count("*").alias("n_events"), F.coalesce(F.sum(F.when(drawn, F.col("size"))), F.lit(0)).alias("n_drawn"), F.count_if(drawn).alias("events_drawn"))
+
+
+@query
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the split by rows and the split by events leave of the test side that shares events with the calibration side."""
+    rows = splits.grouped_split(_in_play(spark, sf_dir), ["win", "bucket", "sports"], "event_id")
+    both = [splits.leakage(rows, ["win"], "event_id", c).withColumn("kind", F.lit(k)) for k, c in (("rows", "split"), ("events", "grouped"))]
+    return both[0].unionByName(both[1])
+
+
+@query
+def validation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = splits.fixed_sample(_in_play(spark, sf_dir).select("win", "bucket", "sports", "row_id"), "row_id")
+    return drawn.groupBy("win", "bucket", "sports").agg(F.count("*").alias("n"), F.min("row_id").alias("least"), F.max("row_id").alias("greatest"))
+
+
 @query
 def event_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = resampling.event_folds(_primary(spark, sf_dir), "event_id").groupBy("win", "fold", "event_id").agg(F.count("*").alias("n"))

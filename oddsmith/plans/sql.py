@@ -198,6 +198,24 @@ _REPLIES = SCORED + rf""", replied as (
     from (select *, regexp_replace(body, '^\s+|\s+$', '', 'g') as inner_ from parsed)
 )"""
 
+_PLAY = f""", play as (select *, {_BUCKET} from (select *, win as view from moments where not late_dateline) t)"""
+#: Events one after another in each cell, as the rule is worded.
+_GROUPED = (MOMENTS + _CUTS + _PLAY).replace("with base as (", "with recursive base as (", 1) + f""", counted as (
+    select event_id, win, bucket, sports, count(*) as n from play group by all
+), celled as (
+    select event_id, arg_min((win, bucket, sports), (-n, win, bucket, sports)) as cell, sum(n)::bigint as size from counted group by event_id
+), numbered as materialized (
+    select event_id, cell, size, row_number() over (partition by cell order by {_hash("'grouped|' || event_id::varchar", 12)}, event_id) as i, greatest(1, round_even(sum(size) over (partition by cell) * 0.2::double, 0))::bigint as target from celled
+), walked as (
+    select distinct cell, 0::bigint as i, 0::bigint as got, null::bigint as event_id, false as drawn from numbered union all
+    select n.cell, n.i, w.got + case when abs(w.got + n.size - n.target) < abs(w.got - n.target) then n.size else 0 end, n.event_id, abs(w.got + n.size - n.target) < abs(w.got - n.target)
+    from walked w join numbered n on n.cell = w.cell and n.i = w.i + 1
+), decided as materialized (
+    select n.event_id, cell[1] as win, cell[2] as bucket, cell[3] as sports, size, target,
+           w.drawn or (not bool_or(w.drawn) over (partition by n.cell) and row_number() over (partition by n.cell order by size, n.event_id) = 1) as drawn
+    from numbered n join walked w using (cell, i)
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "bucket_scores": SCORED + _CUTS + _traded("scored") + f""", viewed as (
     select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded
@@ -316,6 +334,13 @@ select win, count(*) as n, count(*) filter ("primary") as n_primary, count(*) fi
 ), placed as (
     select win, bucket, sports, row_number() over (partition by win, bucket, sports order by {_hash("'split|' || row_id::varchar", 12)}, row_id) <= greatest(1, round_even(count(*) over (partition by win, bucket, sports) * 0.2::double, 0)) as drawn from celled
 ) select win, bucket, sports, count(*) as n, count(*) filter (drawn) as n_drawn from placed group by all""",
+    "event_grouped_split": _GROUPED + """ select win, bucket, sports, target, sum(size)::bigint as n, count(*) as n_events, coalesce(sum(size) filter (drawn), 0)::bigint as n_drawn, count(*) filter (drawn) as events_drawn from decided group by all""",
+    "split_leakage": _GROUPED + """, both_kinds as (
+    select win, event_id, 'rows' as kind, split = 'test' as test from play union all select p.win, p.event_id, 'events', not drawn from play p join decided using (event_id)
+), per as (select kind, win, event_id, count(*) as n, count(*) filter (test) as t from both_kinds group by all)
+select kind, win, sum(n)::bigint as n, count(*) as n_events, sum(t)::bigint as n_test, count(*) filter (t > 0) as test_events, count(*) filter (t > 0 and t < n) as straddling, coalesce(sum(t) filter (t > 0 and t < n), 0)::bigint as test_inside from per group by all""",
+    "validation_sample": MOMENTS + _CUTS + _PLAY + f""", drawn as (select * from play order by {_hash("'sample|' || row_id::varchar", 12)}, row_id limit 500)
+select win, bucket, sports, count(*) as n, min(row_id) as least, max(row_id) as greatest from drawn group by all""",
     "event_folds": MOMENTS + f""" select win, ({_hash("'fold|' || event_id::varchar")} % 5)::int as fold, count(*) as n, count(distinct event_id) as n_events from moments where "primary" group by all""",
     "price_strata": SCORED + """ select win, case when q < 1 / 3 then 'lo' when q < 2 / 3 then 'mid' else 'hi' end as price_class,
     case when horizon_days <= 1 then '<=1' when horizon_days <= 3 then '<=3' when horizon_days <= 7 then '<=7' when horizon_days <= 30 then '<=30' else '>30' end as horizon,

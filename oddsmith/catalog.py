@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import fits, gates, paths, permutation, resampling, runs, scoring, splits, stacking, surfaces
+from oddsmith.operators import exact, fits, gates, paths, permutation, resampling, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -147,6 +147,30 @@ def bootstrap_depth_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.bootstrap_slope(_scored(spark, sf_dir), BY_MODEL, "event_id", "log_depth", "brier_edge")
 
 
+@query
+def exact_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`bootstrap_edge` with the standard generator's own draws."""
+    return exact.bootstrap_mean(_scored(spark, sf_dir), BY_MODEL, "event_id", "brier_edge", "row_id")
+
+
+@query
+def exact_news_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.bootstrap_difference(_scored(spark, sf_dir), BY_MODEL, "event_id", "brier_edge", F.col("news_available"), "row_id")
+
+
+@query
+def exact_depth_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.bootstrap_slope(_scored(spark, sf_dir), BY_MODEL, "event_id", "log_depth", "brier_edge", "row_id")
+
+
+@query
+def exact_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of folds that are dealt by the generators' shuffles."""
+    rows = _primary(spark, sf_dir).select("win", "event_id")
+    both = [exact.folds(rows, "event_id", generator=g).withColumn("generator", F.lit(g)) for g in ("numpy", "python")]
+    return both[0].unionByName(both[1]).groupBy("generator", "fold").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"))
+
+
 @query
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.bootstrap_bands(_bucketed(spark, sf_dir), BY_MODEL, "event_id", "brier_edge", "band")

@@ -10,6 +10,8 @@ from oddsmith.functions.scores import r6
 from oddsmith.operators.scoring import latest
 
 BINS, MIN_ROWS, ECE_MAX = 3, 30, 0.10
+#: Slices of p that are counted before single values.
+SLICES = 256
 
 
 def final_forecasts(calls: DataFrame, runs: DataFrame, models: list[str] | None = None, windows: list[str] | None = None) -> DataFrame:
@@ -56,22 +58,36 @@ def ece(rows: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
     """Count-weighted mean gap over at most ``bins`` nearly equal bins of p that never split a tied value; with n and bin sizes.
 
     Walking up the distinct values, bin b closes at the first value that brings the count to round(n b / bins), half to
-    even, unless it is the last.  So a value's bin is 1 plus the thresholds reached before it, counting each at most once
-    per value: the walk is done over the at most ``bins`` - 1 values that close one, which an aggregate per group finds.
+    even, unless it is the last.  So a value's bin is 1 plus the thresholds reached before it, counting each at most once per value.
+    Slices of p of equal width are counted first: only the slices that hold such a count, and the next few, are looked into value
+    by value; the others go to a bin as a whole.
     """
-    values = rows.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("sy"))
-    upto, whole = Window.partitionBy(*keys).orderBy("p"), Window.partitionBy(*keys)
-    values = values.select("*", F.sum("n").over(upto).alias("_upto"), F.sum("n").over(whole).alias("_all"), F.max("p").over(whole).alias("_top"))
+    sliced = rows.select(*keys, "p", "y", F.floor(F.col("p") * SLICES).alias("_slice"))
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum("y").alias("sy"), F.min("p").alias("p"), F.max("p").alias("_max"))
+    upto, whole = Window.partitionBy(*keys).orderBy("_slice"), Window.partitionBy(*keys)
+    counts = counts.withColumns({"_upto": F.sum("n").over(upto), "_all": F.sum("n").over(whole), "_top": F.max("_max").over(whole)})
+    goal = lambda b: F.bround(F.col("_all") * b / bins)
+    before = F.col("_upto") - F.col("n")
+    holds = F.lit(False)
+    for b in range(1, bins):
+        holds = holds | ((before < goal(b)) & (goal(b) <= F.col("_upto")))
+    near = F.max(holds).over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(-(bins - 2), 0))
+    counts = counts.withColumn("_near", near)
+    open_ = counts.where("_near").select(*keys, "_slice", before.alias("_before"), "_all", "_top")
+    inside = sliced.join(open_.select(*keys, "_slice"), [*keys, "_slice"], "left_semi").groupBy(*keys, "_slice", "p").agg(F.count("*").alias("n"), F.sum("y").alias("sy"))
+    running = F.sum("n").over(Window.partitionBy(*keys, "_slice").orderBy("p"))
+    values = inside.withColumn("_in", running).join(open_, [*keys, "_slice"]).select(*keys, "p", "n", (F.col("p") * F.col("n")).alias("sp"), "sy", (F.col("_before") + F.col("_in")).alias("_upto"), "_all", "_top", F.lit(True).alias("_near"))
+    values = values.unionByName(counts.where("not _near").select(*keys, "p", "n", "sp", "sy", "_upto", "_all", "_top", "_near"))
     last = None  # the value that closed the bin before
     for b in range(1, bins):
-        enough = (F.col("_upto") >= F.bround(F.col("_all") * b / bins)) & (F.col("p") < F.col("_top"))
+        enough = F.col("_near") & (F.col("_upto") >= goal(b)) & (F.col("p") < F.col("_top"))
         after = F.lit(True) if last is None else F.col("p") > F.col(last)
         values = values.withColumn(f"_edge{b}", F.min(F.when(enough & after, F.col("p"))).over(whole))
         last = f"_edge{b}"
     number: Column = F.lit(1)
     for b in range(1, bins):
         number = number + F.coalesce((F.col("p") > F.col(f"_edge{b}")).cast("int"), F.lit(0))
-    each = values.withColumn("bin", number).groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum(F.col("p") * F.col("n")).alias("sp"), F.sum("sy").alias("sy"))
+    each = values.withColumn("bin", number).groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.sum("sp").alias("sp"), F.sum("sy").alias("sy"))
     gap = F.abs(F.col("sp") - F.col("sy"))
     sizes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"].cast("string")), "/")
     return each.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(gap) / F.sum("n")).alias("ece"), sizes.alias("bins"))

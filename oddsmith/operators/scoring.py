@@ -5,14 +5,22 @@ Summaries go through one row of sums per event first, so that event counts need
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.functions import scores
 from oddsmith.functions.scores import r6
+from oddsmith.operators import stacking
 
 #: Logarithmic bins per unit that narrow down where a rank lies.
 BINS = 64
+#: The same for ranks.
+RANK_BINS = 1_024
 #: A table of cuts has one row per window: never more than this.
 MOST_WINDOWS = 1_000
 ARMS = ("all", "news")
@@ -79,26 +87,31 @@ def quantile_cuts(rows: DataFrame, group: str, value: str, parts: int = 5) -> Da
 
 
 def with_bucket(rows: DataFrame, cuts: DataFrame, group: str, value: str) -> DataFrame:
-    """Add ``bucket``, 1 to parts; a value equal to a cut goes below it.  One row of cuts per group, broadcast if few."""
-    few = cuts.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
-    return rows.join(F.broadcast(cuts) if few else cuts, group).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value))) + 1).drop("cuts")
+    """Add ``bucket``, 1 to parts; a value equal to a cut goes below it.
+
+    One row of cuts per group: if there are few they are worked out once, here, and broadcast; else they are joined as they are.
+    """
+    found = cuts.limit(MOST_WINDOWS + 1).collect()
+    if len(found) <= MOST_WINDOWS:
+        cuts = F.broadcast(rows.sparkSession.createDataFrame(found, cuts.schema))
+    return rows.join(cuts, group).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value))) + 1).drop("cuts")
 
 
 def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of rows, events and trades, and mean scores and returns, by key, from traded rows."""
+    """Counts of rows, events and trades, and mean scores and returns, by key, from traded rows.
+
+    The means combine before the shuffle, to one row per key and task; events are counted from their distinct keys alone.
+    """
     mean = {"brier_model": "brier_model", "brier_market": "brier_market", "brier_edge": "brier_edge", "mean_p": "p", "mean_q": "q"}
     money = {"ret": "ret", "ret_nofee": "ret_nofee", "mean_fee": "fee", "win_rate": "won"}
-    n = lambda c: F.count_if(F.col("reason") == c)
-    per = rows.groupBy(*keys, "event_id").agg(
+    n, paid = lambda c: F.count_if(F.col("reason") == c), F.col("reason") == "traded"
+    means = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), n("traded").alias("n_traded"), n("one_sided_book").alias("n_one_sided"), n("degenerate_book").alias("n_degenerate"),
-        F.count_if((F.col("reason") == "traded") & (F.col("fee") > 0)).alias("n_fee_charged"),
-        *[F.sum(c).alias(k) for k, c in mean.items()], *[F.sum(F.when(F.col("reason") == "traded", F.col(c).cast("double"))).alias(k) for k, c in money.items()],
-    )
-    counts = ("n", "n_traded", "n_one_sided", "n_degenerate", "n_fee_charged")
-    return per.groupBy(*keys).agg(
-        F.count("*").alias("n_events"), *[F.sum(c).alias(c) for c in counts],
-        *[r6(F.sum(k) / F.sum("n")).alias(k) for k in mean], *[r6(F.try_divide(F.sum(k), F.sum("n_traded").cast("double"))).alias(k) for k in money],
+        F.count_if(paid & (F.col("fee") > 0)).alias("n_fee_charged"),
+        *[r6(F.avg(c)).alias(k) for k, c in mean.items()], *[r6(F.avg(F.when(paid, F.col(c).cast("double")))).alias(k) for k, c in money.items()],
     )
+    events = rows.select(*keys, "event_id").distinct().groupBy(*keys).agg(F.count("*").alias("n_events"))
+    return means.join(events, keys)
 
 
 def no_skill(rows: DataFrame) -> DataFrame:
@@ -108,15 +121,17 @@ def no_skill(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), p.alias("p")) for n, p in zip(NO_SKILL, (F.lit(1.0), F.lit(0.0), cheaper, favored), strict=False)])))
 
 
-def coins(row: Column, draws: int) -> Column:
-    """A text of one hexadecimal digit for each draw of a row's coin: 8 and above is Yes."""
-    return F.concat(*[F.md5(F.concat_ws("|", F.lit("coin"), F.lit(k), row.cast("string")).cast("binary")) for k in range(-(-draws // 32))])
+def coins(row: str, draws: int) -> np.ndarray:
+    """A bit for each draw of a row's coin: the first of each hexadecimal digit of MD5s of its key."""
+    blocks = b"".join(hashlib.md5(f"coin|{k}|{row}".encode()).digest() for k in range(-(-draws // 32)))
+    return np.unpackbits(np.frombuffer(blocks, np.uint8)).reshape(-1, 4)[:draws, 0].astype(np.float64)
 
 
 def floors(rows: DataFrame, keys: list[str], draws: int = 200) -> DataFrame:
     """Mean return of each no-skill strategy by key; the coin's is the mean over draws of each draw's mean, with its least and greatest draw.
 
-    A coin only chooses between a row's two trades, so both are priced once and each draw picks one of the two returns.
+    A coin only chooses between a row's two trades, so both are priced once, and a draw's sums are those of all No trades plus, for each coin that shows
+    Yes, the row's difference: one product of bits and differences per batch.
     """
     fixed = traded(no_skill(rows)).where("reason = 'traded'").groupBy(*keys, "strategy").agg(F.avg("ret").alias("m"), F.count("*").alias("n"), F.lit(0).alias("draw"))
     rows = rows.select(*keys, "row_id", "book", "y", "venue", "fee_rate", "fees_enabled", "fee_exponent", F.col("ask").alias("_a"), (1 - F.col("bid")).alias("_b"))
@@ -124,11 +139,18 @@ def floors(rows: DataFrame, keys: list[str], draws: int = 200) -> DataFrame:
     rows = rows.withColumns({"_fa": fee("_a"), "_fb": fee("_b"), "_ok": F.col("book") == "ok", "_cent": F.col("venue") == "kalshi"})
     yes = F.when(F.col("_ok") & (F.col("_a") < 1), scores.buy_return(F.col("_a"), F.col("y") == 1, F.col("_fa"), F.col("_cent")))
     no = F.when(F.col("_ok") & (F.col("_b") < 1), scores.buy_return(F.col("_b"), F.col("y") != 1, F.col("_fb"), F.col("_cent")))
-    both = rows.select(*keys, yes.alias("_yes"), no.alias("_no"), coins(F.col("row_id"), draws).alias("_coins"))
-    each = both.select(*keys, "_yes", "_no", F.posexplode(F.split("_coins", "")).alias("draw", "_coin")).where(F.col("draw") < draws)  # below it, trades are priced once
-    heads = F.col("_coin") >= "8"
-    drawn = each.select(*keys, "draw", F.when(heads, F.col("_yes")).otherwise(F.col("_no")).alias("ret")).where("ret is not null")
-    coin = drawn.groupBy(*keys, "draw").agg(F.avg("ret").alias("m"), F.count("*").alias("n")).withColumn("strategy", F.lit("coin_flip"))
+    sums = lambda r: [F.coalesce(r, F.lit(0.0)), r.isNotNull().cast("double")]
+    both = rows.select(F.struct(*keys).alias("_key"), F.col("row_id").cast("string").alias("row"), F.array(*sums(yes)).alias("yes"), F.array(*sums(no)).alias("no")).withColumn("_text", F.to_json("_key"))
+
+    def measure(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        up, down = stacking._matrix(b.column("yes")), stacking._matrix(b.column("no"))
+        heads = np.stack([coins(r, draws) for r in b.column("row").to_pylist()])
+        yield 0, (down.sum(axis=0) + heads.T @ (up - down)).ravel()
+
+    kind = both.schema["_key"].dataType.simpleString()
+    drawn = stacking.summed(both.select("_text", "row", "yes", "no"), "_text", measure).select(F.from_json("_text", kind).alias("_key"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.slice("v", i * 2 + 1, 2))).alias("draw", "_s"))
+    drawn = drawn.select("_key.*", "draw", F.get("_s", F.lit(0)).alias("_ret"), F.round(F.get("_s", F.lit(1))).cast("long").alias("n")).where("n > 0")
+    coin = drawn.select(*keys, F.lit("coin_flip").alias("strategy"), (F.col("_ret") / F.col("n")).alias("m"), "n", "draw")
     means = fixed.unionByName(coin)
     return means.groupBy(*keys, "strategy").agg(F.sum("n").alias("n"), r6(F.avg("m")).alias("ret"), r6(F.min("m")).alias("least"), r6(F.max("m")).alias("greatest"))
 
@@ -235,8 +257,16 @@ def extremizing(rows: DataFrame, keys: list[str], factors: tuple[int, int, int]
 
 
 def rank_average(rows: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """Add the average-tie rank of a value within its group, from one row per distinct value."""
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(value))
-    ranks = counts.select(F.col(group).alias("_g"), F.col(value).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(out))
+    """Add the average-tie rank of a value within its group.
+
+    Ranks are prefix counts over bins that follow the order of values, plus the rank within the bin, so no task sorts a whole group.
+    """
+    size = F.abs(F.col(value))
+    place = (F.signum(value) * F.floor(F.log1p(size) * RANK_BINS)).cast("long")
+    counts = rows.groupBy(group, value, place.alias("_bin")).agg(F.count("*").alias("_n"))
+    bins = counts.groupBy(group, "_bin").agg(F.sum("_n").alias("_s"))
+    bins = bins.select(F.col(group).alias("_bg"), F.col("_bin").alias("_bb"), (F.sum("_s").over(Window.partitionBy(group).orderBy("_bin")) - F.col("_s")).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy(group, "_bin").orderBy(value))
+    ranked = counts.withColumn("_upto", upto).join(bins, F.col(group).eqNullSafe(F.col("_bg")) & F.col("_bin").eqNullSafe(F.col("_bb")))
+    ranks = ranked.select(F.col(group).alias("_g"), F.col(value).alias("_v"), (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     return rows.join(ranks, rows[group].eqNullSafe(F.col("_g")) & rows[value].eqNullSafe(F.col("_v"))).drop("_g", "_v")

@@ -27,11 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if they come in fewer parts than there are: a small file of one row group would be the work of one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per market moment: price, book, outcome, fees, tags and the columns derived from them."""
     key = F.col("o_orderkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    rows = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice", "o_orderpriority"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     rows = rows.select(
         key.alias("row_id"),
         F.col("o_custkey").alias("event_id"),
@@ -123,7 +130,8 @@ def price_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of the moments from a day before the forecast to nine days after it, with what orders points of one time."""
     of = ("l_orderkey", "l_partkey", "l_suppkey", F.floor("l_extendedprice"))
     u = lambda label: uniform(label, *[F.col(c) if isinstance(c, str) else c for c in of])
-    points = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"))
+    points = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     after = F.floor(u("pt") * 864_000) - 86_400
     return points.select(
         F.col("l_orderkey").alias("row_id"), (F.col("o_orderdate") + F.make_dt_interval(secs=after.cast("decimal(18,6)"))).alias("ts"), (F.lit(0.02) + F.lit(0.96) * u("pp")).alias("price_yes"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import exact, fits, gates, paths, permutation, resampling, runs, scoring, splits, stacking, surfaces
+from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -463,6 +463,30 @@ def recalibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacking.recalibrated(_scored(spark, sf_dir), BY_MODEL)
 
 
+@query
+def isotonic_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What isotonic and logistic maps win back, across event folds and from the calibration split, stored or of whole events."""
+    rows = splits.grouped_split(_bucketed(spark, sf_dir), ["win", "bucket", "sports"], "event_id")
+    found = {"isotonic, folds": recalibration.crossfitted(rows, BY_MODEL, "isotonic"), "isotonic, split": recalibration.split(rows, BY_MODEL, "isotonic")}
+    found |= {"isotonic, whole events": recalibration.split(rows, BY_MODEL, "isotonic", "grouped"), "logistic, whole events": recalibration.split(rows, BY_MODEL, "platt", "grouped")}
+    out = None
+    for name, part in found.items():
+        part = part.withColumn("fit", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def random_cut_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much reliability bins hide that are cut by the market's price, against cuts at random."""
+    return permutation.random_cuts(_scored(spark, sf_dir), BY_MODEL, "row_id")
+
+
+@query
+def shrinkage_null_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces.permuted_null(_scored(spark, sf_dir))
+
+
 @query
 def covariate_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes of the error on price, depth, horizon, news and sports together."""

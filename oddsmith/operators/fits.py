@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmith.functions import scores
 from oddsmith.functions.scores import r6
 
+#: Slices of [0, 1] by which rows meet the steps of a map.
+SLICES = 1_024
+
 
 def pool(p: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[list[float]]:
     """Pool adjacent violators over blocks (first p, count, sum of y) in order of p."""
@@ -36,7 +39,9 @@ def isotonic(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[list[float]]] = {}
+        types: list[pa.DataType] = []
         for b in batches:
+            types = [b.schema.field(k).type for k in keys]
             columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("p", "n", "s")]
             of = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
             starts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
@@ -45,7 +50,7 @@ def isotonic(rows: DataFrame, keys: list[str]) -> DataFrame:
                 held[of[i]] = pool(*[np.concatenate([before[:, c], columns[c][i:j]]) for c in range(3)])
         for key, blocks in held.items():
             p, n, s = (list(c) for c in zip(*blocks, strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(p)) for v in key], pa.array(p), pa.array(n), pa.array(s)], [*keys, "p", "n", "s"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(p), t) for v, t in zip(key, types, strict=True)], pa.array(p), pa.array(n), pa.array(s)], [*keys, "p", "n", "s"])
 
     values = rows.groupBy(*keys, "p").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("s"))
     parts = values.repartitionByRange(*keys, "p").sortWithinPartitions(*keys, "p").mapInArrow(run, schema)
@@ -53,6 +58,21 @@ def isotonic(rows: DataFrame, keys: list[str]) -> DataFrame:
     return steps.select(*keys, "p", F.col("n").cast("long").alias("n"), (F.col("s") / F.col("n")).alias("fitted"))
 
 
+def stepped(rows: DataFrame, steps: DataFrame, keys: list[str], out: str, p: str = "p") -> DataFrame:
+    """Add ``out``: the fitted value of the last step at or below p, of the first one for lower p; rows of keys without steps go.
+
+    Steps go to each slice of p that they reach into, so rows meet by (keys, slice) only the few steps of their slice, and no side is broadcast whole.
+    """
+    whole = Window.partitionBy(*keys).orderBy("p")
+    low = F.when(F.row_number().over(whole) == 1, F.lit(float("-inf"))).otherwise(F.col("p"))
+    held = steps.select(*keys, low.alias("_low"), F.lead("p").over(whole).alias("_high"), F.col("fitted").alias(out))
+    slice_of = lambda x: F.least(F.greatest(F.floor(x * SLICES), F.lit(0)), F.lit(SLICES)).cast("int")
+    first, last = F.when(F.col("_low") == float("-inf"), 0).otherwise(slice_of(F.col("_low"))), F.when(F.col("_high").isNull(), SLICES).otherwise(slice_of(F.col("_high")))
+    held = held.withColumn("_slice", F.explode(F.sequence(first, last)))
+    met = rows.withColumn("_slice", slice_of(F.col(p))).join(held, [*keys, "_slice"])
+    return met.where((F.col(p) >= F.col("_low")) & (F.col("_high").isNull() | (F.col(p) < F.col("_high")))).drop("_slice", "_low", "_high")
+
+
 def corp(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The decomposition without bins: miscalibration, discrimination and uncertainty by the isotonic fit."""
     steps = isotonic(rows, keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, runs, scoring, splits, stacking, surfaces
+from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, resolve, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import rates
@@ -187,6 +187,15 @@ def final_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _final(spark, sf_dir).groupBy("win", "model", "mode", "status").agg(F.count("*").alias("n"), r6(F.avg("p")).alias("p"))
 
 
+@query
+def record_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the final records find their moments, and what becomes of them."""
+    rows = fixtures.moments(spark, sf_dir)
+    named = rows.withColumn("moment_key", fixtures.moment_key(F.col("row_id")))
+    found = resolve.resolve(fixtures.keyed_records(rows), named, ["win", "late_dateline", "is_ladder", "news_available"])
+    return resolve.account(found, ["run_id", "mode"], F.col("m_news_available") | (F.col("mode") == "normal"))
+
+
 @query
 def probe_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.probe_forecasts(_final(spark, sf_dir)).groupBy("win", "model", "source").agg(F.count("*").alias("n"), r6(F.avg("p")).alias("p"))

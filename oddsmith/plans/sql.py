@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oddsmith.functions import replies, scores
 from oddsmith.operators.resampling import DRAWS, thresholds
+from oddsmith.operators import resolve
 from oddsmith.operators.paths import MEASURES, MOVES
 from oddsmith.sources.fixtures import LINES, OPENINGS, ROSTER, RUNS, SPORTS
 
@@ -304,6 +305,20 @@ select * from points join ends using (win, model)""",
     select win, draw, avg((n * sxz - sx * sz) / sqrt((n * sxx - sx * sx) * (n * szz - sz * sz))) as m from drawn where n >= 10 and n * sxx - sx * sx > 1e-12 and n * szz - sz * sz > 1e-12 group by all
 ), ends as (select win, {_ends('m')} from means group by all) select * from points join ends using (win)""",
     "final_forecasts": _CALLS + " select win, model, mode, status, count(*) as n, round(avg(p), 6) as p from latest group by all",
+    "record_resolution": _PLAIN_CALLS + f""", placed as (
+    select *, {_u("'rk|' || call_id")} as u, case when {_u("'rw|' || call_id")} < 0.01 then 'A' else win end as said_win from calls where final = 1
+), recs as (
+    select run_id, mode, said_win, status, case when status = 'ok' then 1 end as p, case when u < 0.8 or (u >= 0.88 and u < 0.92) then 'k' || md5(row_id::varchar)[:12] when u >= 0.92 and u < 0.95 then 'gone' || row_id::varchar end as moment_key,
+           case when u >= 0.88 and u < 0.92 then row_id + 1 when u >= 0.95 and u < 0.97 then -row_id when u >= 0.1 and u < 0.95 then row_id end as rid from placed
+), keyed as (select *, 'k' || md5(row_id::varchar)[:12] as moment_key from moments), joined as (
+    select r.*, coalesce(k.row_id, i.row_id) as found, coalesce(k.win, i.win) as m_win, coalesce(k.late_dateline, i.late_dateline) as late, coalesce(k.is_ladder, i.is_ladder) as ladder_, coalesce(k.news_available, i.news_available) as news
+    from recs r left join keyed k on r.moment_key = k.moment_key left join moments i on r.moment_key is null and r.rid = i.row_id
+), told as (
+    select *, case when found is null then 'key_not_in_benchmark' when moment_key is not null and rid <> found then 'moment_key_mismatch' when status in {resolve.SKIPPED} then 'skipped' when said_win <> m_win then 'window_mismatch'
+                   when p is null then 'failed_rows' when late then 'dateline_flagged' when not (news or mode = 'normal') then 'outside_arm' when ladder_ then 'ladder' else 'scored' end as reason from joined
+) select run_id, mode, count(*) as final_records, count(*) filter (moment_key is null and rid is not null) as joined_by_row_id_only,
+         {', '.join(f"count(*) filter (reason = '{c}') as {c}" for c in ('moment_key_mismatch', 'key_not_in_benchmark', 'skipped', 'window_mismatch', 'failed_rows', 'dateline_flagged', 'outside_arm', 'ladder', 'scored'))},
+         round(count(*) filter (reason = 'failed_rows') / greatest(1, count(*) filter (reason in ('failed_rows', 'dateline_flagged', 'outside_arm', 'ladder', 'scored')))::double, 6) as failed_share from told group by all""",
     "probe_forecasts": _CALLS + " select win, model, source, count(*) as n, round(avg(p), 6) as p from probes group by all",
     "quarantine_flags": _CALLS + f""" select win, model, source, case when not abs(p - y) <= 0.1::double + 1e-9::double then 'not confidently right' when {_FLAGGED} then 'right where the market was not' else 'priced in' end as reason,
     count(*) as n, sum(({_FLAGGED})::int)::bigint as quarantined from probes where p is not null group by all""",

@@ -122,6 +122,19 @@ def calls(rows: DataFrame) -> DataFrame:
     return each.withColumn("p", F.when(F.col("status") == "ok", _p(noise))).drop("a", "b", "on_a", "k")
 
 
+def moment_key(row: Column) -> Column:
+    return F.concat(F.lit("k"), F.substring(F.md5(row.cast("string")), 1, 12))
+
+
+def keyed_records(rows: DataFrame) -> DataFrame:
+    """The final records of the call log with the names that they give their moment: key and row id, either alone, wrong ones, or none."""
+    u, row = uniform("rk", F.col("call_id")), F.col("row_id")
+    key = F.when(u < 0.8, moment_key(row)).when(u < 0.88, F.lit(None)).when(u < 0.92, moment_key(row)).when(u < 0.95, F.concat(F.lit("gone"), row.cast("string")))
+    row_id = F.when((u >= 0.88) & (u < 0.92), row + 1).when((u >= 0.95) & (u < 0.97), -row).when((u < 0.95) & (u >= 0.1), row).when((u >= 0.8) & (u < 0.88), row)
+    win = F.when(uniform("rw", F.col("call_id")) < 0.01, F.lit("A")).otherwise(F.col("win"))
+    return calls(rows).where("final = 1").select("run_id", "model", "mode", "call_id", "called_at", "status", "p", win.alias("win"), key.alias("moment_key"), row_id.alias("row_id"))
+
+
 def runs(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(s).alias("started_at"), F.lit(v).alias("void")) for r, s, v in RUNS])))
 

@@ -12,7 +12,7 @@ from oddsmith.functions.scores import r6
 from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, resolve, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
-from oddsmith.streaming import rates
+from oddsmith.streaming import control, rates
 
 FLAGSHIP = "bucket_scores"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +432,24 @@ def saturation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.saturation(rates.hourly_errors(events))
 
 
+@query
+def rate_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the errors of a host within half an hour call for longer pauses."""
+    events = fixtures.table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("host", F.concat(F.lit("host"), (F.col("user_id") % 4).cast("string")))
+    return control.multipliers(events, "host", 1_800).groupBy("host", "multiplier").agg(F.count("*").alias("n"), F.max("hits").cast("int").alias("most"))
+
+
+@query
+def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run would still do if it were resumed."""
+    records, keys = fixtures.calls(fixtures.moments(spark, sf_dir)), ["run_id", "model", "mode", "row_id"]
+    plan = records.select(*keys).distinct()
+    left = control.to_do(plan, records, keys, ["called_at", "call_id"]).groupBy("run_id", "model").agg(F.count("*").alias("n_left"))
+    failed = control.finished(records, keys, ["called_at", "call_id"]).where("status = 'failed'").groupBy("run_id", "model").agg(F.count("*").alias("n_failed"))
+    whole = plan.groupBy("run_id", "model").agg(F.count("*").alias("n"))
+    return whole.join(left, ["run_id", "model"], "left").join(failed, ["run_id", "model"], "left").fillna(0)
+
+
 @query
 def merged_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.merged_pauses(fixtures.table(spark, sf_dir, "events"), "user_id")
@@ -514,6 +532,12 @@ def model_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.agreements(_scored(spark, sf_dir))
 
 
+@query
+def news_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether news changes what models share or only how far each strays, by swapping one ingredient at a time."""
+    return surfaces.swapped(_final(spark, sf_dir))
+
+
 @query
 def surface_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What forecasters show that share a fitted surface and nothing else, under three designs."""

@@ -415,6 +415,11 @@ select class, win, n_with, n_without, n_groups, difference, low, high from point
 ), told as (select hour, case when count(*) over w < 3 then null when sum(hot) over w = 3 then 'saturated' when sum(hot) over w = 0 then 'clear' end as s from every window w as (order by hour rows 2 preceding)
 ), states as (select hour, coalesce(last_value(s ignore nulls) over (order by hour rows between unbounded preceding and current row), 'clear') as state from told)
 select hour, state from states qualify state <> lag(state, 1, 'clear') over (order by hour)""",
+    "rate_multipliers": """with h as (select 'host' || (user_id % 4)::varchar as host, count(*) over (partition by user_id % 4 order by ts range between interval 1800 second preceding and current row) as hits from events where event_type = 'error')
+select host, case when hits > 20 then 4 when hits > 10 then 2 else 1 end as multiplier, count(*) as n, max(hits)::int as most from h group by all""",
+    "resume_plan": _PLAIN_CALLS + """, ends_ as (
+    select run_id, model, mode, row_id, arg_max(status, (called_at, call_id)) filter (final = 1) as status from calls group by all
+) select run_id, model, count(*) as n, count(*) filter (status is null or status = 'failed') as n_left, count(*) filter (status = 'failed') as n_failed from ends_ group by all""",
     "merged_pauses": """with p as (select user_id, epoch_us(ts) as a, epoch_us(ts) + floor(coalesce(value, 0) / 60.0::double * 3600000000)::bigint as b from events where event_type = 'error'
 ), m as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as u from p
 ), g as (select *, sum((u is null or a > u)::int) over (partition by user_id order by a, b rows unbounded preceding) as island from m

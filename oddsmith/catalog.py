@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, resolve, runs, scoring, splits, stacking, surfaces
+from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, resolve, results, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog
 from oddsmith.streaming import control, rates
@@ -57,6 +57,57 @@ def bucket_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.summary(scoring.with_bucket(rows, cuts, "view", "depth_usd"), ["view", "arm", "model", "bucket"])
 
 
+def _viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traded test rows in each view, with the view's buckets."""
+    cuts = scoring.quantile_cuts(scoring.with_views(_primary(spark, sf_dir)), "view", "depth_usd")
+    rows = scoring.with_views(scoring.traded(_scored(spark, sf_dir)))
+    return scoring.with_bucket(rows.where("split = 'test'"), cuts, "view", "depth_usd")
+
+
+@query
+def bucket_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by view, model and bucket on the test split, with intervals."""
+    return results.with_intervals(_viewed(spark, sf_dir), ["view", "model", "bucket"])
+
+
+@query
+def gap_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth tests of each model and of all models together."""
+    rows = _viewed(spark, sf_dir)
+    return results.depth_tests(rows.unionByName(rows.withColumn("model", F.lit("pooled"))), ["view", "model"])
+
+
+@query
+def pooled_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = gap_trend(spark, sf_dir)
+    planned = [(v, sum(on_a or v in "BC" for *_, on_a in fixtures.ROSTER)) for v in ("A", "A_live", "B", "C")]
+    pooled = tests.where("model = 'pooled'")
+    return results.pooled_verdicts(tests.where("model <> 'pooled'"), pooled, ["view"], spark.createDataFrame(planned, "view string, n_planned int"))
+
+
+@query
+def secondary_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows without the filters on price and end date, and the ladder rows, with intervals."""
+    rows = fixtures.forecasts(fixtures.moments(spark, sf_dir).where("split = 'test' and not late_dateline"))
+    rows = scoring.traded(scoring.scored(rows)).withColumn("kind", F.when(F.col("is_ladder"), "ladders").otherwise("full_set"))
+    return results.with_intervals(rows, ["win", "kind", "model"])
+
+
+@query
+def error_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean pair correlation of errors on the rows that all models of a view forecast, overall and by bucket."""
+    rows = results.common(_viewed(spark, sf_dir), ["view"])
+    overall = results.correlation(rows.withColumn("part", F.lit("all")), ["view", "part"])
+    return overall.unionByName(results.correlation(rows.withColumn("part", F.col("bucket").cast("string")), ["view", "part"]))
+
+
+@query
+def error_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the sets that the two models of a pair are from."""
+    bridge = F.when(F.col("model").isin([m for m, *_, on_a in fixtures.ROSTER if on_a]), "bridge").otherwise("late")
+    return results.by_sets(results.common(_viewed(spark, sf_dir), ["view"]), ["view"], bridge)
+
+
 @query
 def direction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = lambda c: r6(F.avg(c)).alias(c)

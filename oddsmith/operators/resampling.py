@@ -21,6 +21,8 @@ from oddsmith.functions.scores import r6
 
 DRAWS = 2000
 _PER_DIGEST = 8
+#: Rows whose weights are held together.
+_TOGETHER = 2_000
 
 
 def thresholds() -> list[int]:
@@ -43,30 +45,33 @@ def weights(label: str, cluster: str, draws: int) -> np.ndarray:
 def resample(per: DataFrame, keys: list[str], cluster: str, sums: list[str], draws: int = DRAWS, label: str = "w") -> DataFrame:
     """(keys, draw, sums): the weighted totals of each draw, from one row of sums per key and cluster (null counts as 0).
 
-    Clusters are dealt by hash, so each one's weights are made once for all keys; a task returns its totals per key and
-    draw, which a last aggregate adds up.
+    Clusters are dealt by hash, so each one's weights are made about once for all keys, and a batch's weights and sums are multiplied as matrices; a
+    task returns its totals per key and draw, which a last aggregate adds up.
     """
     kinds = {f.name: f.dataType.simpleString() for f in per.schema.fields}
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "draw int", *[f"{s} double" for s in sums]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
-        known, w, types = None, None, []
-        for b in batches:
-            types = [b.schema.field(k).type for k in keys]
-            values = np.stack([np.nan_to_num(b.column(s).cast(pa.float64()).to_numpy(zero_copy_only=False)) for s in sums], axis=1)
-            names = b.column("_cluster").to_pylist()
-            for i, key in enumerate(zip(*[b.column(k).to_pylist() for k in keys], strict=True)):
-                if known != names[i]:
-                    known, w = names[i], weights(label, names[i], draws)
-                if key not in totals:
-                    totals[key] = np.zeros((draws, len(sums)))
-                totals[key] += w[:, None] * values[i]
+        types: list[pa.DataType] = []
+        for whole in batches:
+            types = [whole.schema.field(k).type for k in keys]
+            for start in range(0, whole.num_rows, _TOGETHER):
+                b = whole.slice(start, _TOGETHER)
+                values = np.stack([np.nan_to_num(b.column(s).cast(pa.float64()).to_numpy(zero_copy_only=False)) for s in sums], axis=1)
+                clusters, at = np.unique(np.array(b.column("_cluster").to_pylist(), str), return_inverse=True)
+                w = np.stack([weights(label, c, draws) for c in clusters.tolist()])
+                own: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*[b.column(k).to_pylist() for k in keys], strict=True)):
+                    own.setdefault(key, []).append(i)
+                for key, rows in own.items():
+                    part = w[at[rows]].T @ values[rows]
+                    totals[key] = totals[key] + part if key in totals else part
         for key, total in totals.items():
             columns = [pa.array([v] * draws, kind) for v, kind in zip(key, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(draws, dtype=np.int32)), *[pa.array(np.ascontiguousarray(total[:, j])) for j in range(len(sums))]], [*keys, "draw", *sums])
 
-    named = per.select(*keys, F.col(cluster).cast("string").alias("_cluster"), *sums).repartition("_cluster").sortWithinPartitions("_cluster")
+    named = per.select(*keys, F.coalesce(F.col(cluster).cast("string"), F.lit("None")).alias("_cluster"), *sums).repartition("_cluster").sortWithinPartitions("_cluster")
     return named.mapInArrow(run, schema).groupBy(*keys, "draw").agg(*[F.sum(s).alias(s) for s in sums])
 
 

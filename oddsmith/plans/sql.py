@@ -43,7 +43,7 @@ with base as (
            {_u("'o|' || " + _K)} < 0.03 as one_sided, {_u("'x|' || " + _K)} as odd, {_u("'y|' || " + _K)} as uy, {_u("'l|' || " + _K)} < 0.1 as is_ladder,
            {_u("'d|' || " + _K)} < 0.03 as late_dateline, {_u("'r|' || " + _K)} < 0.02 as end_date_revised,
            case when {_u("'s|' || " + _K)} < 0.2 then 'calibration' else 'test' end as split, {_u("'n|' || " + _K)} < 0.4 as news_available,
-           40.0::double * {_u("'h|' || " + _K)} as horizon_days, {_u("'e|' || " + _K)} >= 0.05 as fees_enabled, case when {_u("'z|' || " + _K)} < 0.5 then 1.0::double end as fee_exponent,
+           40.0::double * {_u("'h|' || " + _K)} as horizon_days, {_u("'e|' || " + _K)} >= 0.05 as fees_enabled, case when {_u("'z|' || " + _K)} < 0.5 then 1.0::double end as fee_exponent, {_u("'ip|' || " + _K)} < 0.04 as in_play,
            case when {_u("'ct|' || " + _K)} >= 0.1 then o_orderdate + to_seconds(floor(40.0::double * {_u("'h|' || " + _K)} * 86400)) end as closes_at
     from orders left join customer on o_custkey = c_custkey
 ), booked as (
@@ -217,11 +217,122 @@ _GROUPED = (MOMENTS + _CUTS + _PLAY).replace("with base as (", "with recursive b
     from numbered n join walked w using (cell, i)
 )"""
 
+_VIEWED = SCORED + _CUTS + _traded("scored") + f""", viewed as materialized (
+    select *, {_BUCKET} from (select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded where split = 'test') t
+)"""
+
+
+def _intervals(source: str, keys: str) -> str:
+    """Summary by key with intervals of Brier edge and return."""
+    return _weights("weights", "w") + f""", per as (
+    select {keys}, event_id::varchar as cl, sum(brier_edge) as sb, count(brier_edge) as cb, coalesce(sum(ret) filter (reason = 'traded'), 0) as sr, count(ret) filter (reason = 'traded') as cr from {source} group by all
+), drawn as (select {keys}, draw, sum(w * sb) / nullif(sum(w * cb), 0) as e, sum(w * sr) / nullif(sum(w * cr), 0) as r from per join weights using (cl) group by all
+), edges as (select {keys}, {_pick('e').format('0.025::double')} as edge_low, {_pick('e').format('0.975::double')} as edge_high from drawn where e is not null group by all
+), rets as (select {keys}, {_pick('r').format('0.025::double')} as ret_low, {_pick('r').format('0.975::double')} as ret_high from drawn where r is not null group by all
+), paid as (select {keys}, count(*) filter (cr > 0) as k from per group by all
+), summed as (select {keys}, {_SUMMARY}, count(distinct row_id) as n_markets, round(median(depth_usd), 6) as median_depth, round(median(horizon_days), 6) as median_horizon from {source} group by {keys})
+select summed.*, case when n_events > 1 then edge_low end as edge_low, case when n_events > 1 then edge_high end as edge_high, case when k > 1 then ret_low end as ret_low, case when k > 1 then ret_high end as ret_high
+from summed left join edges using ({keys}) left join rets using ({keys}) join paid using ({keys})"""
+
+
+def _ols(c: str) -> str:
+    n, sx, sy, sxx, sxy = (f"{c}{x}" for x in ("n", "sx", "sy", "sxx", "sxy"))
+    return f"({n} * {sxy} - {sx} * {sy}) / nullif({n} * {sxx} - {sx} * {sx}, 0)"
+
+
+def _fit_sums(w: str, join: str) -> str:
+    """Five sums of returns and of edges on log depth."""
+    out = []
+    for c, y in (("r", "pay"), ("e", "brier_edge")):
+        own = f"filter ({y} is not null and log_depth is not null)"
+        out += [f"coalesce(sum({x}) {own}, 0)::double as {c}{n}" for n, x in (("n", "1"), ("sx", "log_depth"), ("sy", y), ("sxx", "log_depth * log_depth"), ("sxy", f"log_depth * {y}"))]
+    return ", ".join(out)
+
+
+_FITS = [f"{c}{x}" for c in "re" for x in ("n", "sx", "sy", "sxx", "sxy")]
+_SIDES = ", ".join(f"coalesce(sum({v}) filter ({o} and {v} is not null), 0)::double as {k}_s, count({v}) filter ({o}) as {k}_c" for k, v, o in (("ret", "pay", "true"), ("calm", "pay", "not in_play"), ("edge", "brier_edge", "true")))
+_GAPS = ", ".join(f"a.{k}_s / nullif(a.{k}_c, 0) - b.{k}_s / nullif(b.{k}_c, 0) as gap_{k}" for k in ("ret", "calm", "edge"))
+_W_SIDES = ", ".join(f"sum(w * {k}_{x}) as {k}_{x}" for k in ("ret", "calm", "edge") for x in "sc")
+_P_SIDES = ", ".join(f"sum({k}_{x}) as {k}_{x}" for k in ("ret", "calm", "edge") for x in "sc")
+_BAND_SUMS = ["s1", "c1", "s5", "c5", *_FITS]
+_MEASURED = ["gap_ret", "gap_calm", "gap_edge", "slope_ret", "slope_edge", *[f"{b}_{m}" for b in ("price", "horizon") for m in ("gap_ret", "slope_ret", "slope_edge")]]
+
+
+def _banded(tag: str, band: str) -> str:
+    gap = "s1 / nullif(c1, 0) - s5 / nullif(c5, 0)"
+    return f""", {tag}_per as (
+    select view, model, {band} as band_, event_id::varchar as cl, {', '.join(f"coalesce(sum(pay) filter (bucket = {b}), 0)::double as s{b}, count(pay) filter (bucket = {b})::double as c{b}" for b in (1, 5))}, {_fit_sums('', '')}
+    from stack where {band} is not null group by all
+), {tag}_all as (select view, model, band_, -1 as draw, {', '.join(f'sum({c}) as {c}' for c in _BAND_SUMS)} from {tag}_per group by all having least(sum(c1), sum(c5)) >= 30
+), {tag}_each as (
+    select * from {tag}_all union all
+    select view, model, band_, draw, {', '.join(f'sum(w * {c}) as {c}' for c in _BAND_SUMS)} from {tag}_per semi join {tag}_all using (view, model, band_) join weights using (cl) group by all
+), {tag}_found as (
+    select view, model, draw, avg({gap}) as {tag}_gap_ret, avg(case when rn >= 3 then {_ols('r')} end) as {tag}_slope_ret, avg(case when en >= 3 then {_ols('e')} end) as {tag}_slope_edge from {tag}_each group by all
+), {tag}_votes as (select view, model, count(*) as {tag}_bands from {tag}_all group by all)"""
+
+
+def _measured(source: str, names: list[str]) -> str:
+    each = ", ".join(f"round(max({n}) filter (draw = -1), 6) as {n}, round(list_sort(list({n}) filter (draw >= 0 and {n} is not null))[1 + floor(count({n}) filter (draw >= 0) * 0.025::double)::int], 6) as {n}_low, round(list_sort(list({n}) filter (draw >= 0 and {n} is not null))[1 + floor(count({n}) filter (draw >= 0) * 0.975::double)::int], 6) as {n}_high" for n in names)
+    return f"select view, model, {each} from {source} group by all"
+
+
+_GAP_TREND = _VIEWED + _weights("weights", "w") + _weights("weights_a", "a") + _weights("weights_b", "b") + f""", stack as materialized (
+    select *, case when reason = 'traded' then ret end as pay from (select * from viewed union all select * replace ('pooled' as model) from viewed)
+), side_1 as (select view, model, event_id::varchar as cl, {_SIDES} from stack where bucket = 1 group by all
+), side_5 as (select view, model, event_id::varchar as cl, {_SIDES} from stack where bucket = 5 group by all
+), a_ as (select view, model, -1 as draw, {_P_SIDES} from side_1 group by all union all select view, model, draw, {_W_SIDES} from side_1 join weights_a using (cl) group by all
+), b_ as (select view, model, -1 as draw, {_P_SIDES} from side_5 group by all union all select view, model, draw, {_W_SIDES} from side_5 join weights_b using (cl) group by all
+), gaps as (select a.view, a.model, a.draw, {_GAPS} from a_ a join b_ b on a.view = b.view and a.model = b.model and a.draw = b.draw
+), fit_per as (select view, model, event_id::varchar as cl, {_fit_sums('', '')} from stack group by all
+), fits as (
+    select view, model, -1 as draw, {', '.join(f'sum({c}) as {c}' for c in _FITS)} from fit_per group by all union all select view, model, draw, {', '.join(f'sum(w * {c}) as {c}' for c in _FITS)} from fit_per join weights using (cl) group by all
+), slopes as (select view, model, draw, {_ols('r')} as slope_ret, {_ols('e')} as slope_edge from fits){_banded('price', 'band')}{_banded('horizon', 'horizon_band')}, counted as (
+    select view, model, count(*) as n, count(distinct event_id) as n_events, count(*) filter (reason = 'traded' and bucket = 1) as traded_1, count(*) filter (reason = 'traded' and bucket = 5) as traded_5, count(*) filter (in_play) as n_in_play,
+           count(*) filter (log_depth is null) as n_zero_depth from stack group by all
+), joined as (
+    select * exclude (price_bands, horizon_bands), coalesce(price_bands, 0) as price_bands, coalesce(horizon_bands, 0) as horizon_bands from counted left join ({_measured('gaps', _MEASURED[:3])}) using (view, model) left join ({_measured('slopes', _MEASURED[3:5])}) using (view, model)
+    left join ({_measured('price_found', _MEASURED[5:8])}) using (view, model) left join ({_measured('horizon_found', _MEASURED[8:])}) using (view, model) left join price_votes using (view, model) left join horizon_votes using (view, model)
+), tested as materialized (
+    select *, gap_ret_low > 0 or gap_ret_high < 0 as gap_excludes_zero, gap_ret < 0 and gap_ret_high < 0 as bucket_1_lower, slope_ret > 0 and slope_ret_low > 0 as trend,
+           (gap_ret < 0) = (price_gap_ret < 0) as price_agrees, (gap_ret < 0) = (horizon_gap_ret < 0) as horizon_agrees from joined
+)"""
+
+_SECONDARY = SCORED.replace("on on_a or win <> 'A' where \"primary\"", "on on_a or win <> 'A' where split = 'test' and not late_dateline") + _traded("scored") + ", sets as materialized (select *, case when is_ladder then 'ladders' else 'full_set' end as kind from traded)" + _intervals("sets", "win, kind, model")
+
 ORACLE_SQL: dict[str, str] = {
     "bucket_scores": SCORED + _CUTS + _traded("scored") + f""", viewed as (
     select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded
 ), armed as (select *, {_BUCKET}, unnest(case when news_available then ['all', 'news'] else ['all'] end) as arm from viewed t
 ) select view, arm, model, bucket, {_SUMMARY} from armed group by all""",
+    "bucket_intervals": _VIEWED + _intervals("viewed", "view, model, bucket"),
+    "secondary_sets": _SECONDARY,
+    "gap_trend": _GAP_TREND + " select * from tested",
+    "pooled_verdicts": _GAP_TREND + """, models as (select view, count(*) as n_models, count(*) filter (coalesce(bucket_1_lower, false)) as models_clear from tested where model <> 'pooled' group by view)
+select view, n_models, n, n_events, models_clear, 2 * models_clear >= n_models as at_least_half, gap_ret, gap_ret_low, gap_ret_high, gap_excludes_zero, gap_ret_low <= 0 and gap_ret_high >= 0 and abs(gap_ret) < 0.05::double as effect_absent,
+       trend, price_agrees, horizon_agrees, n_models >= case when view in ('A', 'A_live') then 4 else 8 end as roster_complete from tested join models using (view) where model = 'pooled'""",
+    "error_correlation": _VIEWED + _weights("weights", "w") + f""", full_ as (select *, count(distinct model) over (partition by view) as k, count(distinct model) over (partition by view, row_id) as by_ from viewed
+), shared as (select *, unnest(['all', bucket::varchar]) as part from full_ where k = by_), paired as (
+    select a.view, a.part, a.model as ma, b.model as mb, a.event_id::varchar as cl, a.error as x, b.error as z, ((a.p >= 0.5) <> (a.y >= 0.5))::int as wx, ((b.p >= 0.5) <> (b.y >= 0.5))::int as wz
+    from shared a join shared b on a.view = b.view and a.part = b.part and a.row_id = b.row_id and a.model < b.model
+), per as (
+    select view, part, ma, mb, cl, count(*)::double as n, sum(x) as sx, sum(z) as sz, sum(x * x) as sxx, sum(z * z) as szz, sum(x * z) as sxz from paired group by all
+), drawn as (
+    select view, part, ma, mb, -1 as draw, sum(n) as n, sum(sx) as sx, sum(sz) as sz, sum(sxx) as sxx, sum(szz) as szz, sum(sxz) as sxz from per group by all union all
+    select view, part, ma, mb, draw, sum(w * n), sum(w * sx), sum(w * sz), sum(w * sxx), sum(w * szz), sum(w * sxz) from per join weights using (cl) group by all
+), rs as (
+    select view, part, draw, (n * sxz - sx * sz) / sqrt((n * sxx - sx * sx) * (n * szz - sz * sz)) as r from drawn where n >= 10 and n * sxx - sx * sx > 1e-12 and n * szz - sz * sz > 1e-12
+), points as (select view, part, count(*) as n_pairs, round(avg(r), 6) as mean_r, round(min(r), 6) as min_r, round(max(r), 6) as max_r from rs where draw = -1 group by all
+), means as (select view, part, draw, avg(r) as m from rs where draw >= 0 group by all), bounds as (select view, part, {_ends('m')} from means group by all
+), wrong as (
+    select view, part, round(avg(bw), 6) as both_wrong, round(avg(ex), 6) as both_wrong_expected from (select view, part, ma, mb, avg(wx * wz) as bw, avg(wx) * avg(wz) as ex from paired group by all having count(*) >= 10) group by all
+), counted as (select view, part, count(distinct model) as n_models, count(distinct row_id) as n_rows, count(distinct event_id) as n_events from shared group by all)
+select *, mean_r > 0.5 and low > 0.5 as confirmed from counted join points using (view, part) join bounds using (view, part) join wrong using (view, part)""",
+    "error_sets": _VIEWED + f""", full_ as (select *, count(distinct model) over (partition by view) as k, count(distinct model) over (partition by view, row_id) as by_ from viewed
+), shared as (select * from full_ where k = by_), paired as (
+    select a.view, a.model as ma, b.model as mb, count(*) as n, covar_samp(a.error, b.error) / nullif(stddev_samp(a.error) * stddev_samp(b.error), 0) as r from shared a join shared b on a.view = b.view and a.row_id = b.row_id and a.model < b.model group by all having count(*) >= 10
+), kinds as (select *, case when ma in ('m1', 'm2', 'm3', 'm4') then 'bridge' else 'late' end as ka, case when mb in ('m1', 'm2', 'm3', 'm4') then 'bridge' else 'late' end as kb from paired)
+select view, least(ka, kb) || '-' || greatest(ka, kb) as pair_kind, count(*) as n_pairs, max(n) as n_rows, round(avg(r), 6) as mean_r from kinds group by all""",
     "direction_scores": SCORED + f" select win, model, direction, band, {_MEANS} from scored group by grouping sets ((win, model, direction), (win, model, direction, band))",
     "trade_returns": SCORED + _traded("scored") + """
 select win, model, reason, side, count(*) as n, round(avg(cost), 6) as cost, round(avg(won::int), 6) as won, round(avg(fee), 6) as fee,

@@ -60,6 +60,7 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(40.0) * uniform("h", key)).alias("horizon_days"),
         (uniform("e", key) >= 0.05).alias("fees_enabled"),
         F.when(uniform("z", key) < 0.5, 1.0).alias("fee_exponent"),
+        (uniform("ip", key) < 0.04).alias("in_play"),
     )
     open_for = F.floor(F.col("horizon_days") * 86400).cast("decimal(18,6)")
     rows = rows.withColumn("closes_at", F.when(uniform("ct", F.col("row_id")) >= 0.1, F.col("forecast_ts") + F.make_dt_interval(secs=open_for)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +77,20 @@ def set_aside(df: DataFrame, used: list[str]) -> DataFrame:
     return df.toDF(*[c if c in used else f"_{i}" for i, c in enumerate(df.columns)])
 
 
+def giving_back(run):  # noqa: ANN001, ANN201
+    """A function over Arrow batches that returns free memory to the system at the end of its task: workers live on, and the next stage needs it."""
+
+    def whole(batches):  # noqa: ANN001, ANN202
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

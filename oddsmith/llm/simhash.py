@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import discard, set_aside, store
+from .common import discard, giving_back, set_aside, store
 
 WIDTH = 4
 SEED = 42
@@ -376,14 +376,14 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     schema = StructType([*docs.schema.fields, StructField("_row", LongType()), StructField("_node", LongType()), StructField("_keys", BinaryType())])
-    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_marked, schema), "marked")
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(giving_back(_marked), schema), "marked")
     nodes = rows.groupBy("_node").agg(F.first("_keys").alias("_keys"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = nodes.select("_node", "_keys").mapInArrow(_banded, "key long, node long")
-    lists = store(listed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "lists")
+    listed = nodes.select("_node", "_keys").mapInArrow(giving_back(_banded), "key long, node long")
+    lists = store(listed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(giving_back(_shared), "key long, node long"), "lists")
     asked = lists.select(F.col("node").alias("_node")).distinct()
     firsts = rows.groupBy("_node").agg(F.min("_row").alias("_row")).join(asked, "_node", "left_semi").select("_row")
-    sets = store(rows.select("_row", "_node", "text").join(firsts, "_row", "left_semi").select("_node", "text").mapInArrow(_sets, "node long, set binary"), "sets")
+    sets = store(rows.select("_row", "_node", "text").join(firsts, "_row", "left_semi").select("_node", "text").mapInArrow(giving_back(_sets), "node long, set binary"), "sets")
     edges = roots = None
     for since, upto in ((0, 1), (1, 8), (8, None)):
         if roots is None:
@@ -391,16 +391,16 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             placed = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         dealt = placed.repartition(n, "key").sortWithinPartitions("key", "node")
-        pairs = store(dealt.mapInArrow(_candidates(since, upto), "a long, b long").distinct(), "candidates")
+        pairs = store(dealt.mapInArrow(giving_back(_candidates(since, upto)), "a long, b long").distinct(), "candidates")
         sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        found = store(sides.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "links")
+        found = store(sides.select("a", "b", "x", "y").mapInArrow(giving_back(_similar), "a long, b long"), "links")
         edges = found if edges is None else edges.unionByName(found)
         if upto is None:
             sized = placed.join(sets.select("node", (F.length("set") / 8).cast("long").alias("size")), "node").select("key", "node", "root", "size")
-            units = sized.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_blocks, "unit long, second boolean, node long, root long")
+            units = sized.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(giving_back(_blocks), "unit long, second boolean, node long, root long")
             units = store(units, "units")
             met = units.join(sets, "node").select("unit", "second", "node", "root", "set").repartition(n, "unit").sortWithinPartitions("unit", "node")
-            edges = edges.unionByName(store(met.mapInArrow(_met, "a long, b long"), "links"))
+            edges = edges.unionByName(store(met.mapInArrow(giving_back(_met), "a long, b long"), "links"))
         roots = components(edges)
     return rows, roots
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, store, text_of
+from .common import giving_back, partitions, store, text_of
 
 LENGTH = 400
 #: For the pipeline: no passage of over 50 words of ordinary prose is shorter.
@@ -428,4 +428,4 @@ def remove_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
                 out["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return _with_spans(docs, names, length).mapInArrow(run, docs.schema)
+    return _with_spans(docs, names, length).mapInArrow(giving_back(run), docs.schema)

@@ -295,7 +295,8 @@ _GAP_TREND = _VIEWED + _weights("weights", "w") + _weights("weights_a", "a") + _
     left join ({_measured('price_found', _MEASURED[5:8])}) using (view, model) left join ({_measured('horizon_found', _MEASURED[8:])}) using (view, model) left join price_votes using (view, model) left join horizon_votes using (view, model)
 ), tested as materialized (
     select *, gap_ret_low > 0 or gap_ret_high < 0 as gap_excludes_zero, gap_ret < 0 and gap_ret_high < 0 as bucket_1_lower, slope_ret > 0 and slope_ret_low > 0 as trend,
-           (gap_ret < 0) = (price_gap_ret < 0) as price_agrees, (gap_ret < 0) = (horizon_gap_ret < 0) as horizon_agrees from joined
+           coalesce(case when (gap_ret < 0) = (price_gap_ret < 0) then 'yes' when (gap_ret < 0) <> (price_gap_ret < 0) then 'no' end, 'no bands') as price_agrees,
+           coalesce(case when (gap_ret < 0) = (horizon_gap_ret < 0) then 'yes' when (gap_ret < 0) <> (horizon_gap_ret < 0) then 'no' end, 'no bands') as horizon_agrees from joined
 )"""
 
 _SECONDARY = SCORED.replace("on on_a or win <> 'A' where \"primary\"", "on on_a or win <> 'A' where split = 'test' and not late_dateline") + _traded("scored") + ", sets as materialized (select *, case when is_ladder then 'ladders' else 'full_set' end as kind from traded)" + _intervals("sets", "win, kind, model")

@@ -479,8 +479,8 @@ def sliding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def saturation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = fixtures.table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
-    return rates.saturation(rates.hourly_errors(events))
+    """When errors outnumber views for hours on end; every hour that has events counts."""
+    return rates.saturation(rates.hourly_errors(fixtures.table(spark, sf_dir, "events"), success="view"))
 
 
 @query

@@ -521,7 +521,7 @@ select class, win, n_with, n_without, n_groups, difference, low, high from point
     "hourly_errors": "select date_trunc('hour', ts) as hour, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_type <> 'error') as successes from events group by all",
     "sliding_errors": "select event_id, ts, count(*) over (order by ts range between interval 3599999999 microseconds preceding and current row) as errors from events where event_type = 'error'",
     "saturation_states": """with hours as (
-    select date_trunc('hour', ts) as hour, (count(*) filter (event_type = 'error') > count(*) filter (event_type = 'view'))::int as hot from events where event_type in ('error', 'view') group by all
+    select date_trunc('hour', ts) as hour, (count(*) filter (event_type = 'error') > count(*) filter (event_type = 'view'))::int as hot from events group by all
 ), every as (
     select g.hour, coalesce(h.hot, 0) as hot from (select unnest(generate_series(min(hour), max(hour), interval 1 hour)) as hour from hours) g left join hours h on g.hour = h.hour
 ), told as (select hour, case when count(*) over w < 3 then null when sum(hot) over w = 3 then 'saturated' when sum(hot) over w = 0 then 'clear' end as s from every window w as (order by hour rows 2 preceding)

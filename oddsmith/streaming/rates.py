@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 HOUR = 3_600_000_000
 
 
-def hourly_errors(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Successes and errors per hour; on a stream, hours close once the watermark has passed them."""
+def hourly_errors(events: DataFrame, late: str = "2 hours", error: str = "error", success: str | None = None) -> DataFrame:
+    """Errors and successes per hour, successes being events of one type or all that are no errors; on a stream, hours close once the watermark has passed them."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
-    counted = rows.groupBy(F.window("ts", "1 hour").alias("_w")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") != "error").alias("successes"))
+    counted = rows.groupBy(F.window("ts", "1 hour").alias("_w")).agg(F.count_if(F.col("event_type") == error).alias("errors"), F.count_if(F.col("event_type") != error if success is None else F.col("event_type") == success).alias("successes"))
     return counted.select(F.col("_w.start").alias("hour"), "errors", "successes")
 
 

@@ -11,7 +11,7 @@ from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
 from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, resolve, results, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
-from oddsmith.sources import fixtures, runlog
+from oddsmith.sources import fixtures, runlog, shared
 from oddsmith.streaming import control, rates
 
 FLAGSHIP = "bucket_scores"
@@ -545,6 +545,7 @@ def recalibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isotonic_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What isotonic and logistic maps win back, across event folds and from the calibration split, stored or of whole events."""
     rows = splits.grouped_split(_bucketed(spark, sf_dir), ["win", "bucket", "sports"], "event_id")
+    rows = shared.cut(rows.select(*BY_MODEL, "event_id", "p", "q", "y", "split", "grouped"))  # four fits read it
     found = {"isotonic, folds": recalibration.crossfitted(rows, BY_MODEL, "isotonic"), "isotonic, split": recalibration.split(rows, BY_MODEL, "isotonic")}
     found |= {"isotonic, whole events": recalibration.split(rows, BY_MODEL, "isotonic", "grouped"), "logistic, whole events": recalibration.split(rows, BY_MODEL, "platt", "grouped")}
     out = None

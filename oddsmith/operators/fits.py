@@ -87,10 +87,11 @@ def platt(rows: DataFrame, keys: list[str], steps: int = 50, ridge: float = 1e-6
     """(keys, a, b) of y ~ 1 / (1 + exp(-(a + b logit p))): Newton steps, each one pass over the rows.
 
     A step gathers five sums per key; the coefficients, one row per key, go back with the next.  ``ridge`` is added to the
-    Hessian only.  It stops when no coefficient moves by more than ``tolerance``.
+    Hessian only.  It stops when no coefficient moves by more than ``tolerance``; keys whose outcomes p tells apart, or that have one
+    outcome only, have no finite fit, and get the large coefficients of the last step.
     """
     spark = rows.sparkSession
-    base = rows.select(*keys, scores.logit(F.col("p")).alias("_x"), "y")
+    base = rows.select(*keys, scores.logit(F.col("p")).alias("_x"), "y").persist()
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
     order = [c.split()[0] for c in kinds.split(", ")]
     at = {tuple(r[k] for k in order): (0.0, 1.0) for r in base.select(*order).distinct().collect()}  # one row per key
@@ -108,4 +109,5 @@ def platt(rows: DataFrame, keys: list[str], steps: int = 50, ridge: float = 1e-6
             moved = max(moved, float(np.abs(step).max()))
         if moved < tolerance:
             break
+    base.unpersist()
     return spark.createDataFrame([(*k, round(a, 6), round(b, 6)) for k, (a, b) in sorted(at.items())], f"{kinds}, a double, b double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import exact, fits, gates, paths, permutation, recalibration, resampling, resolve, results, runs, scoring, splits, stacking, surfaces
+from oddsmith.operators import exact, fits, gates, news, paths, permutation, recalibration, resampling, resolve, results, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog, shared
 from oddsmith.streaming import control, rates
@@ -599,3 +599,33 @@ def surface_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def news_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacking.news_placebo(_final(spark, sf_dir))
+
+
+@query
+def news_coin_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.coin_flip(news.pairs(_final(spark, sf_dir)))
+
+
+@query
+def news_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.by_band(news.pairs(_final(spark, sf_dir)))
+
+
+@query
+def news_sports_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.sports_moves(news.pairs(_final(spark, sf_dir)))
+
+
+@query
+def news_toward_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.toward_market(news.pairs(_final(spark, sf_dir)))
+
+
+@query
+def news_toward_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.toward_difference(news.pairs(_final(spark, sf_dir)))
+
+
+@query
+def news_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.tails(_final(spark, sf_dir))

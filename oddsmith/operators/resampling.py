@@ -91,6 +91,22 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], cluster: str, value: str, d
     return point.join(found, keys).withColumns({c: F.when(~alone, F.col(c)) for c in ("low", "high")})
 
 
+def bootstrap_means(rows: DataFrame, keys: list[str], cluster: str, values: list[str], draws: int = DRAWS) -> DataFrame:
+    """Rows, clusters and the mean of each value with its 95 % interval (``<value>_low``, ``<value>_high``), all from one resample.
+
+    A null counts for no mean; a value that fewer than two clusters have gets no interval.
+    """
+    sums = {f"{n}_{v}": x for v in values for n, x in (("s", F.sum(v)), ("c", F.count(v).cast("double")))}
+    mean = lambda v: F.try_divide(F.col(f"s_{v}"), F.nullif(F.col(f"c_{v}"), F.lit(0.0)))
+    per = rows.groupBy(*keys, cluster).agg(F.count("*").alias("_rows"), *[x.alias(n) for n, x in sums.items()])
+    point = per.groupBy(*keys).agg(F.sum("_rows").alias("n"), F.count("*").alias("n_events"), *[F.sum(n).alias(n) for n in sums], *[F.count_if(F.col(f"c_{v}") > 0).alias(f"k_{v}") for v in values])
+    drawn = resample(per, keys, cluster, list(sums), draws)
+    at = lambda v, share: r6(F.get(F.sort_array(F.collect_list(mean(v))), F.floor(F.count(mean(v)) * F.lit(share)).cast("int")))
+    found = drawn.groupBy(*keys).agg(*[at(v, s).alias(f"{v}_{e}") for v in values for e, s in (("low", 0.025), ("high", 0.975))])
+    told = [c for v in values for c in (r6(mean(v)).alias(v), *[F.when(F.col(f"k_{v}") > 1, F.col(f"{v}_{e}")).alias(f"{v}_{e}") for e in ("low", "high")])]
+    return point.join(found, keys).select(*keys, "n", "n_events", *told)
+
+
 def bootstrap_difference(rows: DataFrame, keys: list[str], cluster: str, value: str, side: Column, draws: int = DRAWS) -> DataFrame:
     """Mean where ``side`` holds less the mean where it does not; the two sets are resampled independently."""
     per = rows.where(F.col(value).isNotNull()).groupBy(*keys, cluster, side.alias("_side")).agg(F.sum(value).alias("s"), F.count(value).cast("double").alias("c"))

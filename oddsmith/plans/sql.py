@@ -301,6 +301,44 @@ _GAP_TREND = _VIEWED + _weights("weights", "w") + _weights("weights_a", "a") + _
 
 _SECONDARY = SCORED.replace("on on_a or win <> 'A' where \"primary\"", "on on_a or win <> 'A' where split = 'test' and not late_dateline") + _traded("scored") + ", sets as materialized (select *, case when is_ladder then 'ladders' else 'full_set' end as kind from traded)" + _intervals("sets", "win, kind, model")
 
+def _mean_ends(source: str, keys: str, values: list[str], tag: str = "") -> str:
+    """Tables ``point`` and ``bounds``: means of values by key, and their intervals."""
+    at = lambda v, share: f"round(list_sort(list({v}) filter ({v} is not null))[1 + floor(count({v}) * {share}::double)::int], 6)"
+    return f""", per{tag} as (select {keys}, event_id::varchar as cl, count(*) as k, {', '.join(f'sum({v}) as s_{v}, count({v}) as c_{v}' for v in values)} from {source} group by all
+), point{tag} as (select {keys}, sum(k)::bigint as n, count(*) as n_events, {', '.join(f'round(sum(s_{v}) / nullif(sum(c_{v}), 0), 6) as {v}, count(*) filter (c_{v} > 0) as k_{v}' for v in values)} from per{tag} group by all
+), drawn{tag} as (select {keys}, draw, {', '.join(f'sum(w * s_{v}) / nullif(sum(w * c_{v}), 0) as {v}' for v in values)} from per{tag} join weights using (cl) group by all
+), bounds{tag} as (select {keys}, {', '.join(f"{at(v, '0.025')} as {v}_low, {at(v, '0.975')} as {v}_high" for v in values)} from drawn{tag} group by all)"""
+
+
+def _told(values: list[str]) -> str:
+    return "n, n_events, " + ", ".join(f"{v}, case when k_{v} > 1 then {v}_low end as {v}_low, case when k_{v} > 1 then {v}_high end as {v}_high" for v in values)
+
+
+def _apart(source: str, keys: str, value: str, side: str) -> str:
+    """A table ``apart``: mean where ``side`` holds less mean where not, the two resampled independently."""
+    return _weights("weights_a", "a") + _weights("weights_b", "b") + f""", sided_ as (
+    select {keys}, event_id::varchar as cl, ({side}) as side_, sum({value}) as s, count({value})::double as c from {source} group by all
+), whole_ as (select {keys}, sum(c) filter (side_)::bigint as n_a, sum(c) filter (not side_)::bigint as n_b, round(sum(s) filter (side_) / sum(c) filter (side_) - sum(s) filter (not side_) / sum(c) filter (not side_), 6) as difference from sided_ group by all
+), first_ as (select {keys}, draw, sum(w * s) / nullif(sum(w * c), 0) as m from sided_ join weights_a using (cl) where side_ group by all
+), second_ as (select {keys}, draw, sum(w * s) / nullif(sum(w * c), 0) as o from sided_ join weights_b using (cl) where not side_ group by all
+), apart as (select {keys}, {_ends('d')} from (select {keys}, m - o as d from first_ join second_ using ({keys}, draw)) where d is not null group by all)"""
+
+
+def _news(keep: str) -> str:
+    """A table ``duo`` of forecasts with and without news."""
+    return _CALLS + f""", met as (
+    select win, model, row_id, event_id, q, y, sports, split, max(p) filter (mode = 'normal') as p_with, max(p) filter (mode = 'memory_probe') as p_without from latest where {keep} and p is not null group by all
+), duo as materialized (
+    select *, p_with - p_without as move, abs(p_with - p_without) as abs_move, abs(p_without - q) - abs(p_with - q) as toward_market, (p_with - p_without) * (case when y = 1 then 1.0::double else -1.0::double end) as toward_outcome,
+           {_brier('p_with')} as brier_with, {_brier('p_without')} as brier_without, {_brier('q')} as brier_market, {_brier('p_without')} - {_brier('p_with')} as d_brier, {_BAND} as band,
+           ({_brier('p_without')} > {_brier('p_with')})::int::double as helped, ({_brier('p_without')} < {_brier('p_with')})::int::double as hurt,
+           case when abs(p_with - p_without) < 0.02::double then 'no move' when abs(p_without - q) - abs(p_with - q) > 0 then 'toward' else 'away' end as kind
+    from met where p_with is not null and p_without is not null
+)"""
+
+
+_DUO = _news('"primary" and news_available and not late_dateline')
+
 ORACLE_SQL: dict[str, str] = {
     "bucket_scores": SCORED + _CUTS + _traded("scored") + f""", viewed as (
     select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded
@@ -567,4 +605,23 @@ select run_id, 10::bigint as n_manifest, count(*) as n_log from l group by all h
 ) select win, max(nt) filter (draw < 0) as n_toward, max(na) filter (draw < 0) as n_away, round(max(diff) filter (draw < 0), 6) as difference, round(avg(diff) filter (draw >= 0), 6) as placebo,
          round(list_sort(list(diff) filter (draw >= 0))[1 + floor(count(diff) filter (draw >= 0) * 0.025::double)::int], 6) as low,
          round(list_sort(list(diff) filter (draw >= 0))[1 + floor(count(diff) filter (draw >= 0) * 0.975::double)::int], 6) as high from diffs group by win""",
+    "news_coin_flip": _DUO + _weights("weights", "w") + """, parted as materialized (
+    select *, unnest(case when abs_move > 0.25::double then ['all', 'large'] when abs_move < 0.1::double then ['all', 'small'] else ['all'] end) as part from duo)""" + _mean_ends("parted", "win, part", ["d_brier"]) + f""", plain as (
+    select win, part, count(distinct row_id) as n_markets, round(avg(helped), 6) as helped, round(avg(hurt), 6) as hurt, round(median(d_brier), 6) as median, round(avg(d_brier) filter (d_brier > 0), 6) as gain_when_helped,
+           round(avg(d_brier) filter (d_brier < 0), 6) as loss_when_hurt, sum(d_brier) as total, count(*) as k from parted group by all
+) select win, part, n_markets, helped, hurt, median, gain_when_helped, loss_when_hurt, round(k / (select w.k from plain w where w.win = plain.win and w.part = 'all')::double, 6) as share_of_rows,
+         round(total / nullif((select w.total from plain w where w.win = plain.win and w.part = 'all'), 0), 6) as share_of_gain, {_told(['d_brier'])} from plain join point using (win, part) join bounds using (win, part)""",
+    "news_by_band": _DUO + _weights("weights", "w") + _mean_ends("(select * from duo where band is not null)", "win, band", ["move", "toward_market", "toward_outcome", "d_brier"]) + f""", plain as (
+    select win, band, count(distinct row_id) as n_markets, {', '.join(f'round(avg({c}), 6) as mean_{c}' for c in ('p_without', 'p_with', 'q', 'y', 'brier_without', 'brier_with', 'brier_market'))},
+           round((avg(brier_without) - avg(brier_with)) / nullif(avg(brier_without) - avg(brier_market), 0), 6) as gap_closed from duo where band is not null group by win, band
+) select plain.*, {_told(['move', 'toward_market', 'toward_outcome', 'd_brier'])} from plain join point using (win, band) join bounds using (win, band)""",
+    "news_sports_moves": _DUO + _weights("weights", "w") + _mean_ends("duo", "win, sports", ["abs_move", "d_brier"]) + _apart("duo", "win", "abs_move", "not sports") + f"""
+select win, sports, {_told(['abs_move', 'd_brier'])}, difference, low as difference_low, high as difference_high from point join bounds using (win, sports) left join whole_ using (win) left join apart using (win)""",
+    "news_toward_market": _DUO + _weights("weights", "w") + """, parted as (select *, unnest(case when split = 'test' then [model, 'pooled', 'pooled, test'] else [model, 'pooled'] end) as part from duo)""" + _mean_ends("parted", "win, part, kind", ["d_brier", "helped"]) + f"""
+select win, part, kind, {_told(['d_brier', 'helped'])} from point join bounds using (win, part, kind)""",
+    "news_toward_difference": _DUO + ", moved as (select * replace (m as model) from (select *, unnest([model, 'pooled']) as m from duo where kind <> 'no move'))" + _apart("moved", "win, model", "d_brier", "kind = 'toward'") + """
+select win, model, n_a, n_b, difference, low, high from whole_ join apart using (win, model)""",
+    "news_tails": _news("not is_ladder and not late_dateline and not end_date_revised") + _weights("weights", "w") + """, parted as (
+    select * replace (m as model), case when q < 0.05::double then 'low' when q > 0.95::double then 'high' else 'middle' end as tail from (select *, unnest([model, 'pooled']) as m from duo))""" + _mean_ends("parted", "win, tail, model", ["d_brier", "move", "p_with", "p_without"]) + f"""
+select win, tail, model, {_told(['d_brier', 'move', 'p_with', 'p_without'])} from point join bounds using (win, tail, model)""",
 }

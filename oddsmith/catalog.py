@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import replies, scores
 from oddsmith.functions.scores import r6
-from oddsmith.operators import exact, fits, gates, news, paths, permutation, recalibration, resampling, resolve, results, runs, scoring, splits, stacking, surfaces
+from oddsmith.operators import exact, fits, gated, gates, news, paths, permutation, recalibration, resampling, resolve, results, runs, scoring, splits, stacking, surfaces
 from oddsmith.plans.sql import ORACLE_SQL  # noqa: F401
 from oddsmith.sources import fixtures, runlog, shared
 from oddsmith.streaming import control, rates
@@ -629,3 +629,39 @@ def news_toward_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def news_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.tails(_final(spark, sf_dir))
+
+
+def _settled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Test rows in their views after quarantine and gate, with later prices, and the gate; buckets are those of the window's cuts."""
+    rows = _bucketed(spark, sf_dir)
+    gate = gates.gate(rows)
+    flags = gates.flags(gates.probe_forecasts(_final(spark, sf_dir)))
+    seen = scoring.with_views(scoring.traded(rows.where("split = 'test'")))
+    return gated.settled(_with_points(spark, sf_dir, seen), flags, gate), gate
+
+
+@query
+def gated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated.counts(*_settled(spark, sf_dir))
+
+
+@query
+def gated_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`gated_counts` with forecasts dealt anew beside it."""
+    return gated.main(*_settled(spark, sf_dir))
+
+
+@query
+def gated_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated.regions(*_settled(spark, sf_dir))
+
+
+@query
+def gated_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated.directions(_settled(spark, sf_dir)[0])
+
+
+@query
+def reporting_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = gates.flags(gates.probe_forecasts(_final(spark, sf_dir)))
+    return runs.reporting_line(_records(spark, sf_dir), fixtures.manifests(spark), flags)

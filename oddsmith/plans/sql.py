@@ -6,7 +6,7 @@ from oddsmith.functions import replies, scores
 from oddsmith.operators.resampling import DRAWS, thresholds
 from oddsmith.operators import resolve
 from oddsmith.operators.paths import MEASURES, MOVES
-from oddsmith.sources.fixtures import LINES, OPENINGS, ROSTER, RUNS, SPORTS
+from oddsmith.sources.fixtures import LINES, MANIFESTS, OPENINGS, ROSTER, RUNS, SPORTS
 
 
 def _hash(text: str, n: int = 8) -> str:
@@ -134,6 +134,7 @@ _RECORDS = _PLAIN_CALLS + f""", records as materialized (
            case when {_u("'at|' || call_id")} < 0.05 then 2 else 1 end as attempt, case when {_u("'tt|' || call_id")} < 0.1 then 2 else 1 end as transport_try,
            floor({_u("'ti|' || call_id")} * 1000)::bigint as tin, floor({_u("'to|' || call_id")} * 3000)::bigint as tout, floor({_u("'rt|' || call_id")} * 500)::bigint as reasoning,
            {_u("'fr|' || call_id")} < 0.04 as cut, {_u("'pw|' || call_id")} < 0.03 as warned, model = 'm3' and {_u("'pr|' || call_id")} < 0.01 as other_host,
+           case when {_u("'sm|' || call_id")} >= 0.02 then model || case when {_u("'sm|' || call_id")} < 0.5 then '-a' else '-b' end end as served,
            case when status = 'failed' then floor({_u("'er|' || call_id")} * 4)::int end as err, substr(model, 2)::int as num from calls
 )"""
 _FLAGGED = "abs(p - y) <= 0.1::double + 1e-9::double and abs(q - y) >= 0.3::double - 1e-9::double"
@@ -339,6 +340,16 @@ def _news(keep: str) -> str:
 
 _DUO = _news('"primary" and news_available and not late_dateline')
 
+_LATEST = ", latest as" + _CALLS.split(", latest as")[1]
+_GATED = _BUCKETED + _ECE + _CALLS[len(MOMENTS):] + _PATHS + _traded("bucketed") + f""", gated as materialized (
+    select *, not quarantined and verdict = 'pass' as admitted from (
+        select t.*, last_price, coalesce(f.flagged, false) as quarantined, coalesce(g.verdict, 'missing') as verdict
+        from (select * exclude (view), unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded where split = 'test') t
+        left join (select model, row_id, {_FLAGGED} as flagged from probes where p is not null) f using (model, row_id) left join gate g using (model, win, bucket) left join points using (row_id))
+)"""
+_GATED_APART = "admitted and abs(p - q) >= 0.1::double"
+
+
 ORACLE_SQL: dict[str, str] = {
     "bucket_scores": SCORED + _CUTS + _traded("scored") + f""", viewed as (
     select *, unnest(case when win = 'A' and live_book then ['A', 'A_live'] else [win] end) as view from traded
@@ -624,4 +635,26 @@ select win, model, n_a, n_b, difference, low, high from whole_ join apart using
     "news_tails": _news("not is_ladder and not late_dateline and not end_date_revised") + _weights("weights", "w") + """, parted as (
     select * replace (m as model), case when q < 0.05::double then 'low' when q > 0.95::double then 'high' else 'middle' end as tail from (select *, unnest([model, 'pooled']) as m from duo))""" + _mean_ends("parted", "win, tail, model", ["d_brier", "move", "p_with", "p_without"]) + f"""
 select win, tail, model, {_told(['d_brier', 'move', 'p_with', 'p_without'])} from point join bounds using (win, tail, model)""",
+    "gated_counts": _GATED + f""" select view, model, count(*) as n_test_rows, count(*) filter (quarantined) as n_quarantined, count(*) filter (not quarantined) as n_after_quarantine, count(*) filter (admitted) as n_admitted,
+    count(*) filter (not quarantined and not admitted) as n_shut, count(*) filter ({_GATED_APART}) as n_disagreements, count(*) filter ({_GATED_APART} and direction = 'with') as n_with,
+    count(*) filter ({_GATED_APART} and direction = 'against') as n_against, count(*) filter ({_GATED_APART} and last_price is null) as n_dropped, count(*) filter ({_GATED_APART} and last_price is not null) as n_rated,
+    count(*) filter ({_GATED_APART} and abs(last_price - p) <= abs(q - p) - 0.02::double) as n_drifted,
+    (select count(*) from gate g where g.verdict = 'pass' and g.model = gated.model and g.win = gated.win) as regions_pass, round(n_drifted::double / nullif(n_rated, 0), 6) as rate from gated group by view, win, model""",
+    "gated_regions": _GATED + """, places as (select distinct view, win, model, unnest([1, 2, 3, 4, 5]) as bucket from gated
+), filled as (select view, model, bucket, count(*) as n_rows, count(*) filter (admitted) as n_admitted from gated where not quarantined group by all)
+select view, model, bucket, coalesce(verdict, 'missing') as verdict, n as gate_n, round(e, 6) as gate_ece, coalesce(n_rows, 0) as n_rows, coalesce(n_admitted, 0) as n_admitted, coalesce(n_rows, 0) - coalesce(n_admitted, 0) as n_shut
+from places left join filled using (view, model, bucket) left join gate using (model, win, bucket)""",
+    "gated_directions": _GATED + f", left_ as materialized (select * from gated where {_GATED_APART})" + _intervals("left_", "view, model, direction"),
+    "reporting_line": _RECORDS + _LATEST + f""", kept as (
+    select r.*, template from records r join (values {', '.join(f"('{r}', '{t}', {v})" for (r, _, v), (_, t, _) in zip(RUNS, MANIFESTS, strict=True))}) m(run_id, template, void) using (run_id) where final = 1 and mode = 'normal' and void = 0
+), ends_ as (select run_id, model, win, template, row_id, arg_max(status, (called_at, call_id)) as status, arg_max(p, (called_at, call_id)) as p from kept group by all
+), rows_ as (
+    select run_id, model, win, template, count(*) as rows_logged, count(*) filter (status = 'excluded_by_benchmark_flag') as rows_skipped, count(*) filter (status <> 'excluded_by_benchmark_flag') as rows_in_play,
+           count(*) filter (status = 'failed') as rows_failed, count(*) filter (status = 'ok' and p is not null) as rows_scored from ends_ group by all
+), thought as (select run_id, model, win, floor(median(reasoning))::bigint as thinking_median, count(*) as thinking_n from kept where status = 'ok' group by all
+), served_ as (select run_id, model, win, served as served_model from (select run_id, model, win, served, count(*) as k from kept group by all) qualify row_number() over (partition by run_id, model, win order by k desc, served) = 1
+), held as (select model, win, count(*) as k from probes where p is not null and {_FLAGGED} group by all)
+select run_id, model, win, rows_logged, rows_skipped, rows_in_play, rows_failed, rows_scored, thinking_median, coalesce(thinking_n, 0) as thinking_n, served_model, coalesce(k, 0) as rows_quarantined, false as release_check_off,
+       round(rows_failed / greatest(1, rows_in_play)::double, 6) as failed_share, rows_failed / greatest(1, rows_in_play)::double > 0.05 as incomplete, model || '@' || template as forecaster
+from rows_ left join thought using (run_id, model, win) left join served_ using (run_id, model, win) left join held using (model, win)""",
 }

@@ -185,6 +185,7 @@ def log_lines(rows: DataFrame) -> DataFrame:
     fields |= {"attempt": F.when(u("at") < 0.05, 2).otherwise(1), "transport_try": F.when(u("tt") < 0.1, 2).otherwise(1), "finish_reason": F.when(u("fr") < 0.04, "length").otherwise("stop")}
     fields |= {"cost_usd": calls_of.cost(*tokens.values(), number * 1.0, number * 4.0), "error_type": pick(0), "error_status": pick(1), "error": pick(2)}
     fields |= {"provider": F.when((F.col("model") == "m3") & (u("pr") < 0.01), "host2").otherwise("host1"), "parse_warning": F.when(u("pw") < 0.03, F.array(F.lit("extreme"))).otherwise(F.array().cast("array<string>"))}
+    fields |= {"served_model": F.when(u("sm") >= 0.02, F.concat("model", F.when(u("sm") < 0.5, "-a").otherwise("-b")))}
     fields |= {"adapter_raw": F.struct(F.floor(u("rt") * 500).alias("reasoning_tokens_used"))}
     return rows.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
 

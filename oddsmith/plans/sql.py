@@ -6,7 +6,7 @@ from oddsmith.functions import replies, scores
 from oddsmith.operators.resampling import DRAWS, thresholds
 from oddsmith.operators import resolve
 from oddsmith.operators.paths import MEASURES, MOVES
-from oddsmith.sources.fixtures import LINES, MANIFESTS, OPENINGS, ROSTER, RUNS, SPORTS
+from oddsmith.sources.fixtures import LINES, MANIFESTS, OPENINGS, RECALLED, ROSTER, RUNS, SPORTS
 
 
 def _hash(text: str, n: int = 8) -> str:
@@ -110,6 +110,8 @@ def _weights(name: str, label: str) -> str:
 )"""
 
 
+_SAID = f"""case when status = 'ok' then case when mode = 'memory_probe' and {_u("'mem|' || " + _OF)} < {RECALLED} then case when y = 1 then 0.97::double else 0.03::double end
+           else least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * (noise - 0.5))) end end"""
 _CALLS = MOMENTS + f""", each as (
     select m.*, model, a, b, mode, k from moments m join (values {_ROSTER}) r(model, a, b, on_a) on on_a or win <> 'A',
            (select unnest(['normal', 'memory_probe']) as mode), (select unnest([0, 1, 2]) as k)
@@ -120,7 +122,7 @@ _CALLS = MOMENTS + f""", each as (
            case when mode = 'normal' and k = 0 then {_u("model || '|' || row_id::varchar")} else {_u("'p|' || k::varchar || '|' || " + _OF)} end as noise from each
     where (mode = 'normal' or (news_available and {_u("'pm|' || " + _OF)} < 0.8)) and (k = 0 or (k = 1 and {_u("'c|' || " + _OF)} < 0.2) or (k = 2 and {_u("'v|' || " + _OF)} < 0.1))
 ), latest as materialized (
-    select c.*, started_at, case when status = 'ok' then least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * (noise - 0.5))) end as p
+    select c.*, started_at, {_SAID} as p
     from calls c join (values {_RUNS}) r(run_id, started_at, void) using (run_id) where final = 1 and void = 0
     qualify row_number() over (partition by model, mode, row_id order by called_at desc, started_at desc, call_id desc) = 1
 ), probes as (
@@ -130,7 +132,7 @@ _CALLS = MOMENTS + f""", each as (
 _PLAIN_CALLS = _CALLS.split(", latest as")[0]
 _RECORDS = _PLAIN_CALLS + f""", records as materialized (
     select run_id, call_id, row_id, model, mode, win, called_at, status, final,
-           case when status = 'ok' then least(0.99::double, greatest(0.01::double, a + b * q + 0.3::double * (noise - 0.5))) end as p,
+           {_SAID} as p,
            case when {_u("'at|' || call_id")} < 0.05 then 2 else 1 end as attempt, case when {_u("'tt|' || call_id")} < 0.1 then 2 else 1 end as transport_try,
            floor({_u("'ti|' || call_id")} * 1000)::bigint as tin, floor({_u("'to|' || call_id")} * 3000)::bigint as tout, floor({_u("'rt|' || call_id")} * 500)::bigint as reasoning,
            {_u("'fr|' || call_id")} < 0.04 as cut, {_u("'pw|' || call_id")} < 0.03 as warned, model = 'm3' and {_u("'pr|' || call_id")} < 0.01 as other_host,

@@ -17,6 +17,8 @@ SPORTS = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 #: run, when it started (ISO), whether it is void
 RUNS = [("run1", "2026-01-01", 0), ("run2", "2026-02-01", 0), ("run3", "2026-03-01", 1)]
 
+#: Share of memory probes that know the outcome.
+RECALLED = 0.03
 #: type, status and message of the errors of failed calls
 ERRORS = [("RateLimitError", 429, "model is temporarily rate-limited upstream"), ("NotFoundError", 404, "no such model"), ("APIError", None, "Read timeout"), ("APIError", 400, "could not finish the message because max_tokens was reached")]
 #: run, template hash, temperature
@@ -120,7 +122,9 @@ def calls(rows: DataFrame) -> DataFrame:
         "final": ((F.col("k") > 0) | (uniform("g", *of) >= 0.05)).cast("int"),
     })
     noise = F.when((F.col("mode") == "normal") & (F.col("k") == 0), uniform(F.col("model"), F.col("row_id"))).otherwise(uniform("p", F.col("k"), *of))
-    return each.withColumn("p", F.when(F.col("status") == "ok", _p(noise))).drop("a", "b", "on_a", "k")
+    recalled = (F.col("mode") == "memory_probe") & (uniform("mem", *of) < RECALLED)
+    p = F.when(recalled, F.when(F.col("y") == 1, 0.97).otherwise(0.03)).otherwise(_p(noise))
+    return each.withColumn("p", F.when(F.col("status") == "ok", p)).drop("a", "b", "on_a", "k")
 
 
 def moment_key(row: Column) -> Column:

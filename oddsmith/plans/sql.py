@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from oddsmith.functions import replies, scores
+from oddsmith.functions import calls, replies, scores
 from oddsmith.operators.resampling import DRAWS, thresholds
 from oddsmith.operators import resolve
 from oddsmith.operators.paths import MEASURES, MOVES
-from oddsmith.sources.fixtures import LINES, MANIFESTS, OPENINGS, RECALLED, ROSTER, RUNS, SPORTS
+from oddsmith.sources.fixtures import ERRORS, LINES, MANIFESTS, OPENINGS, RECALLED, ROSTER, RUNS, SPORTS
 
 
 def _hash(text: str, n: int = 8) -> str:
@@ -130,14 +130,20 @@ _CALLS = MOMENTS + f""", each as (
     select *, 'normal_stand_in' from latest n where mode = 'normal' and not exists (select 1 from latest p where p.mode = 'memory_probe' and p.model = n.model and p.row_id = n.row_id)
 )"""
 _PLAIN_CALLS = _CALLS.split(", latest as")[0]
+
+def _literal(value: str | int | None) -> str:
+    return "null" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+_MANIFESTS = ", ".join(f"('{r}', {v}, '{t}', {x}, '{d}', {n})" for (r, _, v), (_, t, x, d, n) in zip(RUNS, MANIFESTS, strict=True))
 _RECORDS = _PLAIN_CALLS + f""", records as materialized (
     select run_id, call_id, row_id, model, mode, win, called_at, status, final,
            {_SAID} as p,
            case when {_u("'at|' || call_id")} < 0.05 then 2 else 1 end as attempt, case when {_u("'tt|' || call_id")} < 0.1 then 2 else 1 end as transport_try,
            floor({_u("'ti|' || call_id")} * 1000)::bigint as tin, floor({_u("'to|' || call_id")} * 3000)::bigint as tout, floor({_u("'rt|' || call_id")} * 500)::bigint as reasoning,
-           {_u("'fr|' || call_id")} < 0.04 as cut, {_u("'pw|' || call_id")} < 0.03 as warned, model = 'm3' and {_u("'pr|' || call_id")} < 0.01 as other_host,
+           {_u("'fr|' || call_id")} < 0.04 as cut, {_u("'pw|' || call_id")} as pw, {_u("'pw|' || call_id")} <= 0.06 as warned, model = 'm3' and {_u("'pr|' || call_id")} < 0.01 as other_host,
            case when {_u("'sm|' || call_id")} >= 0.02 then model || case when {_u("'sm|' || call_id")} < 0.5 then '-a' else '-b' end end as served,
-           case when status = 'failed' then floor({_u("'er|' || call_id")} * 4)::int end as err, substr(model, 2)::int as num from calls
+           case when status = 'failed' then floor({_u("'er|' || call_id")} * {len(ERRORS)})::int end as err, substr(model, 2)::int as num from calls
 )"""
 _FLAGGED = "abs(p - y) <= 0.1::double + 1e-9::double and abs(q - y) >= 0.3::double - 1e-9::double"
 _ECE = """, vals as (
@@ -598,13 +604,18 @@ select user_id, count(*) as n_pauses, floor(sum(len) / 1000000)::bigint as secon
          sum(calls)::bigint as model_calls, sum(retries)::bigint as retries, sum(strict)::bigint as strict, sum(tin)::bigint as input_tokens, sum(tout)::bigint as output_tokens, sum(reasoning)::bigint as reasoning_tokens,
          round(sum(cost), 6) as cost_usd, not bool_or(other) or bool_and(only_other) as host_pin_ok, round(avg(p), 6) as p_mean, round(min(p), 6) as p_min, round(max(p), 6) as p_max,
          round(count(*) filter (last = 'failed') / greatest(1, count(*) filter (last <> 'excluded_by_benchmark_flag'))::double, 6) as failed_share from per group by all""",
-    "call_errors": _RECORDS + """select run_id, ['RateLimitError', 'NotFoundError', 'APIError', 'APIError'][err + 1] as error_type, ['transient', 'permanent', 'transient', 'permanent'][err + 1] as kind,
-         err = 3 as output_limit, err = 2 as connection, count(*) as n from records where err is not null group by all""",
-    "parse_warnings": _RECORDS + """select run_id, model, 'extreme' as warning, count(*) as n from records where warned and final = 1 group by all""",
-    "run_guard": _RECORDS + """, fed as (select distinct model, mode, win, run_id from records where run_id <> 'run3')
-select model, mode, win, count(*) as n_runs, true as template_hash, false as db_sha256, false as settings from fed group by all having count(*) = 2""",
-    "run_recount": _RECORDS + """, l as (select distinct run_id, model, mode, row_id from records where final = 1)
-select run_id, 10::bigint as n_manifest, count(*) as n_log from l group by all having count(*) <> 10""",
+    "call_errors": _RECORDS + f""", told(err, error_type, status_, message) as (values {', '.join(f"({i}, {_literal(t)}, {_literal(c)}, {_literal(m)})" for i, (t, c, m) in enumerate(ERRORS))})
+select run_id, error_type, case when regexp_matches(message, '{calls.RATE_LIMITED}') then 'transient' when error_type in {tuple(calls.TRANSIENT_TYPES)} then 'transient' when error_type in {tuple(calls.PERMANENT_TYPES)} then 'permanent'
+       when status_ in {tuple(calls.TRANSIENT_STATUS)} then 'transient' when status_ in {tuple(calls.PERMANENT_STATUS)} then 'permanent' when regexp_matches(message, '{calls.PERMANENT_WORDS}') then 'permanent' else 'transient' end as kind,
+       regexp_matches(message, '{calls.OUTPUT_LIMIT}') as output_limit, not coalesce(status_ between 400 and 499, false) and regexp_matches(message, '{calls.CONNECTION}') as connection, count(*) as n
+from records join told using (err) group by all""",
+    "parse_warnings": _RECORDS + """select run_id, model, warning, count(*) as n from (
+    select run_id, model, unnest([case when pw < 0.03::double then 'extreme' end, case when pw between 0.02::double and 0.06::double then 'percent_form' end]) as warning from records where final = 1) where warning is not null group by all""",
+    "run_guard": _RECORDS + f""", manifests(run_id, void, template, temperature, db, done) as (values {_MANIFESTS}), fed as (select distinct model, mode, win, run_id, template, temperature, db from records join manifests using (run_id) where void = 0)
+select model, mode, win, count(*) as n_runs, count(distinct template) > 1 as template_hash, count(distinct db) > 1 as db_sha256, count(distinct temperature) > 1 as settings from fed
+group by model, mode, win having count(distinct template) > 1 or count(distinct db) > 1 or count(distinct temperature) > 1""",
+    "run_recount": _RECORDS + f""", manifests(run_id, void, template, temperature, db, done) as (values {_MANIFESTS}), l as (select run_id, count(*) as n from (select distinct run_id, model, mode, row_id from records where final = 1) group by all)
+select run_id, done::bigint as n_manifest, coalesce(n, 0) as n_log from manifests left join l using (run_id) where done <> coalesce(n, 0)""",
     "news_placebo": _CALLS + """, both_modes as (
     select win, model, row_id, max(p) filter (mode = 'memory_probe') as p0, max(p) filter (mode = 'normal') as p1, first(q) as q, first(y) as y from latest where news_available group by win, model, row_id
 ), moved as (select *, abs(p1 - p0) as d from both_modes where abs(p1 - p0) >= 0.02::double
@@ -648,7 +659,7 @@ select view, model, bucket, coalesce(verdict, 'missing') as verdict, n as gate_n
 from places left join filled using (view, model, bucket) left join gate using (model, win, bucket)""",
     "gated_directions": _GATED + f", left_ as materialized (select * from gated where {_GATED_APART})" + _intervals("left_", "view, model, direction"),
     "reporting_line": _RECORDS + _LATEST + f""", kept as (
-    select r.*, template from records r join (values {', '.join(f"('{r}', '{t}', {v})" for (r, _, v), (_, t, _) in zip(RUNS, MANIFESTS, strict=True))}) m(run_id, template, void) using (run_id) where final = 1 and mode = 'normal' and void = 0
+    select r.*, template from records r join (values {', '.join(f"('{r}', '{t}', {v})" for (r, _, v), (_, t, *_) in zip(RUNS, MANIFESTS, strict=True))}) m(run_id, template, void) using (run_id) where final = 1 and mode = 'normal' and void = 0
 ), ends_ as (select run_id, model, win, template, row_id, arg_max(status, (called_at, call_id)) as status, arg_max(p, (called_at, call_id)) as p from kept group by all
 ), rows_ as (
     select run_id, model, win, template, count(*) as rows_logged, count(*) filter (status = 'excluded_by_benchmark_flag') as rows_skipped, count(*) filter (status <> 'excluded_by_benchmark_flag') as rows_in_play,

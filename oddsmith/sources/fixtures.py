@@ -20,9 +20,13 @@ RUNS = [("run1", "2026-01-01", 0), ("run2", "2026-02-01", 0), ("run3", "2026-03-
 #: Share of memory probes that know the outcome.
 RECALLED = 0.03
 #: type, status and message of the errors of failed calls
-ERRORS = [("RateLimitError", 429, "model is temporarily rate-limited upstream"), ("NotFoundError", 404, "no such model"), ("APIError", None, "Read timeout"), ("APIError", 400, "could not finish the message because max_tokens was reached")]
-#: run, template hash, temperature
-MANIFESTS = [("run1", "t1", 0.5), ("run2", "t2", 0.5), ("run3", "t1", 0.5)]
+ERRORS = [
+    ("RateLimitError", 429, "model is temporarily rate-limited upstream"), ("NotFoundError", 404, "no such model"), ("APIError", None, "Read timeout"),
+    ("APIError", 400, "could not finish the message because max_tokens was reached"), ("NotFoundError", 404, "Temporarily rate-limited, try later"), ("APIConnectionError", None, "Connection reset by peer"),
+    (None, 503, "upstream said no"), (None, None, "this model is gated"), ("OddError", 418, "timed out"), ("OddError", None, "nothing is known"), ("BudgetExceededError", 500, "cap"),
+]
+#: run, template hash, temperature, digest of the benchmark, rows that the run says it did
+MANIFESTS = [("run1", "t1", 0.5, "d1", 10), ("run2", "t2", 0.7, "d1", 0), ("run3", "t1", 0.5, "d2", 10)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -188,7 +192,7 @@ def log_lines(rows: DataFrame) -> DataFrame:
     fields = {**{c: F.col(c) for c in ("run_id", "call_id", "row_id", "model", "mode", "win", "called_at", "status", "final")}, "parsed_probability": F.col("p"), **tokens}
     fields |= {"attempt": F.when(u("at") < 0.05, 2).otherwise(1), "transport_try": F.when(u("tt") < 0.1, 2).otherwise(1), "finish_reason": F.when(u("fr") < 0.04, "length").otherwise("stop")}
     fields |= {"cost_usd": calls_of.cost(*tokens.values(), number * 1.0, number * 4.0), "error_type": pick(0), "error_status": pick(1), "error": pick(2)}
-    fields |= {"provider": F.when((F.col("model") == "m3") & (u("pr") < 0.01), "host2").otherwise("host1"), "parse_warning": F.when(u("pw") < 0.03, F.array(F.lit("extreme"))).otherwise(F.array().cast("array<string>"))}
+    fields |= {"provider": F.when((F.col("model") == "m3") & (u("pr") < 0.01), "host2").otherwise("host1"), "parse_warning": F.array_compact(F.array(F.when(u("pw") < 0.03, "extreme"), F.when(u("pw").between(0.02, 0.06), "percent_form")))}
     fields |= {"served_model": F.when(u("sm") >= 0.02, F.concat("model", F.when(u("sm") < 0.5, "-a").otherwise("-b")))}
     fields |= {"adapter_raw": F.struct(F.floor(u("rt") * 500).alias("reasoning_tokens_used"))}
     return rows.select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
@@ -196,5 +200,5 @@ def log_lines(rows: DataFrame) -> DataFrame:
 
 def manifests(spark: SparkSession) -> DataFrame:
     """Manifests of the runs with their JSON text."""
-    rows = [(r, bool(v), t, "d", 10, f'{{"settings": {{"temperature": {x}, "extra_body": {{"reasoning": {{"max_tokens": 1024}}}}}}}}') for (r, _, v), (_, t, x) in zip(RUNS, MANIFESTS, strict=True)]
+    rows = [(r, bool(v), t, d, n, f'{{"settings": {{"temperature": {x}, "extra_body": {{"reasoning": {{"max_tokens": 1024}}}}}}}}') for (r, _, v), (_, t, x, d, n) in zip(RUNS, MANIFESTS, strict=True)]
     return spark.createDataFrame(rows, "run_id string, void boolean, template_hash string, db_sha256 string, rows_done bigint, manifest string")

@@ -7,9 +7,11 @@ exactly if its tally of shared positional bytes reaches four.  Candidates are ve
 A list is not expanded into pairs: a search from one member to all that it reaches yields at most one link per member,
 which joins the same members as all pairs would.  Equal fingerprints are one entry, so copies cost nothing.
 
-The corpus stage (:func:`keep_one`) is another job: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more are
-copies.  Majority bits of such texts differ in about 15 of 100, more than one bit a byte, so no radius that covers them
-guarantees a shared byte at any width; candidates come from bands of least hashes instead, and each is verified.
+The corpus stage (:func:`keep_one`) calls texts copies whose distinct 5-word shingles have a Jaccard similarity of 0.8 or more.
+It takes the same steps first: prints of those shingles, index, count filter, Hamming distance, then the real similarity, and
+components.  Majority bits of texts at 0.8 differ in about 15 of 100, more than one bit a byte, so no radius that covers them
+all guarantees a shared byte at any width; for the links that lie beyond the radius, bands of least hashes give further
+candidates between groups that the prints have not joined, and each is verified.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; one with
 fewer words than a shingle has is one shingle; a null ``doc_id`` takes part, and is a component's id only if it has no
@@ -47,6 +49,15 @@ _FACTORS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint3
 _TERMS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if more than half of the hashes have it; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        part = hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """Bit i is set if more than half of the shingles' hashes have it."""
     words = text.lower().split()
@@ -59,11 +70,7 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     to = ends[min(width, len(words)) - 1 :]
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:count].tolist(), to.tolist(), strict=True)), np.uint64, count)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, count, 1 << 14):
-        part = hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view(np.int64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -198,14 +205,15 @@ def _band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add ``_node`` (a hash of the shingles) and ``_keys`` to the rows."""
+    """Add ``_node`` (a hash of the shingles), ``_fp`` (their print) and ``_keys`` to the rows."""
     for b in batches:
-        nodes, keys = [], []
+        nodes, prints, keys = [], [], []
         for t in b.column("text").cast(pa.binary()):
             found = shingles(t.as_py() or b"")
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
+            prints.append(majority(found))
             keys.append(_band_keys(found).tobytes())
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], [*b.schema.names, "_node", "_keys"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.binary())], [*b.schema.names, "_node", "_fp", "_keys"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,36 +373,50 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("_node"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (columns ``node`` and ``fp``) that join what prints at most ``RADIUS`` bits apart would join.
+
+    The least node of a print stands for it in the links between prints, and is paired with the print's other nodes.
+    """
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    one, two = firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    between = links(firsts).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(within)
+
+
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): the rows with ``_row`` and ``_node``, and (node, root) of the nodes that have near copies.
 
-    Equal sets of shingles are one node.  Nodes that share a band are candidates; the links are those whose real Jaccard
-    similarity is high enough.  A pair is left untested only if links found before already put both in one group: first
-    each list's least member is tested with the rest, then a few more, then all.  In that last round the lists of up to
+    Equal sets of shingles are one node.  Nodes whose prints are near are candidates, and so are nodes that share a band; the
+    links are those whose real Jaccard similarity is high enough.  The prints' links come first.  A pair of a band is left
+    untested only if links found before already put both in one group: first each list's least member is tested with the rest, then a few more, then all.  In that last round the lists of up to
     ``PAIRED`` members become pairs, which meet their sets by two joins; of longer ones, blocks of members meet, so a set
     travels once for each block instead of once for each pair.
     """
     spark = docs.sparkSession
-    schema = StructType([*docs.schema.fields, StructField("_row", LongType()), StructField("_node", LongType()), StructField("_keys", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField("_row", LongType()), StructField("_node", LongType()), StructField("_fp", LongType()), StructField("_keys", BinaryType())])
     rows = store(docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(giving_back(_marked), schema), "marked")
     nodes = rows.groupBy("_node").agg(F.first("_keys").alias("_keys"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = nodes.select("_node", "_keys").mapInArrow(giving_back(_banded), "key long, node long")
     lists = store(listed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(giving_back(_shared), "key long, node long"), "lists")
-    asked = lists.select(F.col("node").alias("_node")).distinct()
+    near = store(near_prints(rows.select(F.col("_node").alias("node"), F.col("_fp").alias("fp")).distinct()), "near-prints")
+    asked = lists.select(F.col("node").alias("_node")).union(near.select("a")).union(near.select("b")).distinct()
     firsts = rows.groupBy("_node").agg(F.min("_row").alias("_row")).join(asked, "_node", "left_semi").select("_row")
     sets = store(rows.select("_row", "_node", "text").join(firsts, "_row", "left_semi").select("_node", "text").mapInArrow(giving_back(_sets), "node long, set binary"), "sets")
-    edges = roots = None
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        return store(sides.select("a", "b", "x", "y").mapInArrow(giving_back(_similar), "a long, b long"), "links")
+
+    edges = similar(near)
+    roots = components(edges)
     for since, upto in ((0, 1), (1, 8), (8, None)):
-        if roots is None:
-            placed = lists.withColumn("root", F.col("node"))
-        else:
-            placed = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        placed = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         dealt = placed.repartition(n, "key").sortWithinPartitions("key", "node")
         pairs = store(dealt.mapInArrow(giving_back(_candidates(since, upto)), "a long, b long").distinct(), "candidates")
-        sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        found = store(sides.select("a", "b", "x", "y").mapInArrow(giving_back(_similar), "a long, b long"), "links")
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(similar(pairs))
         if upto is None:
             sized = placed.join(sets.select("node", (F.length("set") / 8).cast("long").alias("size")), "node").select("key", "node", "root", "size")
             units = sized.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(giving_back(_blocks), "unit long, second boolean, node long, root long")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, store
+from .common import discard, freeing_shuffles, partitions, store
 
 #: Words that move in rounds; all others move once, after them.
 LISTED = 1 << 16
@@ -434,7 +434,8 @@ def _class_counts(spark: SparkSession, learn: DataFrame, classes: np.ndarray) ->
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    model, final = train(docs)
+    with freeing_shuffles(docs.sparkSession):
+        model, final = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model.tables())
     floor, smooth = math.log10(model.n + SMOOTH * (model.v + 1)), SMOOTH
 

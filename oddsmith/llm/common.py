@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +74,21 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, shuffle files go when the query that wrote them ends, not when the driver collects its garbage.
+
+    For frames that are made and run once in it: another run of the same frame would shuffle anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def set_aside(df: DataFrame, used: list[str]) -> DataFrame:
     """The frame with columns that are only carried along named by place, so that none clashes; ``toDF`` names them back."""
     return df.toDF(*[c if c in used else f"_{i}" for i, c in enumerate(df.columns)])

@@ -2,7 +2,8 @@
 
 Token-position rows join the merge table; in every round each word's leftmost pair of least rank is contracted, until
 no word has a pair left.  Ordered aggregation puts a word's tokens, and the bytes they stand for, together.  Texts are
-split by the tokenizer's pattern, and every distinct piece of a partition is encoded once.
+split by the tokenizer's pattern, and every distinct piece of a partition is encoded once.  Rows leave a task some texts at a
+time, and when it ends its database and the pieces it remembers go: Spark keeps workers, and the next stage needs their memory.
 
 A piece of more than ``LONG`` bytes is encoded as overlapping chunks, all in the same rounds.  Two chunks are joined at a token
 that both have at the same place, so every two neighbours of the result are neighbours in the encoding of some chunk; a
@@ -27,8 +28,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import giving_back
+
 #: Rows of token positions that one recursive query starts from, most rounds it runs, rows that its rounds keep
-#: together, and pieces that a worker remembers.
+#: together, and pieces that a task remembers.
 ROWS_PER_QUERY = 150_000
 ROUNDS_PER_QUERY = 64
 ROWS_KEPT = 2_500_000
@@ -64,26 +67,36 @@ from rounds join (select w, max(round) as round from rounds group by w) using (w
 
 
 class Tokenizer:
-    """A rank table in DuckDB, and the pieces encoded so far."""
+    """A rank table, in DuckDB between :meth:`open` and :meth:`close`, and the pieces encoded meanwhile."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         merges = [
             ((ranks[b[:i]] << 20) + ranks[b[i:]], rank) for b, rank in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks
         ]
         merges = pa.table({"pair": pa.array([m[0] for m in merges], pa.int64()), "merged": pa.array([m[1] for m in merges], pa.int64())})
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": [b.decode("latin-1") for b in ranks]})
-        for name, table in (("merges", merges), ("vocab", vocab)):
-            self.db.register("given", table)
-            self.db.execute(f"create table {name} as select * from given")
-            self.db.unregister("given")
+        self.tables = {"merges": merges, "vocab": vocab}
+        self.db: duckdb.DuckDBPyConnection | None = None
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(b) for b in ranks]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.runs: dict[str, tuple[bytes, bytes]] = {}
 
+    def open(self) -> None:
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        for name, table in self.tables.items():
+            self.db.register("given", table)
+            self.db.execute(f"create table {name} as select * from given")
+            self.db.unregister("given")
+
+    def close(self) -> None:
+        """Forget the pieces and give back what the database holds."""
+        self.pieces, self.runs = {}, {}
+        self.db.close()
+        self.db = None
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are new."""
         if len(self.pieces) > REMEMBERED:
@@ -233,37 +246,38 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return _TOKENIZERS[path, pattern]
 
 
-def _portions(texts: list[str | None]) -> Iterator[list[str]]:
-    part: list[str] = []
-    chars = 0
-    for t in texts:
-        part.append(t or "")
-        chars += len(part[-1])
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some texts at a time."""
+    start, chars = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 1):
+        chars += n
         if chars >= CHARS_PER_CALL:
-            yield part
-            part, chars = [], 0
-    if part:
-        yield part
+            yield batch.slice(start, k - start)
+            start, chars = k, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, names: list[str], types: list[pa.DataType], row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
+        bpe.open()
         gc.disable()  # nothing here makes cycles, and each pass over the remembered pieces is long
         try:
             yield from encoded(bpe, batches)
         finally:
             gc.enable()
+            bpe.close()
 
     def encoded(bpe: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [row(*x) for texts in _portions(b.column("text").to_pylist()) for x in bpe.encode(texts)]
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], ["doc_id", *names])
+            for part in _portions(b):
+                rows = [row(*x) for x in bpe.encode([t or "" for t in part.column("text").to_pylist()])]
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {_SQL[t]}" for n, t in zip(names, types, strict=True)))
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, " + ", ".join(f"{n} {_SQL[t]}" for n, t in zip(names, types, strict=True)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -85,7 +85,7 @@ class Tokenizer:
         self.runs: dict[str, tuple[bytes, bytes]] = {}
 
     def open(self) -> None:
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "allocator_flush_threshold": "1MB"})  # else its allocator keeps what queries free
         for name, table in self.tables.items():
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")

@@ -28,7 +28,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digests(read_table(spark, sf_dir, "documents"))
+    return suffix.digests(read_table(spark, sf_dir, "documents"), passage=suffix.PASSAGE)
 
 
 def op4_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,14 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back, partitions, store, text_of
+from .common import discard, freeing_shuffles, giving_back, partitions, store, text_of
 
 LENGTH = 400
 #: For the pipeline: no passage of over 50 words of ordinary prose is shorter.
@@ -106,7 +106,7 @@ ROW = "anchor long, key binary, place long, first long, last long, seen boolean,
 
 
 def _cut(length: int):
-    """(anchor, kind, key, place, first, last) of every stretch."""
+    """(anchor, kind, key, place, first, last) of every stretch; of texts with ``within``, of these parts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -119,17 +119,20 @@ def _cut(length: int):
             return pa.RecordBatch.from_arrays(arrays, ["anchor", "kind", "key", "place", "first", "last"])
 
         for b in batches:
-            for key, value in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+            limits = b.column("within").to_pylist() if "within" in b.schema.names else [None] * len(b)
+            for key, value, within in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()), limits, strict=True):
                 text = value.as_py()
-                for whole in stretches(text, length):
-                    for k in range(0, len(whole[0]), 20_000):  # a run of one byte has a stretch for each
-                        part = tuple(x[k : k + 20_000] for x in whole)
-                        parts.append(part)
-                        keys += [key] * len(part[0])
-                        kinds += [_digest(text[a : z + length]) for a, z in zip(part[2].tolist(), part[3].tolist(), strict=True)]
-                        if len(keys) > 20_000:
-                            yield out()
-                            parts, keys, kinds = [], [], []
+                for start, end in [(0, len(text))] if within is None else [(w["start"], w["end"]) for w in within]:
+                    for anchor, *places in stretches(text[start:end], length):
+                        whole = (anchor, *[start + x for x in places])
+                        for k in range(0, len(anchor), 20_000):  # a run of one byte has a stretch for each
+                            part = tuple(x[k : k + 20_000] for x in whole)
+                            parts.append(part)
+                            keys += [key] * len(part[0])
+                            kinds += [_digest(text[a : z + length]) for a, z in zip(part[2].tolist(), part[3].tolist(), strict=True)]
+                            if len(keys) > 20_000:
+                                yield out()
+                                parts, keys, kinds = [], [], []
         if keys:
             yield out()
 
@@ -318,30 +321,41 @@ def _key() -> Column:
     return F.unhex(F.substring(F.sha2(text_of().cast("binary"), 256), 1, 32))
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, start, end): spans of repeated bytes of each distinct text, unmerged; ``key`` is the text's digest."""
+def spans(docs: DataFrame, length: int = LENGTH, within: str | None = None, made: list[DataFrame] | None = None) -> DataFrame:
+    """(key, start, end): spans of repeated bytes of each distinct text, unmerged; ``key`` is the text's digest.
+
+    ``within`` names a column with the parts (start, end) of a text that are looked at, the same for equal texts.  The
+    tables that the result is read from are added to ``made``.
+    """
     spark = docs.sparkSession
-    texts = docs.select(_key().alias("key"), text_of().alias("text"))
+    made = [] if made is None else made
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(store(df, name))
+        return made[-1]
+
+    texts = docs.select(_key().alias("key"), text_of().alias("text"), *([F.col(within).alias("within")] if within else []))
     cut = store(texts.mapInArrow(_cut(length), "anchor long, kind binary, key binary, place long, first long, last long"), "stretches")
     anchors = cut.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
-    shared = store(cut.join(anchors, "anchor"), "shared")
-    found, rows = _settle(shared, length)
+    shared = kept(cut.join(anchors, "anchor"), "shared")
+    discard(cut)
+    found, rows = _settle(shared, length, kept)
     ids = docs.select("doc_id", _key().alias("key")).groupBy("key").agg(F.min("doc_id").alias("_one"))
     asked = rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "first", "last", "seen", "many")).alias("asked")).join(ids, "key")
     source = docs.select("doc_id", text_of().alias("text"), _key().alias("_key"))
     joined = source.join(asked, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("_one")))
     many = rows.where("many").select("anchor").distinct()
-    taken = store(joined.select("key", "text", "asked").mapInArrow(_taken(length), ROW), "taken")
+    taken = kept(joined.select("key", "text", "asked").mapInArrow(_taken(length), ROW), "taken")
     hot = many.limit(1).count() > 0
     compare = [taken.join(many, "anchor", "left_anti") if hot else taken]
     todo = taken.join(many, "anchor", "left_semi") if hot else None
     cell = 1 << (length - GRAM - 1).bit_length() - 1  # no more than a stretch can have
     while todo is not None:
-        halves = store(todo.mapInArrow(_divided(cell, length), ROW + ", kind binary"), "cells")
+        halves = kept(todo.mapInArrow(_divided(cell, length), ROW + ", kind binary"), "cells")
         cell //= 2
-        more, rest = _settle(halves, length, ["bytes"])
+        more, rest = _settle(halves, length, kept, ["bytes"])
         found = found.unionByName(more)
-        rest = store(rest, "kinds")
+        rest = kept(rest, "kinds")
         compare.append(rest.where("not many").select(*taken.columns))
         todo = rest.where("many").select(*taken.columns)
         if not todo.limit(1).count():
@@ -353,11 +367,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.unionByName(dealt.mapInArrow(_compared(length), "key binary, start long, end long"))
 
 
-def _settle(stretched: DataFrame, length: int, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _settle(stretched: DataFrame, length: int, kept: Callable[[DataFrame, str], DataFrame], extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Spans of the stretches that are equal as a whole, and one row of each kind that must still be compared."""
     at = ["key", "place", "first", "last", *(extra or [])]
     kinds = stretched.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct(*at)).alias("one"))
-    kinds = store(kinds, "kinds")
+    kinds = kept(kinds, "kinds")
     whole = stretched.select("anchor", "kind", "key", "first", "last").join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"])
     found = whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     per = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds"), F.count_if(F.col("n") == 1).alias("_unseen"))
@@ -384,29 +398,69 @@ def kept_bytes(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _with_spans(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, columns: list[str], length: int, within: str | None = None, made: list[DataFrame] | None = None) -> DataFrame:
     """The documents' columns, as ``_given``, with the text (null as empty) in ``_text`` and its spans, if any, in ``_spans``."""
-    per_text = spans(docs, length).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    per_text = spans(docs, length, within, made).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_given"), text_of().alias("_text"), _key().alias("_key"))
     return keyed.join(per_text.hint("shuffle_hash"), F.col("_key") == F.col("key"), "left").select("_given", "_text", "_spans")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the sha-256 of the kept bytes of every text."""
+_RUNS = "array<struct<start:long,end:long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for value, found in zip(b.column("_text").cast(pa.binary()), b.column("_spans").to_pylist(), strict=True):
-                text = value.as_py()
-                gone = merged([(s["start"], s["end"]) for s in found or []])
-                rows.append((len(text), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_given").field("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
+def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans put together, the text as it is."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        runs = [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in found or []])] for found in b.column("_spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("_given").field("doc_id"), b.column("_text"), pa.array(runs, kind)], ["doc_id", "text", "runs"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The figures of each text without its spans; of texts with ``runs``, these counted too."""
+    for b in batches:
+        rows = []
+        for value, found in zip(b.column("_text").cast(pa.binary()), b.column("_spans").to_pylist(), strict=True):
+            text = value.as_py()
+            gone = merged([(s["start"], s["end"]) for s in found or []])
+            rows.append((len(text), sum(e - s for s, e in gone), len(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        given = b.column("_given")
+        if given.type.get_field_index("runs") >= 0:
+            runs = given.field("runs").to_pylist()
+            columns += [[sum(r["end"] - r["start"] for r in some) for some in runs], [len(some) for some in runs]]
+            kinds += [pa.int64(), pa.int64()]
+        arrays = [given.field("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_FIGURES[: len(columns)]])
+
+
+_FIGURES = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"]
+
+
+def digests(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the sha-256 of the kept bytes of every text.
+
+    With ``passage``, which is at most ``length``, also n_passage_bytes (the bytes that strings of ``passage`` bytes
+    cover that also start anywhere else) and n_passages (their maximal runs); these are counted, not removed.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs, ["doc_id"], length).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    types = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if passage is None:
+        return _with_spans(docs, ["doc_id"], length).mapInArrow(_digested, types)
+    if passage > length:
+        raise ValueError(f"passages of {passage} bytes are longer than strings of {length}")
+    made: list[DataFrame] = []
+    with freeing_shuffles(docs.sparkSession):
+        found = store(_with_spans(docs, ["doc_id"], passage, made=made).mapInArrow(_with_runs, f"doc_id {kind}, text string, runs {_RUNS}"), "runs")
+        for table in made:
+            discard(table)
+        # a repeated string of ``length`` bytes lies in such a run, and so does the other one
+        holds = F.exists("runs", lambda r: r["end"] - r["start"] >= length)
+        some = _with_spans(found.where(holds), ["doc_id", "runs"], length, "runs")
+    given = F.struct("doc_id", "runs").alias("_given")
+    rest = found.where(~holds).select(given, F.col("text").alias("_text"), F.lit(None).cast(_RUNS).alias("_spans"))
+    return some.unionByName(rest).mapInArrow(_digested, f"{types}, n_passage_bytes long, n_passages long")
 
 
 def remove_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:

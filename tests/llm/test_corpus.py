@@ -12,7 +12,7 @@ import public_tokenizers
 import tiktoken
 import xxhash
 
-from oddsmith.llm import bpe, brown, chat, codes, mixing, nbsvm, rules, simhash, suffix, urls
+from oddsmith.llm import bpe, brown, chat, codes, mixing, nbsvm, queries, rules, simhash, suffix, urls
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 LONG = " ".join(f"w{i * 7919 % 1009}x" for i in range(400))
@@ -59,6 +59,36 @@ def test_suffix_dedup_divides_a_shared_passage(spark, monkeypatch):
     assert {r["doc_id"]: r["n_removed"] for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("kinds", [4_096, 3])
+def test_suffix_query_counts_passages_that_it_leaves(spark, tmp_path, monkeypatch, docs, kinds):
+    monkeypatch.setattr(suffix, "KINDS_PER_TASK", kinds)
+    passage = " ".join(f"p{i}q" for i in range(60))  # 289 bytes: below the strings that are removed
+    texts = [*[r["text"] for r in docs.collect()], "alpha " * 9 + passage, passage + " omega" * 7, passage[:239], LONG[:300] + passage + LONG[300:], "own words " + " ".join(f"z{i}y" for i in range(90))]
+    texts += [f"{i} " * (i + 1) + LONG[:500] + f" {i}" * (20 - i) for i in range(8)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_suffix_dedup(spark, str(tmp_path)).collect()
+    contract = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(tuple(r[c] for c in contract) for r in found) == sorted(map(tuple, suffix.digests(given).collect()))
+    data = [(t or "").encode() for t in texts]
+    starts = Counter(d[i : i + 240] for d in data for i in range(len(d) - 239))
+    for r in found:
+        d = data[r["doc_id"]]
+        covered = [False] * len(d)
+        for i in range(len(d) - 239):
+            if starts[d[i : i + 240]] > 1:
+                covered[i : i + 240] = [True] * 240
+        assert (r["n_passage_bytes"], r["n_passages"]) == (sum(covered), sum(c and (i == 0 or not covered[i - 1]) for i, c in enumerate(covered)))
+    alpha, omega = (next(r for r in found if (texts[r["doc_id"]] or "").startswith(t)) for t in ("alpha", passage + " omega"))
+    assert alpha["n_removed"] == omega["n_removed"] == 0 and min(alpha["n_passage_bytes"], omega["n_passage_bytes"]) >= len(passage)
+
+
+def test_suffix_passages_are_not_longer_than_strings(docs):
+    assert suffix.digests(docs.limit(0), passage=240).count() == 0
+    with pytest.raises(ValueError, match="longer"):
+        suffix.digests(docs, 240, 241)
+
+
 def fingerprint(text):
     words = [w for w in text.translate({i: i + 32 for i in range(65, 91)}).encode().split()]
     if not words:
